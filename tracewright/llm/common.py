@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,3 +68,51 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     """Column as Python strings, null as empty."""
     return [t or "" for t in batch.column(batch.schema.get_field_index(column)).to_pylist()]
+
+
+class Bits:
+    """A bitmap filter of fixed size over 64-bit hashes: no false negatives.
+
+    It is built from distributed rows by an aggregation on its words, so the
+    driver gets at most 2**BITS/64 words whatever the input's size, and a broadcast
+    of 2**BITS/8 bytes.  Where the input is so large that the map fills up, it only
+    lets more rows through to the exact step behind it.
+    """
+
+    BITS = 27
+
+    def __init__(self, words: np.ndarray) -> None:
+        self.words = words
+
+    @classmethod
+    def slot(cls, h: np.ndarray) -> np.ndarray:
+        return (h * np.uint64(0xFF51AFD7ED558CCD)) >> np.uint64(64 - cls.BITS)
+
+    def __contains__(self, h: np.ndarray) -> bool:
+        raise TypeError("use has()")
+
+    def has(self, h: np.ndarray) -> np.ndarray:
+        s = self.slot(h)
+        return (self.words[s >> np.uint64(6)] >> (s & np.uint64(63))) & np.uint64(1) != 0
+
+    @classmethod
+    def of(cls, hashes: DataFrame) -> Bits:
+        """From a DataFrame whose one column holds hashes as long."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                s = cls.slot(b.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
+                word, at = np.unique(s >> np.uint64(6), return_inverse=True)
+                bits = np.zeros(len(word), np.uint64)
+                np.bitwise_or.at(bits, at, np.uint64(1) << (s & np.uint64(63)))
+                yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int32)), pa.array(bits.view(np.int64))], names=["word", "bits"])
+
+        rows = hashes.mapInArrow(run, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+        words = np.zeros(1 << (cls.BITS - 6), np.uint64)
+        words[rows.column(0).to_numpy()] = rows.column(1).to_numpy().view(np.uint64)
+        return cls(words)
+
+
+def ordinal(doc_id: Column) -> Column:
+    """Ids in order, null as the largest of all."""
+    return F.coalesce(doc_id.cast("long"), F.lit(2**63 - 1))

@@ -7,9 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read
+from .decontaminate import contaminated
 from .exact_dedup import deduplicate
 from .licenses import scan_licenses
 from .pieces import encode_decode
+from .substrings import remove_repeats
 from .token_counts import count_tokens
 
 #: Files of public tokenizers (parameters of the queries).
@@ -58,10 +60,34 @@ def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents with a benchmark passage in them: a row for each such pair."""
+    return contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(read(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+OP10_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50),
+h AS (SELECT doc_id, i, sha256(array_to_string(w[i:i + 49], ' ')) AS k FROM s),
+f AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY k) AS first FROM h) WHERE first < doc_id),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM f),
+r AS (SELECT doc_id, list(p) AS ps, count(*) AS n FROM c GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed,
+       sha256(coalesce(array_to_string(CASE WHEN n IS NULL THEN w ELSE [x FOR x, i IN w IF NOT list_contains(ps, i)] END, ' '), '')) AS kept_sha256
+FROM d LEFT JOIN r USING (doc_id)
+"""
+
+
 QUERIES = {
     "op1_licenses": op1_licenses,
     "op2_exact_dedup": op2_exact_dedup,
     "op4_token_counts": op4_token_counts,
     "op5_pieces": op5_pieces,
+    "op8_decontaminate": op8_decontaminate,
+    "op10_substrings": op10_substrings,
 }
-ORACLES = {"op2_exact_dedup": OP2_SQL}
+ORACLES = {"op2_exact_dedup": OP2_SQL, "op10_substrings": OP10_SQL}
