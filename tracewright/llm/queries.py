@@ -10,6 +10,7 @@ from .common import read
 from .decontaminate import contaminated
 from .exact_dedup import deduplicate
 from .licenses import scan_licenses
+from .ngram_join import jaccard_components
 from .pieces import encode_decode
 from .substrings import remove_repeats
 from .token_counts import count_tokens
@@ -60,6 +61,10 @@ def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(read(spark, sf_dir, "documents"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents with a benchmark passage in them: a row for each such pair."""
     return contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
@@ -87,6 +92,7 @@ QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op4_token_counts": op4_token_counts,
     "op5_pieces": op5_pieces,
+    "op6_ngram_join": op6_ngram_join,
     "op8_decontaminate": op8_decontaminate,
     "op10_substrings": op10_substrings,
 }
