@@ -12,8 +12,10 @@ from .exact_dedup import deduplicate
 from .licenses import scan_licenses
 from .ngram_join import jaccard_components
 from .pieces import encode_decode
+from .quality import score_quality
 from .substrings import remove_repeats
 from .token_counts import count_tokens
+from .toxicity import score_toxicity
 
 #: Files of public tokenizers (parameters of the queries).
 BYTE_BPE, PIECE_BPE = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -47,6 +49,11 @@ FROM t WINDOW w AS (PARTITION BY text_sha256)
 """
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = score_quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = count_tokens(read(spark, sf_dir, "documents"), BYTE_BPE)
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
@@ -65,6 +72,11 @@ def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(read(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = score_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), F.size("restored").cast("long").alias("n_restored"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents with a benchmark passage in them: a row for each such pair."""
     return contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
@@ -90,9 +102,11 @@ FROM d LEFT JOIN r USING (doc_id)
 QUERIES = {
     "op1_licenses": op1_licenses,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_quality": op3_quality,
     "op4_token_counts": op4_token_counts,
     "op5_pieces": op5_pieces,
     "op6_ngram_join": op6_ngram_join,
+    "op7_toxicity": op7_toxicity,
     "op8_decontaminate": op8_decontaminate,
     "op10_substrings": op10_substrings,
 }
