@@ -1,3 +1,64 @@
-def run(spark, sf_dir):
-    raise NotImplementedError
-STAGES = []
+"""The corpus pipeline: five stages, each written as Parquet and reread by the next."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tracewright.llm.common import durable, read
+from tracewright.llm.decontaminate import drop_contaminated
+from tracewright.llm.exact_dedup import drop_duplicates
+from tracewright.llm.ngram_join import keep_one_of_each
+from tracewright.llm.pieces import encode_decode
+from tracewright.llm.quality import keep_good
+from tracewright.llm.queries import PIECE_BPE
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier accepts (score of 0.5 at least)."""
+    return keep_good(docs, read(spark, sf_dir, "labels"))
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal normalised texts."""
+    return drop_duplicates(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by five-word shingles at 0.8 or more."""
+    return keep_one_of_each(docs, words=5, percent=80)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no benchmark passage is found."""
+    return drop_contaminated(docs, read(spark, sf_dir, "benchmark"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of ids and decoded text."""
+    return encode_decode(docs, PIECE_BPE).select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+STAGES = [
+    ("quality classifier", quality),
+    ("exact dedup", exact_dedup),
+    ("n-gram Jaccard join", near_dedup),
+    ("benchmark decontamination", decontaminate),
+    ("SentencePiece encoding and decoding", encode),
+]
+
+#: The classifier is no SQL expression; the tests hold the stages against brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over ``documents``, each on all that the one before it kept."""
+    docs = read(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = durable(stage(spark, docs, sf_dir), f"stage-{k}")
+    return docs

@@ -116,3 +116,26 @@ class Bits:
 def ordinal(doc_id: Column) -> Column:
     """Ids in order, null as the largest of all."""
     return F.coalesce(doc_id.cast("long"), F.lit(2**63 - 1))
+
+
+def without(docs: DataFrame, gone: DataFrame, on: list[str]) -> DataFrame:
+    """The rows of ``docs`` whose ``on`` columns (nulls equal) are in no row of ``gone``.
+
+    Both sides are told apart by a bitmap of the gone keys first, so only rows that
+    may have to go are shuffled to the exact anti-join.  ``gone`` should be durable.
+    """
+    key = F.xxhash64(*on)
+    bits = docs.sparkSession.sparkContext.broadcast(Bits.of(gone.select(key.alias("key"))))
+    keyed = docs.withColumn("__key", key)
+
+    def side(wanted: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                has = bits.value.has(b.column(b.schema.get_field_index("__key")).to_numpy(zero_copy_only=False).view(np.uint64))
+                yield b.filter(pa.array(has if wanted else ~has, pa.bool_()))
+
+        return keyed.mapInArrow(run, keyed.schema).drop("__key")
+
+    asked, listed = side(True), gone.select(*(F.col(c).alias(f"__gone_{c}") for c in on))
+    same = [asked[c].eqNullSafe(listed[f"__gone_{c}"]) for c in on]
+    return side(False).unionByName(asked.join(listed, same, "left_anti"))

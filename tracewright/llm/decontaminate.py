@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, texts
+from .common import durable, slices, texts, without
 
 #: Length of a q-gram, and the edits allowed as a share of a passage's length.
 Q, EDITS = 8, 0.1
@@ -258,9 +258,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents in which no passage is found; a null id cannot be judged by
-    id, so rows without one are judged by text in the same way."""
-    found = contaminated(docs.withColumn("__key", F.struct("doc_id", F.xxhash64("text"))), benchmark, id_col="__key")
+    """The rows of ``docs`` (all columns) in which no passage is found.
+
+    Rows are told by id and a hash of their text, so null and repeated ids are
+    judged row by row; no text is shuffled but those that go.
+    """
     keyed = docs.withColumn("__hash", F.xxhash64("text"))
-    bad = found.select(F.col("doc_id.doc_id").alias("bad_id"), F.col("doc_id.col2").alias("bad_hash")).distinct()
-    return keyed.join(bad, keyed["doc_id"].eqNullSafe(bad["bad_id"]) & (keyed["__hash"] == bad["bad_hash"]), "left_anti").drop("__hash")
+    found = contaminated(keyed.withColumn("__pair", F.struct("doc_id", "__hash")), benchmark, id_col="__pair")
+    bad = durable(found.select("doc_id.doc_id", "doc_id.__hash").distinct(), "contaminated")
+    return without(keyed, bad, ["doc_id", "__hash"]).drop("__hash")

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, without
 
 #: Counters of a Misra-Gries summary: digests above 1/COUNTERS of a partition's
 #: rows are always in it.  It bounds the broadcast too.
@@ -90,16 +90,17 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def drop_duplicates(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
     """The rows of ``docs`` (all columns) that :func:`deduplicate` keeps.
 
-    Losers are removed by an anti-join on their ids, which Spark broadcasts while
-    that list is small; rows that share an id with a winner and its text too are
-    thinned to one by a distinct over just those rows.
+    No text is shuffled but those of ids that go, and of rows that repeat both id and
+    text, which a distinct over just those rows thins to one.
     """
     decisions = durable(deduplicate(docs, counters=counters), "decisions")
-    ids = decisions.groupBy("doc_id", "digest").agg(F.count_if("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+    ids = decisions.groupBy("doc_id", F.col("digest").alias("__digest")).agg(F.count_if("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
     odd = durable(ids.where("kept = 0 or n > 1"), "losers")
     keyed = docs.withColumn("__digest", F.unhex(F.sha2(normalised(F.col("text").cast("string")), 256)))
-    on = lambda x: (keyed["doc_id"].eqNullSafe(x["doc_id"])) & (keyed["__digest"] == x["digest"])
-    twice = odd.where("kept > 0")
-    rest = keyed.join(odd, on(odd), "left_anti")
-    once = keyed.join(twice, on(twice), "left_semi").dropDuplicates(["doc_id", "__digest"])
-    return rest.unionByName(once).drop("__digest")
+    key = ["doc_id", "__digest"]
+    rest = without(keyed, odd, key)
+    twice = odd.where("kept > 0").select(*(F.col(c).alias(f"{c}_") for c in key))
+    if not twice.isEmpty():
+        same = [keyed[c].eqNullSafe(twice[f"{c}_"]) for c in key]
+        rest = rest.unionByName(keyed.join(twice, same, "left_semi").dropDuplicates(key))
+    return rest.drop("__digest")

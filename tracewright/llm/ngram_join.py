@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bits, durable, ordinal, slices
+from .common import Bits, durable, ordinal, slices, without
 from .exact_dedup import heavy_candidates
 from .graph import components
 from .hashing import U, mix, shingles
@@ -204,3 +204,14 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, id_co
     kind = docs.schema[id_col].dataType
     as_id = lambda c: F.when(c < 2**63 - 1, c).cast(kind)
     return out.select(as_id(F.col("ord")).alias("doc_id"), F.col("n").alias("n_shingles"), as_id(F.coalesce("component", "ord")).alias("component_id"))
+
+
+def keep_one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` (all columns) without those that share a component with
+    a smaller id.  Rows without words stay, and rows that repeat the smallest id do.
+
+    The ids that go are known from a narrow table; no other text is shuffled.
+    """
+    member = jaccard_components(docs, words, percent)
+    gone = durable(member.where("n_shingles > 0 and component_id < coalesce(cast(doc_id as bigint), 9223372036854775807)").select("doc_id").distinct(), "gone")
+    return without(docs, gone, ["doc_id"])

@@ -159,3 +159,21 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
     df = docs.select(F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).cast("string").alias("text"))
     return df.mapInArrow(run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double")
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """The rows of ``docs`` (all columns, unchanged) with a score of at least 0.5.
+
+    Texts are scored where they are: the verdict travels with the row, nothing is
+    joined, so repeated and null ids need no care.
+    """
+    rows, share = training_sample(docs, labels, "quality", sample)
+    net = docs.sparkSession.sparkContext.broadcast(fit([t.encode() for t, _ in rows], [y for _, y in rows], share))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = net.value.tables()
+        for b in slices(batches):
+            at = b.schema.get_field_index("text")
+            yield b.filter(pa.array([net.value.logit((t or "").encode(), tables) >= 0 for t in b.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

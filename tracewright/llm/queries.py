@@ -16,6 +16,7 @@ from .quality import score_quality
 from .substrings import remove_repeats
 from .token_counts import count_tokens
 from .toxicity import score_toxicity
+from .urls import judge
 
 #: Files of public tokenizers (parameters of the queries).
 BYTE_BPE, PIECE_BPE = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -82,6 +83,10 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(read(spark, sf_dir, "pages")).withColumn("words", F.array_join("words", " "))
+
+
 def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(read(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
@@ -108,6 +113,7 @@ QUERIES = {
     "op6_ngram_join": op6_ngram_join,
     "op7_toxicity": op7_toxicity,
     "op8_decontaminate": op8_decontaminate,
+    "op9_urls": op9_urls,
     "op10_substrings": op10_substrings,
 }
 ORACLES = {"op2_exact_dedup": OP2_SQL, "op10_substrings": OP10_SQL}
