@@ -71,7 +71,8 @@ def downscaled(width: Column, height: Column, over: tuple[int, int], into: tuple
 
 def clamp(x: Column) -> Column:
     """Confidence in [0, 1]; 0.5 for what is no number."""
-    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), x.try_cast("double"))), F.lit(0.5))
+    number = x.try_cast("double")
+    return F.when(number.isNull(), 0.5).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), number)))
 
 
 def ratio(part: Column, whole: Column) -> Column:

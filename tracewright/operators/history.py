@@ -33,7 +33,7 @@ def live_rollout(df: DataFrame, task: str, order: str, instruction: str, generat
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         history, plans, errors = ["None"], [], []
         pdf = pdf.sort_values(order)
-        for text in pdf[instruction]:
+        for text in pdf["__instruction"]:
             try:
                 plan, error = generate(text, list(history)), None
                 history.append(plan)
@@ -44,4 +44,4 @@ def live_rollout(df: DataFrame, task: str, order: str, instruction: str, generat
         return pdf[[task, order]].assign(plan=plans, error=errors)
 
     kinds = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in (task, order))
-    return df.select(task, order, instruction).groupBy(task).applyInPandas(run, f"{kinds}, plan string, error string")
+    return df.select(task, order, F.col(instruction).alias("__instruction")).groupBy(task).applyInPandas(run, f"{kinds}, plan string, error string")

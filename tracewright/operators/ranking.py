@@ -24,10 +24,22 @@ def top_candidates(df: DataFrame, group: str, k: int, score: str = "score", inde
     return df.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).withColumn("rank", F.col("rank") - 1)
 
 
+def _in_order(keyed: Column, *keys: str) -> Column:
+    """Sorted by fields; elements hold maps, which have no order of their own."""
+
+    def compare(a: Column, b: Column) -> Column:
+        out = F.lit(0)
+        for k in reversed(keys):
+            out = F.when(a[k] < b[k], -1).when(a[k] > b[k], 1).otherwise(out)
+        return out
+
+    return F.array_sort(keyed, compare)
+
+
 def ranked(candidates: Column) -> Column:
     """An array of struct<score,element> from best to worst, stable."""
     keyed = F.transform(candidates, lambda c, i: F.struct((-F.coalesce(c["score"], F.lit(0.0))).alias("s"), i.alias("i"), c.alias("c")))
-    return F.transform(F.array_sort(keyed), lambda k: k["c"])
+    return F.transform(_in_order(keyed, "s", "i"), lambda k: k["c"])
 
 
 def best_of(candidates: Column) -> Column:
@@ -93,7 +105,7 @@ def choose_element(answer: Column, candidates: Column, probe: Column | None = No
     options = [by_index]
     if probe is not None:
         keyed = F.transform(candidates, lambda c, k: F.struct((-overlap_score(c["element"]["representation"], probe)).alias("s"), k.alias("k"), c.alias("c")))
-        top = F.get(F.array_sort(keyed), F.lit(0))
+        top = F.get(_in_order(keyed, "s", "k"), F.lit(0))
         options.append(F.when(probe.isNotNull() & (top["s"] < 0), top["c"]))
     options.append(best_of(candidates))
     out = F.coalesce(*options)

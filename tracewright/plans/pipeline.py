@@ -27,7 +27,7 @@ def ground(plans: DataFrame, settings: Settings = Settings(), scorer=word_overla
     rows = plans.select("annotation_id", "step_index", "plan", step.alias("step"), F.explode(interactive_elements("cleaned_html")).alias("element"))
     scored = score_pairs(rows.withColumn("representation", F.col("element.representation")), "plan", "representation", scorer, settings.pair_batch)
     kept = top_candidates(scored.withColumn("index", F.col("element.index")), "step", settings.candidates)
-    lists = kept.groupBy("annotation_id", "step_index", "plan").agg(F.array_sort(F.collect_list(F.struct("rank", F.struct("score", "element").alias("c")))).alias("ranked"))
+    lists = kept.groupBy("annotation_id", "step_index", "plan").agg(F.array_sort(F.collect_list(F.struct("rank", F.struct("score", "element").alias("c"))), lambda a, b: a["rank"] - b["rank"]).alias("ranked"))
     lists = lists.select("annotation_id", "step_index", "plan", F.transform("ranked", lambda x: x["c"]).alias("candidates"))
     if answers is not None:
         lists = generate_plans(lists.withColumn("prompt", F.col("plan")), factory=answers, max_tokens=6).withColumnRenamed("output_text", "answer")

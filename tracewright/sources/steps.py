@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,10 +20,12 @@ def read_split(spark: SparkSession, root: str, split: str = "train", schema: str
 
 def read_file(spark: SparkSession, root: str, name: str, fallback: DataFrame | None = None, schema: str = STEPS) -> DataFrame:
     """The files whose name ends with ``name``; if there are none, the fallback table."""
-    found = spark.read.schema(schema).option("pathGlobFilter", f"*{name.rpartition('/')[2]}").option("recursiveFileLookup", "true").parquet(f"{root}/data")
-    if fallback is not None and not found.inputFiles():
+    try:
+        return spark.read.schema(schema).parquet(f"{root}/data/*{name.rpartition('/')[2]}")
+    except AnalysisException:
+        if fallback is None:
+            raise
         return fallback
-    return found
 
 
 def union_all(tables: list[DataFrame]) -> DataFrame:
@@ -47,7 +50,7 @@ def read_checkpoint(spark: SparkSession, path: str) -> DataFrame:
             whole = spark.read.text(path, wholetext=True)
             ids = whole.select(F.explode(F.from_json("value", "array<string>")).alias("annotation_id"))
         return ids.where(F.coalesce("annotation_id", F.lit("")) != "").distinct()
-    except Exception as e:  # noqa: BLE001 - which class depends on the file system
+    except AnalysisException as e:
         if "PATH_NOT_FOUND" in str(e):
             return empty
         raise
