@@ -331,13 +331,13 @@ def checkpoint_add(spark, sf):
 
 @query("""WITH m AS (SELECT *, (['gpt-4o', 'gpt-4o-mini', 'gpt-4o-mini-2024-07-18', 'provider/gpt-4o-x', 'other', 'GPT-4o-2024'])[event_id % 6 + 1] AS model, 100 + event_id % 900 AS t, event_id % 128 AS u FROM events),
 k AS (SELECT *, CASE event_id % 6 WHEN 0 THEN 'gpt-4o' WHEN 3 THEN 'gpt-4o' WHEN 5 THEN 'gpt-4o' ELSE 'gpt-4o-mini' END AS price_key FROM m)
-SELECT price_key, count(*) AS calls, CAST(sum(t) AS BIGINT) AS tokens_in, CAST(sum(u) AS BIGINT) AS tokens_out, round(sum(CASE price_key WHEN 'gpt-4o' THEN t * 2.50::DOUBLE + u * 10.00::DOUBLE ELSE t * 0.15::DOUBLE + u * 0.60::DOUBLE END) / 1e6, 6) AS usd FROM k GROUP BY price_key""")
+SELECT price_key, count(*) AS calls, CAST(sum(t) AS BIGINT) AS tokens_in, CAST(sum(u) AS BIGINT) AS tokens_out, (sum(t) * CASE price_key WHEN 'gpt-4o' THEN 2.50::DOUBLE ELSE 0.15::DOUBLE END + sum(u) * CASE price_key WHEN 'gpt-4o' THEN 10.00::DOUBLE ELSE 0.60::DOUBLE END) / 1e6 AS usd FROM k GROUP BY price_key""")
 def cost_ledger(spark, sf):
     i = F.col("event_id")
     model = F.element_at(F.array(*map(F.lit, ("gpt-4o", "gpt-4o-mini", "gpt-4o-mini-2024-07-18", "provider/gpt-4o-x", "other", "GPT-4o-2024"))), (i % 6 + 1).cast("int"))
     calls = table(spark, sf, "events").select(cost.price_key(model).alias("price_key"), (100 + i % 900).alias("t"), (i % 128).alias("u"))
-    priced = calls.withColumn("usd", cost.call_cost(F.col("price_key"), F.col("t"), F.col("u")))
-    return priced.groupBy("price_key").agg(F.count(F.lit(1)).alias("calls"), F.sum("t").alias("tokens_in"), F.sum("u").alias("tokens_out"), F.round(F.sum("usd"), 6).alias("usd"))
+    used = calls.groupBy("price_key").agg(F.count(F.lit(1)).alias("calls"), F.sum("t").alias("tokens_in"), F.sum("u").alias("tokens_out"))
+    return used.withColumn("usd", cost.call_cost(F.col("price_key"), F.col("tokens_in"), F.col("tokens_out")))
 
 
 @query("SELECT event_type, count(*) AS calls, round(sum(value), 4) AS total_latency, round(avg(value), 4) AS mean_latency FROM events GROUP BY event_type")
