@@ -14,11 +14,10 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Bits, durable, ordinal, slices
-from .exact_dedup import heavy_candidates
 from .hashing import U, mix, windows, words
 
 WINDOW = 50
@@ -30,8 +29,15 @@ def _data(b: pa.RecordBatch) -> list[bytes]:
     return [(t or "").encode() for t in b.column(b.schema.get_field_index("text")).to_pylist()]
 
 
-def sequence_key(data: bytes) -> bytes:
-    return blake2b(b" ".join(data.split()), digest_size=16).digest()
+def _with_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in slices(batches):
+        key = [blake2b(b" ".join(d.split()), digest_size=16).digest() for d in _data(b)]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(key, pa.binary())], names=["ord", "text", "digest"])
+
+
+def _check(word: np.ndarray) -> np.ndarray:
+    """A second, short hash of each window."""
+    return (windows(mix(word ^ _OTHER), WINDOW) >> U(48)).astype(np.uint16).view(np.int16)
 
 
 def covered(n: int, starts: np.ndarray, k: int = WINDOW) -> np.ndarray:
@@ -56,98 +62,125 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     largest; rows sharing an id never remove each other's words.  Texts without
     words (null, empty, blank) and texts below 50 words lose nothing.
 
-    Steps: (1) word-sequence keys; frequent whole copies are found by Misra-Gries
-    and decided from a small broadcast; (2) blocks fill a bitmap; (3) rolling
-    probes that pass it are counted per hash, blocks seen in two rows fill a
-    second bitmap; (4) windows around its hits are grouped by hash to the smallest
-    id, with partial aggregation, and joined back; (5) flagged starts meet their
-    texts.  The bitmaps have fixed size and only spare work.
+    Steps: (1) keys of whole word sequences: a copy of a smaller id's sequence loses
+    all its words and is no reference; (2) the other texts' blocks fill a bitmap;
+    (3) rolling probes that pass it are counted by hash, and blocks seen in two texts
+    fill a second bitmap; (4) windows whose blocks are in it meet by hash, one row
+    per window and document, which finds the smallest id; (5) flagged starts meet
+    their texts, and no other text is shuffled.  The bitmaps have fixed size and only
+    spare work: what they let through is decided exactly.
     """
     spark = docs.sparkSession
     df = docs.select(F.col(id_col).alias("doc_id"), ordinal(F.col(id_col)).alias("ord"), F.col(text_col).cast("string").alias("text"))
     text = df.select("ord", "text")
+    longs = lambda x: pa.array(np.concatenate([np.zeros(0, U), *x]).view(np.int64))
+    flat = lambda x, kind: pa.array(np.concatenate([np.zeros(0, kind), *x]).astype(kind))
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            got = [sequence_key(d) for d in _data(b)]
+            cut = [d.split() for d in _data(b)]
+            got = [blake2b(b" ".join(w), digest_size=16).digest() if len(w) >= WINDOW else None for w in cut]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.binary())], names=["ord", "digest"])
 
-    whole = durable(text.mapInArrow(keys, "ord long, digest binary"), "sequences")
-    hot = whole.join(F.broadcast(heavy_candidates(whole)), "digest", "left_semi").groupBy("digest").agg(F.min("ord").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    copies = spark.sparkContext.broadcast({bytes(r["digest"]): r["first"] for r in hot.collect()})  # at most the summary's counters
+    whole = durable(text.mapInArrow(keys, "ord long, digest binary").where("digest is not null"), "sequences")
+    first = whole.groupBy("digest").agg(F.min("ord").alias("first"), F.max("ord").alias("last")).where("first < last").drop("last")
+    copies = durable(whole.join(first, "digest").where("first < ord").select("ord", "digest").distinct(), "copies")
+    maybe_copy = spark.sparkContext.broadcast(Bits.of(copies.select("ord")))
 
-    def reference(b: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
-        """Id and word hashes of the texts that have a window and aren't known copies."""
-        for o, d in zip(b.column(0).to_pylist(), _data(b), strict=True):
-            first = copies.value.get(sequence_key(d)) if copies.value else None
-            if first is None or first == o:
-                w = words(d, lower=False)
-                if len(w) >= WINDOW:
-                    yield o, w
+    def among(bits, wanted: bool):
+        """Rows whose id is in the bitmap, or those whose id isn't."""
 
-    def longs(x: list[np.ndarray]) -> pa.Array:
-        return pa.array(np.concatenate([np.zeros(0, U), *x]).view(np.int64))
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in slices(batches):
+                has = bits.value.has(b.column(b.schema.get_field_index("ord")).to_numpy(zero_copy_only=False).view(U))
+                yield b.filter(pa.array(has if wanted else ~has))
 
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            yield pa.RecordBatch.from_arrays([longs([windows(w, BLOCK)[::BLOCK] for _, w in reference(b)])], names=["h"])
+        return run
 
-    indexed = spark.sparkContext.broadcast(Bits.of(text.mapInArrow(blocks, "h long")))
+    # Texts whose id only seems to be a copy's (or is shared with one) are references too.
+    seeming = text.mapInArrow(among(maybe_copy, True), text.schema)
+    seeming = seeming.mapInArrow(_with_key, "ord long, text string, digest binary").join(copies, ["ord", "digest"], "left_anti")
+    seeming = durable(seeming.select("ord", "text"), "seeming")
 
-    def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            ids, found = [], []
-            for o, w in reference(b):
-                h = windows(w, BLOCK)
-                h = np.unique(h[indexed.value.has(h)])
-                ids.append(np.full(len(h), o, np.int64))
-                found.append(h)
-            yield pa.RecordBatch.from_arrays([longs(found), pa.array(np.concatenate([np.zeros(0, np.int64), *ids]))], names=["h", "ord"])
-
-    twice = text.mapInArrow(probes, "h long, ord long").groupBy("h").agg(F.min("ord").alias("a"), F.max("ord").alias("b")).where("a < b").select("h")
+    def reference(make, schema: str) -> DataFrame:
+        """``make`` applied to ids and word hashes of all references that have a window."""
+
+        def rows(bits) -> object:
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for b in slices(batches):
+                    ids = b.column(0).to_numpy(zero_copy_only=False)
+                    skip = bits.value.has(ids.view(U)) if bits else np.zeros(len(ids), bool)
+                    found = ((o, words(d, lower=False)) for o, d, x in zip(ids.tolist(), _data(b), skip.tolist(), strict=True) if not x and len(d) >= 2 * WINDOW - 1)
+                    yield make([(o, w) for o, w in found if len(w) >= WINDOW])
+
+            return run
+
+        return text.mapInArrow(rows(maybe_copy), schema).unionByName(seeming.mapInArrow(rows(None), schema))
+
+    def blocks(found: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([longs([windows(w, BLOCK)[::BLOCK] for _, w in found])], names=["h"])
+
+    indexed = spark.sparkContext.broadcast(Bits.of(reference(blocks, "h long")))
+
+    def probes(found: list) -> pa.RecordBatch:
+        rolling = (windows(w, BLOCK) for _, w in found)
+        return pa.RecordBatch.from_arrays([longs([np.unique(h[indexed.value.has(h)]) for h in rolling])], names=["h"])
+
+    twice = reference(probes, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
     hit = spark.sparkContext.broadcast(Bits.of(twice))
 
-    def grown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            ids, starts, one, two = [], [], [], []
-            for o, w in reference(b):
-                anchor = hit.value.has(windows(w, BLOCK))
-                if not anchor.any():
-                    continue
-                total = np.cumsum(np.r_[0, anchor])
-                s = np.flatnonzero(total[WINDOW - BLOCK + 1 :] > total[: -(WINDOW - BLOCK + 1)])
-                ids.append(np.full(len(s), o, np.int64))
-                starts.append(s)
-                one.append(windows(w, WINDOW)[s])
-                two.append((windows(mix(w ^ _OTHER), WINDOW) >> U(32))[s])
-            flat = lambda x, kind: pa.array(np.concatenate([np.zeros(0, kind), *x]).astype(kind))
-            yield pa.RecordBatch.from_arrays([longs(one), flat([x.astype(np.uint32).view(np.int32) for x in two], np.int32), flat(ids, np.int64), flat(starts, np.int32)], names=["h", "check", "ord", "start"])
-
-    seen = text.mapInArrow(grown, "h long, check int, ord long, start int")
-    least = seen.groupBy("h", "check").agg(F.min("ord").alias("first"), F.max("ord").alias("last")).where("first < last").drop("last")
-    flagged = seen.join(least, ["h", "check"]).where("first < ord").groupBy("ord").agg(F.collect_set("start").alias("starts"))
-
-    kind = docs.schema[id_col].dataType.simpleString()
+    def grown(found: list) -> pa.RecordBatch:
+        ids, starts, one, two = [], [], [], []
+        for o, w in found:
+            # A repeated window's own blocks are repeated too: one that isn't rules it out.
+            alone = np.zeros(len(w) - BLOCK + 1, np.int64)
+            alone[::BLOCK] = ~hit.value.has(windows(w, BLOCK)[::BLOCK])
+            total = np.cumsum(np.r_[0, alone])
+            s = np.flatnonzero(total[WINDOW - BLOCK + 1 :] == total[: -(WINDOW - BLOCK + 1)])
+            if len(s):
+                h, first = np.unique(windows(w, WINDOW)[s], return_index=True)
+                ids.append(np.full(len(h), o))
+                starts.append(s[first])
+                one.append(h)
+                two.append(_check(w)[s[first]])
+        return pa.RecordBatch.from_arrays([longs(one), flat(two, np.int16), flat(ids, np.int64), flat(starts, np.int32)], names=["h", "check", "ord", "start"])
+
+    seen = reference(grown, "h long, check smallint, ord long, start int")
+    flagged = seen.withColumn("first", F.min("ord").over(Window.partitionBy("h", "check"))).where("first < ord")
+    flagged = flagged.groupBy("ord").agg(F.collect_set(F.struct("start", "check")).alias("starts"))
+    # Per id: the flagged starts, and the sequences that are copies as a whole.
+    decided = flagged.join(copies.groupBy("ord").agg(F.collect_set("digest").alias("copies")), "ord", "full")
+    decided = durable(decided, "decided")
+    touched = spark.sparkContext.broadcast(Bits.of(decided.select("ord")))
+
+    kind = df.schema["doc_id"].dataType.simpleString()
+    span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
+            col = lambda c: b.column(b.schema.get_field_index(c)).to_pylist()  # noqa: E731, B023
             n_words, n_removed, removed, kept = [], [], [], []
-            for o, d, starts in zip(b.column(1).to_pylist(), _data(b), b.column(3).to_pylist(), strict=True):
+            for d, starts, wholes in zip(_data(b), col("starts"), col("copies"), strict=True):
                 w = d.split()
-                first = copies.value.get(sequence_key(d)) if copies.value else None
-                if first is not None and first < o and len(w) >= WINDOW:
-                    flag = np.ones(len(w), bool)
-                else:
-                    s = np.array(starts or [], np.int64)
-                    flag = covered(len(w), s[s + WINDOW <= len(w)])
+                flag = np.zeros(len(w), bool)
+                if wholes and len(w) >= WINDOW and blake2b(b" ".join(w), digest_size=16).digest() in wholes:
+                    flag[:] = True
+                elif starts and len(w) >= WINDOW:
+                    hashes = words(d, lower=False)
+                    own, h = _check(hashes), windows(hashes, WINDOW)  # of rows that share an id, each takes its own
+                    s = np.array([x["start"] for x in starts if x["start"] < len(own) and own[x["start"]] == x["check"]], np.int64)
+                    flag = covered(len(w), np.flatnonzero(np.isin(h, h[s])))
                 n_words.append(len(w))
                 n_removed.append(int(flag.sum()))
                 removed.append(runs(flag))
                 kept.append(b" ".join([x for x, f in zip(w, flag.tolist(), strict=True) if not f] if n_removed[-1] else w))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(removed, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary()).cast(pa.string())],
+                [b.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(removed, span), pa.array(kept, pa.binary()).cast(pa.string())],
                 names=["doc_id", "n_words", "n_removed", "removed", "kept_text"],
             )
 
-    return df.join(flagged, "ord", "left").select("doc_id", "ord", "text", "starts").mapInArrow(cut, f"doc_id {kind}, n_words long, n_removed long, removed array<struct<start:long,end:long>>, kept_text string")
-
+    nothing = F.lit(None)
+    clean = df.mapInArrow(among(touched, False), df.schema).withColumns({"starts": nothing.cast(decided.schema["starts"].dataType), "copies": nothing.cast(decided.schema["copies"].dataType)})
+    changed = df.mapInArrow(among(touched, True), df.schema).join(decided, "ord", "left").select(*clean.columns)
+    schema = f"doc_id {kind}, n_words long, n_removed long, removed array<struct<start:long,end:long>>, kept_text string"
+    return clean.mapInArrow(cut, schema).unionByName(changed.mapInArrow(cut, schema))
