@@ -124,14 +124,16 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
     class shares decide (allow unless most urls are unwanted).  Ids may be null or
     repeat; an empty table gives no rows.
 
-    Word frequencies and class counts come from all urls: an aggregation of words
-    each (rows: distinct words), of which the unigram model keeps the 100,000 most
+    Word frequencies (of paths, and of host names that signs divide) and class counts
+    come from all urls: an aggregation of words each (rows: distinct words), of which the unigram model keeps the 100,000 most
     frequent; classes start from hosts that name an unwanted thing.
     """
     spark = pages.sparkSession
     url = F.col(url_col).cast("string")
     df = pages.select(F.col(id_col).alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"))
-    named = F.regexp_extract_all(F.lower(F.concat_ws(" ", F.regexp_replace("host", r"\.[^.]*$", ""), "path")), F.lit("([a-zß-öø-ÿ]+)"), F.lit(1))
+    # A name in one piece says nothing about its words; parts set apart by a sign do.
+    divided = F.filter(F.split(F.regexp_replace("host", r"\.[^.]*$", ""), r"\."), lambda x: x.rlike("[^a-zß-öø-ÿ]"))
+    named = F.regexp_extract_all(F.lower(F.concat_ws(" ", divided, "path")), F.lit("([a-zß-öø-ÿ]+)"), F.lit(1))
     words = df.select(F.explode(named).alias("word")).where(F.length("word") <= LONGEST).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     counts = Counter(dict.fromkeys(UNWANTED | COMMON, SEED))
     for r in words.orderBy(F.desc("n"), "word").limit(KEPT).collect():
