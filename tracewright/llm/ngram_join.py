@@ -20,14 +20,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Bits, durable, ordinal, slices, without
-from .exact_dedup import heavy_candidates
 from .graph import components
 from .hashing import U, mix, shingles
 
 #: Min-hashes of a set; a leader must share this many to be tried.
-SKETCH, SHARED = 12, 4
+SKETCH, SHARED = 12, 7
+#: Sets with most copies that are read only once from there on.
+HOT = 1024
 #: Frequent shingles in the order table: a broadcast of at most 16 bytes each.
-FREQUENT = 1 << 16
+FREQUENT = 1 << 18
+#: Shingles that a worker gathers before it counts them.
+GATHERED = 6_000_000
+#: Cells of a set's histogram, which bounds every intersection from above.
+CELLS = 256
 _SEEDS = np.random.default_rng(5).integers(1, 2**63, SKETCH, dtype=np.int64).view(U)
 
 
@@ -49,6 +54,37 @@ def _lists(x: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]), pa.int32()), _longs(x))
 
 
+def pack(s: np.ndarray) -> bytes:
+    """A set for verification: the upper 48 bits of its hashes."""
+    return (s >> U(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def unpack(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
+
+
+def histogram(s: np.ndarray) -> bytes | None:
+    """How many hashes fall in each cell; none for a set too large for bytes."""
+    h = np.bincount((s >> U(56)).astype(np.int64), minlength=CELLS)
+    return h.astype(np.uint8).tobytes() if h.max() < 256 else None
+
+
+def may_link(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b, na, nb, ha, hb) whose histograms leave room for enough overlap:
+    cell by cell, no more can be common than the smaller count."""
+    for b in batches:
+        na, nb = (b.column(i).to_numpy(zero_copy_only=False) for i in (2, 3))
+        bound = np.minimum(na, nb)
+        known = np.array([x.is_valid and y.is_valid for x, y in zip(b.column(4), b.column(5), strict=True)], bool)
+        if known.any():
+            h = [np.frombuffer(b"".join(b.column(i).filter(pa.array(known)).to_pylist()), np.uint8).reshape(-1, CELLS) for i in (4, 5)]
+            bound[known] = np.minimum(*h).sum(axis=1, dtype=np.int64)
+        keep = 100 * bound >= percent * (na + nb - bound)
+        yield pa.RecordBatch.from_arrays([b.column(i).filter(pa.array(keep)) for i in range(4)], names=["a", "b", "na", "nb"])
+
+
 class Order:
     """A total order of shingles: rare ones by hash, then the frequent by how often."""
 
@@ -78,53 +114,79 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, id_co
     spark = docs.sparkSession
     text = docs.select(ordinal(F.col(id_col)).alias("ord"), F.col(text_col).cast("string").alias("text"))
 
-    def sets(b: pa.RecordBatch) -> list[np.ndarray]:
-        return [shingles((t or "").encode(), words) for t in b.column(1).to_pylist()]
+    def sets(b: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray]]:
+        """Id, key of the set (a hash of its shingles), and the set, in order."""
+        for o, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            s = shingles((t or "").encode(), words)
+            yield o, int.from_bytes(blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True), s
+
+    kinds = [("ord", pa.int64()), ("n", pa.int64()), ("set", pa.int64()), ("sketch", pa.list_(pa.int64())), ("cells", pa.binary()), ("often", pa.list_(pa.int64())), ("times", pa.list_(pa.int64()))]
 
     def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            found = sets(b)
-            sketch = [np.array([mix(s ^ x).min() for x in _SEEDS], U) if len(s) else np.zeros(0, U) for s in found]
-            key = [blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in found]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in found], pa.int64()), pa.array(key, pa.binary()), _lists(sketch)], names=["ord", "n", "digest", "sketch"])
+        """A row for each text, and now and then one with the shingles seen twice or more."""
+        gathered: list[np.ndarray] = []
+
+        def often() -> pa.RecordBatch:
+            token, count = np.unique(np.concatenate([np.zeros(0, U), *gathered]), return_counts=True)
+            gathered.clear()
+            many = count > 1
+            return pa.RecordBatch.from_arrays([*(pa.nulls(1, k) for _, k in kinds[:5]), _lists([token[many]]), pa.array([count[many]], kinds[6][1])], names=[c for c, _ in kinds])
 
-    rows = durable(text.mapInArrow(sketches, "ord long, n long, digest binary, sketch array<long>"), "sets")
-    held = rows.where("n > 0")
-    distinct = durable(held.groupBy("digest").agg(F.min("ord").alias("set"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "distinct")
-    hot = held.select("digest", "ord").join(F.broadcast(heavy_candidates(held.select("digest"))), "digest", "left_semi").groupBy("digest").agg(F.min("ord").alias("first"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    copies = spark.sparkContext.broadcast({bytes(r["digest"]): r["first"] for r in hot.collect()})  # at most the summary's counters
+        for b in slices(batches):
+            found = list(sets(b))
+            sketch = [np.array([mix(s ^ x).min() for x in _SEEDS], U) if len(s) else np.zeros(0, U) for _, _, s in found]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array([len(s) for _, _, s in found], pa.int64()), pa.array([k if len(s) else None for _, k, s in found], pa.int64()), _lists(sketch), pa.array([histogram(s) if len(s) else None for _, _, s in found], pa.binary()), *(pa.nulls(len(found), k) for _, k in kinds[5:])],
+                names=[c for c, _ in kinds],
+            )
+            gathered += [s for _, _, s in found]
+            if sum(map(len, gathered)) > GATHERED:
+                yield often()
+        yield often()
+
+    table = durable(text.mapInArrow(sketches, "ord long, n long, set long, sketch array<long>, cells binary, often array<long>, times array<long>"), "sets")
+    rows = table.where("ord is not null").select("ord", "n", "set")
+    held = table.where("n > 0")
+    distinct = durable(held.groupBy("set").agg(F.min("ord").alias("first"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("cells").alias("cells"), F.count(F.lit(1)).alias("k")), "distinct")
+    # Of the sets with most copies (a bounded list) only the first is read again.
+    hot = distinct.where("k > 1").orderBy(F.desc("k"), "set").limit(HOT).select("set", "first").collect()
+    copies = spark.sparkContext.broadcast({r["set"]: r["first"] for r in hot})
 
     def read_sets(b: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
-        """The sets of a batch, without further copies of the frequent ones."""
-        for o, s in zip(b.column(0).to_pylist(), sets(b), strict=True):
-            if len(s):
-                first = copies.value.get(blake2b(s.tobytes(), digest_size=16).digest()) if copies.value else None
-                if first is None or first == o:
-                    yield o, s
+        for o, k, s in sets(b):
+            if len(s) and copies.value.get(k, o) == o:
+                yield k, s
 
     def overlaps(pairs: DataFrame, tag: str) -> DataFrame:
-        """``pairs`` (a, b, na, nb) with the exact size of the intersection."""
-        pairs = durable(pairs, f"{tag}-pairs")
-        ids = pairs.select(F.col("a").alias("x")).unionByName(pairs.select(F.col("b").alias("x"))).distinct()
-        needed = spark.sparkContext.broadcast(Bits.of(ids))
+        """``pairs`` (a, b, na, nb) that may link, with the exact size of the intersection."""
+        cells = lambda k: distinct.select(F.col("set").alias(k), F.col("cells").alias(f"h{k}"))
+        bounded = pairs.join(cells("a"), "a").join(cells("b"), "b").select("a", "b", "na", "nb", "ha", "hb")
+        pairs = durable(bounded.mapInArrow(lambda x: may_link(x, percent), "a long, b long, na long, nb long"), f"{tag}-pairs")
+        needed = spark.sparkContext.broadcast(Bits.of(pairs.select(F.col("a").alias("x")).unionByName(pairs.select(F.col("b").alias("x")))))
 
         def shown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in slices(batches):
-                b = b.filter(pa.array(needed.value.has(b.column(0).to_numpy(zero_copy_only=False).view(U))))
-                found = [(o, s) for o, s in read_sets(b)]
-                yield pa.RecordBatch.from_arrays([pa.array([o for o, _ in found], pa.int64()), _lists([s for _, s in found])], names=["x", "tokens"])
-
-        tokens = text.mapInArrow(shown, "x long, tokens array<long>").join(ids, "x", "left_semi")
-        # A row for each id: of repeated ids the row that the distinct sets name.
-        tokens = durable(tokens.join(distinct.select(F.col("set").alias("x"), "n"), "x").where(F.size("tokens") == F.col("n")).drop("n"), f"{tag}-tokens")
-        a, b = (tokens.select(F.col("x").alias(k), F.col("tokens").alias(f"t{k}")) for k in "ab")
-        return pairs.join(a, "a").join(b, "b").withColumn("overlap", F.size(F.array_intersect("ta", "tb")).cast("long")).drop("ta", "tb")
-
-    # Leaders: the smallest set of those that share a min-hash.
-    hashed = distinct.select("set", "n", F.posexplode("sketch").alias("i", "h"))
-    groups = hashed.groupBy("i", "h").agg(F.min("set").alias("leader"), F.max("set").alias("top")).where("leader < top").drop("top")
-    tried = hashed.join(groups, ["i", "h"]).where("leader < set").groupBy("set", "n", "leader").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= SHARED)
-    best = tried.groupBy("set", "n").agg(F.max_by("leader", F.struct("k", -F.col("leader"))).alias("leader"))
+                found = list(read_sets(b))
+                has = needed.value.has(np.array([k for k, _ in found], np.int64).view(U))
+                found = [x for x, h in zip(found, has.tolist(), strict=True) if h]
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int64()), pa.array([pack(s) for _, s in found], pa.binary())], names=["x", "tokens"])
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                size = [len(np.intersect1d(unpack(x), unpack(y), assume_unique=True)) for x, y in zip(b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(size, pa.int64())], names=["a", "b", "na", "nb", "overlap"])
+
+        tokens = durable(text.mapInArrow(shown, "x long, tokens binary"), f"{tag}-tokens")
+        side = lambda k: tokens.select(F.col("x").alias(k), F.col("tokens").alias(f"t{k}"))
+        met = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "ta", "tb")
+        return met.mapInArrow(count, "a long, b long, na long, nb long, overlap long").dropDuplicates(["a", "b"])
+
+    # Leaders: of the sets that share a min-hash, the one with the smallest id.
+    hashed = distinct.select("set", "first", "n", F.posexplode("sketch").alias("i", "h"))
+    me = F.struct("first", "set")
+    groups = hashed.groupBy("i", "h").agg(F.min(me).alias("leader"), F.max(me).alias("top")).where("leader < top").drop("top")
+    tried = hashed.join(groups, ["i", "h"]).where(F.col("leader") < me).groupBy("set", "n", "leader").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= SHARED)
+    best = tried.groupBy("set", "n").agg(F.max_by("leader.set", F.struct("k", -F.col("leader.first"))).alias("leader"))
     star = best.join(distinct.select(F.col("set").alias("leader"), F.col("n").alias("nb")), "leader").select(F.col("set").alias("a"), F.col("leader").alias("b"), F.col("n").alias("na"), "nb")
     star = durable(overlaps(star, "stars"), "stars")
     near = star.where(linked(F.col("overlap"), F.col("na"), F.col("nb"), percent))
@@ -138,42 +200,31 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, id_co
     known = durable(known, "known")
 
     # The order: frequent shingles last.
-    def often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            token, count = np.unique(np.concatenate([np.zeros(0, U), *(s for _, s in read_sets(b))]), return_counts=True)
-            many = count >= 3
-            yield pa.RecordBatch.from_arrays([_longs([token[many]]), pa.array(count[many])], names=["token", "k"])
-
-    frequent = text.mapInArrow(often, "token long, k long").groupBy("token").agg(F.sum("k").alias("k")).orderBy(F.desc("k"), "token").limit(FREQUENT).toArrow()
+    frequent = table.where("often is not null").select(F.explode(F.arrays_zip("often", "times")).alias("e")).groupBy(F.col("e.often").alias("token")).agg(F.sum("e.times").alias("k"))
+    frequent = frequent.where("k > 2").orderBy(F.desc("k"), "token").limit(FREQUENT).toArrow()
     order = spark.sparkContext.broadcast(Order(frequent.column(0).to_numpy().view(U), frequent.column(1).to_numpy()))
 
-    def prefixes(b: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray]]:
-        for o, s in read_sets(b):
-            yield o, len(s), order.value.sorted(s)[: prefix_length(len(s), percent)]
-
-    # Shingles in the prefixes of two different sets fill a bitmap.
-    def leading(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            found = list(prefixes(b))
-            ids = np.repeat(np.array([o for o, _, _ in found], np.int64), [len(p) for _, _, p in found]) if found else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([_longs([p for _, _, p in found]), pa.array(ids)], names=["token", "ord"])
+            found = [(k, len(s), order.value.sorted(s)[: prefix_length(len(s), percent)]) for k, s in read_sets(b)]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in found], pa.int64()), pa.array([n for _, n, _ in found], pa.int64()), _lists([p for _, _, p in found])], names=["set", "n", "prefix"])
 
-    shared = text.mapInArrow(leading, "token long, ord long").groupBy("token").agg(F.min("ord").alias("x"), F.max("ord").alias("y")).where("x < y").select("token")
+    leading = durable(text.mapInArrow(prefixes, "set long, n long, prefix array<long>"), "prefixes")
+    # Shingles in two prefixes fill a bitmap.
+    shared = leading.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("token")
     listed = spark.sparkContext.broadcast(Bits.of(shared))
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            ids, size, token, place = [], [], [], []
-            for o, n, p in prefixes(b):
+        for b in batches:
+            token, place = [], []
+            for p in b.column(2).to_pylist():
+                p = np.array(p, np.int64).view(U)
                 at = np.flatnonzero(listed.value.has(p))
-                if len(at):
-                    ids.append(o)
-                    size.append(n)
-                    token.append(p[at])
-                    place.append(at.astype(U))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(size, pa.int64()), _lists(token), _lists(place)], names=["set", "n", "token", "place"])
-
-    index = text.mapInArrow(entries, "set long, n long, token array<long>, place array<long>").join(known, ["set", "n"])
+                token.append(p[at])
+                place.append(at.astype(U))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), _lists(token), _lists(place)], names=["set", "n", "token", "place"])
+
+    index = leading.mapInArrow(entries, "set long, n long, token array<long>, place array<long>").where(F.size("token") > 0).join(known, ["set", "n"])
     index = index.select("set", "n", "root", "leader", "distance", F.explode(F.arrays_zip("token", "place")).alias("e")).select("set", "n", "root", "leader", "distance", "e.token", "e.place").distinct()
     index = durable(index, "index")
     # Whole lists are skipped if their sets are connected already; in the others
@@ -199,8 +250,9 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, id_co
     links = checked.where(linked(F.col("overlap"), F.col("na"), F.col("nb"), percent)).select("a", "b")
     final = components(near.select("a", "b").unionByName(links), "cc")
 
-    named = durable(distinct.select("digest", "set").join(final.select(F.col("node").alias("set"), "root"), "set", "left").select("digest", F.coalesce("root", "set").alias("component")), "named")
-    out = rows.join(named, "digest", "left")
+    rooted = distinct.select("set", "first").join(final.select(F.col("node").alias("set"), "root"), "set", "left").withColumn("root", F.coalesce("root", "set"))
+    named = rooted.select("set", "root").join(rooted.groupBy("root").agg(F.min("first").alias("component")), "root").select("set", "component")
+    out = rows.select("ord", "n", "set").join(durable(named, "named"), "set", "left")
     kind = docs.schema[id_col].dataType
     as_id = lambda c: F.when(c < 2**63 - 1, c).cast(kind)
     return out.select(as_id(F.col("ord")).alias("doc_id"), F.col("n").alias("n_shingles"), as_id(F.coalesce("component", "ord")).alias("component_id"))
