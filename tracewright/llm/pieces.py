@@ -21,7 +21,7 @@ from .common import slices, texts
 
 MARK = "▁"
 #: Distinct chunks that a worker remembers before it starts afresh.
-REMEMBERED = 800_000
+REMEMBERED = 500_000
 
 
 def crossing_pieces(model) -> list[str]:
