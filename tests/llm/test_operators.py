@@ -315,6 +315,24 @@ def test_segmentation():
     assert split("cheappills") == ["cheap", "pills"] and split("riverstone") == ["river", "stone"] and split("") == []
 
 
+def test_every_word_counts_on_large_page_tables(spark):
+    import math
+
+    n, long = 210_000, "counterrevolutionariesandothers"
+    many = spark.range(n).select(F.concat(F.lit("https://q"), F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij"), F.lit(".net/")).alias("url"))
+    few = [f"https://casino-zebra.net/zzz/{long}", "https://quiet.net/zzz", f"https://river{long}.net/river"]
+    pages = many.unionByName(spark.createDataFrame([(u,) for u in few], "url string")).select(F.lit(1).alias("page_id"), "url")
+    rows = urls.judge(pages).cache()
+    got = {r["path"]: r for r in rows.where("path <> '/'").collect()}
+    assert rows.count() == n + 3 and got["/river"]["words"] == ["river", long, "/river"]
+    assert got[f"/zzz/{long}"]["words"] == ["casino", "zebra", "/zzz", f"/{long}"]
+    # Distinct words of both classes, and how often each was seen.
+    seen = rows.select(F.explode("words").alias("w")).agg(F.count("w"), F.count_distinct("w")).first()
+    base = math.log((seen[0] - 4 + seen[1] + 1) / (4 + seen[1] + 1))
+    want = math.log(2 / (n + 3)) + 2 * base + math.log(1 / 2) + math.log(2 / 2)
+    assert got["/zzz"]["words"] == ["quiet", "/zzz"] and got["/zzz"]["score"] == pytest.approx(want)
+
+
 # 10
 
 

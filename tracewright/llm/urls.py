@@ -7,15 +7,17 @@ naive Bayes scores the words of host and path.
 from __future__ import annotations
 
 import math
-import re
-from collections import Counter
+import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import Bits, durable
+
 #: Verdict, rule: a host (with its subdomains) and the beginning of a path (fixed values).
 RULES = [
     ("allow", "org/"),
@@ -28,10 +30,11 @@ RULES = [
 UNWANTED = frozenset("adult ads advert bet bets betting bonus casino cheap click escort free gambling jackpot loan loans lottery malware payday pharma phish pills poker porn prize promo replica sex slots spam tracker track viagra warez win xxx".split())
 #: Common parts of names, known before any count (fixed values).
 COMMON = frozenset("api app blog book cloud data dev doc docs example farm forum game home host info learn library mail map media music net news online open page photo school science shop site store team tech test the tools travel video weather web wiki work world www".split())
-#: Pseudo-count of the words above, words kept in the unigram model, longest word of a split.
-SEED, KEPT, LONGEST = 5, 100_000, 24
+#: Pseudo-count of the words above.
+SEED = 5
+#: Parts of names that a worker looks up at once.
+CHUNK = 200_000
 
-_PART = re.compile(r"[a-zß-öø-ÿ]+")
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -59,33 +62,38 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
     return out
 
 
+def parts(names: Column) -> Column:
+    """Runs of letters of lower-cased names."""
+    return F.regexp_extract_all(names, F.lit("([a-zß-öø-ÿ]+)"), F.lit(1))
+
+
 @dataclass
 class Segmenter:
     """Most probable split of a name under word frequencies; an unknown word of n
-    letters has probability 1/(total * 10**n)."""
+    letters has probability 1/(total * 10**n).
+
+    ``counts`` need hold no other words than those that occur in the name; ``total``
+    is that of all words (and 1).
+    """
 
     counts: dict[str, int]
-    memory: dict = field(default_factory=dict)
+    total: int = 0
 
     def __post_init__(self) -> None:
-        self.total = sum(self.counts.values()) + 1
+        self.total = self.total or sum(self.counts.values()) + 1
 
     def __call__(self, name: str) -> list[str]:
-        if name not in self.memory:
-            if len(self.memory) > 200_000:
-                self.memory.clear()
-            self.memory[name] = self.split(name)
-        return self.memory[name]
-
-    def split(self, name: str) -> list[str]:
+        all_words, letter = math.log(self.total), math.log(10)
+        lengths = sorted({len(w) for w in self.counts})
         best: list[tuple[float, int]] = [(0.0, 0)]
+        unknown = (0.0, 0)  # where an unknown word had best begin, whatever its length
         for end in range(1, len(name) + 1):
-            options = []
-            for start in range(max(0, end - LONGEST), end):
-                n = self.counts.get(name[start:end])
-                p = math.log(n / self.total) if n else -math.log(self.total) - (end - start) * math.log(10)
-                options.append((best[start][0] + p, start))
+            options = [(unknown[0] - end * letter - all_words, unknown[1])]
+            for k in lengths:
+                if k <= end and (n := self.counts.get(name[end - k : end])):
+                    options.append((best[end - k][0] + math.log(n) - all_words, end - k))
             best.append(max(options))
+            unknown = max(unknown, (best[end][0] + end * letter, end))
         words, end = [], len(name)
         while end:
             start = best[end][1]
@@ -93,27 +101,43 @@ class Segmenter:
             end = start
         return words[::-1]
 
-    def tokens(self, host: str, path: str) -> list[str]:
-        """Words of the host without its last label, then of the path."""
-        names = _PART.findall(host.rpartition(".")[0] or host)
-        return [w for x in names for w in self(x)] + ["/" + w for x in _PART.findall(path.lower()) for w in self(x)]
 
+def split_names(names: DataFrame, words: DataFrame) -> DataFrame:
+    """(name, pieces) of distinct ``names`` under the table ``words`` (word, n).
 
-@dataclass
-class NaiveBayes:
-    counts: dict[str, Counter]
-    rows: dict[str, int]
+    The words stay distributed: a bitmap tells which parts of a name may be words,
+    and only those are joined with their counts.
+    """
+    sc = names.sparkSession.sparkContext
+    total = words.agg(F.sum("n")).first()[0] + 1
+    lengths = sorted(r[0] for r in words.select(F.length("word")).distinct().collect())
+    bits = sc.broadcast(Bits.of(words.select(F.crc32(F.col("word").cast("binary")))))
 
-    def __post_init__(self) -> None:
-        vocabulary = len({w for c in self.counts.values() for w in c}) + 1
-        total = sum(self.rows.values()) + 2
-        self.prior = {k: math.log((self.rows.get(k, 0) + 1) / total) for k in ("allow", "block")}
-        self.base = {k: -math.log(sum(self.counts[k].values()) + vocabulary) for k in self.prior}
+    def listed(owners: list[str], found: list[str]) -> pa.RecordBatch:
+        has = bits.value.has(np.fromiter((zlib.crc32(w.encode()) for w in found), np.uint64, len(found)))
+        has |= np.fromiter((a == b for a, b in zip(owners, found, strict=True)), bool, len(found))  # so every name has a row
+        return pa.RecordBatch.from_arrays([pa.array(owners, pa.string()), pa.array(found, pa.string())], names=["name", "word"]).filter(pa.array(has))
+
+    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            owners, found = [], []
+            for name in b.column(0).to_pylist():
+                some = {name} | {name[s : s + k] for k in lengths if k <= len(name) for s in range(len(name) - k + 1)}
+                owners += [name] * len(some)
+                found += some
+                if len(found) >= CHUNK:
+                    yield listed(owners, found)
+                    owners, found = [], []
+            yield listed(owners, found)
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            names = b.column(0).to_pylist()
+            pieces = [Segmenter({r["word"]: r["n"] for r in known if r["n"]}, total)(name) for name, known in zip(names, b.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pieces, pa.list_(pa.string()))], names=["name", "pieces"])
 
-    def score(self, tokens: list[str]) -> float:
-        """Log-odds of block against allow."""
-        side = {k: self.prior[k] + sum(self.base[k] + math.log(self.counts[k].get(w, 0) + 1) for w in tokens) for k in self.prior}
-        return side["block"] - side["allow"]
+    known = names.mapInArrow(candidates, "name string, word string").join(words, "word", "left").groupBy("name").agg(F.collect_list(F.struct("word", "n")).alias("known"))
+    return known.mapInArrow(split, "name string, pieces array<string>")
 
 
 def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES) -> DataFrame:
@@ -125,49 +149,41 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
     repeat; an empty table gives no rows.
 
     Word frequencies (of paths, and of host names that signs divide) and class counts
-    come from all urls: an aggregation of words each (rows: distinct words), of which the unigram model keeps the 100,000 most
-    frequent; classes start from hosts that name an unwanted thing.
+    come from all urls and keep every word, of any length.  They stay distributed
+    and are joined to distinct names and words; the driver sees sums only.  Classes
+    start from hosts that name an unwanted thing.
     """
     spark = pages.sparkSession
-    url = F.col(url_col).cast("string")
+    url, key = F.col(url_col).cast("string"), ["host", "path"]
     df = pages.select(F.col(id_col).alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"))
+    urls = durable(df.groupBy(*key).agg(F.count(F.lit(1)).alias("n")), "urls")
     # A name in one piece says nothing about its words; parts set apart by a sign do.
-    divided = F.filter(F.split(F.regexp_replace("host", r"\.[^.]*$", ""), r"\."), lambda x: x.rlike("[^a-zß-öø-ÿ]"))
-    named = F.regexp_extract_all(F.lower(F.concat_ws(" ", divided, "path")), F.lit("([a-zß-öø-ÿ]+)"), F.lit(1))
-    words = df.select(F.explode(named).alias("word")).where(F.length("word") <= LONGEST).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    counts = Counter(dict.fromkeys(UNWANTED | COMMON, SEED))
-    for r in words.orderBy(F.desc("n"), "word").limit(KEPT).collect():
-        counts[r["word"]] += r["n"]
-    unigrams = spark.sparkContext.broadcast(dict(counts))
-
-    def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, got = Segmenter(unigrams.value), Counter()
-        for b in batches:
-            for (host, path), n in Counter(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)).items():
-                tokens = split.tokens(host, path)
-                kind = "block" if UNWANTED & set(tokens) else "allow"
-                got[kind, ""] += n
-                for w in tokens:
-                    got[kind, w] += n
-        rows = sorted(got.items())
-        yield pa.RecordBatch.from_arrays([pa.array([k for (k, _), _ in rows], pa.string()), pa.array([w for (_, w), _ in rows], pa.string()), pa.array([n for _, n in rows], pa.int64())], names=["kind", "word", "n"])
-
-    by_class = {"allow": Counter(), "block": Counter()}
-    shares: dict[str, int] = {}
-    learned = df.select("host", "path").mapInArrow(classes, "kind string, word string, n long").groupBy("kind", "word").agg(F.sum("n").alias("n"))
-    for r in learned.orderBy(F.desc("n"), "word", "kind").limit(2 * KEPT).collect():
-        if r["word"]:
-            by_class[r["kind"]][r["word"]] = r["n"]
-        else:
-            shares[r["kind"]] = r["n"]
-    bayes = spark.sparkContext.broadcast(NaiveBayes(by_class, shares))
-
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split = Segmenter(unigrams.value)
-        for b in batches:
-            tokens = [split.tokens(h, p) for h, p in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(tokens, pa.list_(pa.string())), pa.array([bayes.value.score(t) for t in tokens], pa.float64())], names=["page_id", "host", "path", "words", "score"])
-
-    kind = df.schema["page_id"].dataType.simpleString()
-    out = df.mapInArrow(scored, f"page_id {kind}, host string, path string, words array<string>, score double").withColumn("fit", rule_of(F.col("host"), F.col("path"), rules))
+    bare = F.regexp_replace("host", r"\.[^.]*$", "")
+    divided = F.filter(F.split(bare, r"\."), lambda x: x.rlike("[^a-zß-öø-ÿ]"))
+    seeds = spark.createDataFrame([(w, SEED) for w in sorted(UNWANTED | COMMON)], "word string, n long")
+    named = urls.select(F.explode(parts(F.lower(F.concat_ws(" ", divided, "path")))).alias("word"), "n")
+    words = durable(named.unionByName(seeds).groupBy("word").agg(F.sum("n").alias("n")), "words")
+
+    # Words of the host without its last label, then of the path.
+    marked = lambda names, mark: F.transform(names, lambda x: F.struct(F.lit(mark).alias("mark"), x.alias("name")))
+    items = F.concat(marked(parts(F.when(bare != "", bare).otherwise(F.col("host"))), ""), marked(parts(F.lower("path")), "/"))
+    places = urls.select(*key, F.posexplode(items).alias("at", "item")).select(*key, "at", "item.mark", "item.name")
+    splits = durable(split_names(places.select("name").distinct(), words), "splits")
+    pieces = F.transform("pieces", lambda w: F.concat("mark", w))
+    joined = places.join(splits, "name").groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("at", pieces.alias("words")))).alias("told"))
+    told = urls.join(joined, key, "left").select(*key, "n", F.coalesce(F.flatten("told.words"), F.array().cast("array<string>")).alias("words"))
+    told = durable(told.withColumn("bad", F.arrays_overlap("words", F.array(*map(F.lit, sorted(UNWANTED))))), "told")
+
+    block, allow = F.sum(F.when(F.col("bad"), F.col("n")).otherwise(0)), F.sum(F.when(F.col("bad"), 0).otherwise(F.col("n")))
+    counts = durable(told.select(F.explode("words").alias("word"), "n", "bad").groupBy("word").agg(block.alias("block"), allow.alias("allow")), "classes")
+    rows = [n or 0 for n in told.agg(block, allow).first()]
+    seen = [n or 0 for n in counts.agg(F.sum("block"), F.sum("allow"), F.count(F.lit(1)) + 1).first()]
+    prior, base = math.log((rows[0] + 1) / (rows[1] + 1)), math.log((seen[1] + seen[2]) / (seen[0] + seen[2]))
+
+    # Log-odds of block against allow.
+    weight = F.lit(base) + F.log((F.col("block") + 1) / (F.col("allow") + 1))
+    weighed = told.select(*key, F.posexplode("words").alias("at", "word")).join(counts, "word").groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("at", weight.alias("w")))).alias("odds"))
+    score = F.aggregate(F.coalesce("odds.w", F.array().cast("array<double>")), F.lit(prior), lambda a, w: a + w)
+    scored = told.join(weighed, key, "left").select(*key, "words", score.alias("score"))
+    out = df.join(scored, key, "left").withColumn("fit", rule_of(F.col("host"), F.col("path"), rules))
     return out.select("page_id", "host", "path", F.col("fit.rule").alias("rule"), F.coalesce("fit.verdict", F.when(F.col("score") > 0, "block").otherwise("allow")).alias("verdict"), "words", "score")
