@@ -151,6 +151,16 @@ def test_viterbi_restores_disguised_words():
     assert "stupid" in restore("so s t u p i d!") and "idiot" in restore("1d10t!!") and restore("plain words") == set()
 
 
+def test_whole_runs_are_restored():
+    lm = toxicity.LanguageModel(toxicity.trigrams(b"the quick idiot and a stupid moron went home " * 50))
+    restore = toxicity.Restorer(lm)
+    text = "the quick moron went home and the quick moron went home and the quick idiot and a stupid moron"
+    assert restore(" ".join(text.replace(" ", ""))) == set(text.split())
+    assert restore("a s t u p i d") == {"a", "stupid"} and restore("so s t u p i d!") == {"stupid"}
+    assert restore("id" + 45 * "i" + "ot") == {"idiot"} and restore("m0r0n" * 9) == {"moron" * 9}
+    assert len(lm.decode("a1" * 20_000, True).replace(" ", "")) == 40_000
+
+
 def test_toxicity_on_held_out_rows(spark):
     def make(text, y, rng):
         return text + (" " + rng.choice(["idiot", "1diot", "i d i o t", "idiooot"]) if y else "")

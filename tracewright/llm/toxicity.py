@@ -33,8 +33,8 @@ SWAP, REPEAT = 1.0, 0.7
 SAMPLE = 2500
 #: Word beginnings that count as features, and the least support of a feature.
 PREFIXES, SUPPORT = (4, 5), 3
-#: Longest disguised word that is decoded; longer runs of signs are no words.
-LONGEST = 40
+#: Characters of runs that a worker remembers.
+REMEMBERED = 4_000_000
 #: Strength with which the scale is held to its first value.
 RIDGE = np.array([20.0, 20.0, 0.5])
 
@@ -42,8 +42,9 @@ _LETTER = "abcdefghijklmnopqrstuvwxyzß-öø-ÿ"
 _SIGN = re.escape("".join(LOOKS))
 _WORD = re.compile(f"[{_LETTER}]+")
 _SPACED = re.compile(rf"(?<![{_LETTER}0-9@$])(?:[{_LETTER}{_SIGN}]([ .\-_*/])(?:[{_LETTER}{_SIGN}]\1)+[{_LETTER}{_SIGN}])(?![{_LETTER}0-9@$])")
-_MIXED = re.compile(rf"(?=[{_SIGN}]*[{_LETTER}])(?=[{_LETTER}]*[{_SIGN}])[{_LETTER}{_SIGN}]{{3,{LONGEST}}}")
+_MIXED = re.compile(rf"(?<![{_LETTER}{_SIGN}])(?=[{_SIGN}]*[{_LETTER}])(?=[{_LETTER}]*[{_SIGN}])[{_LETTER}{_SIGN}]{{3,}}")
 _LONG = re.compile(rf"([{_LETTER}])\1\1")
+_MANY = re.compile(r"(.)\1{3,}", re.DOTALL)
 
 #: Symbols of the language model: 0 is a word's edge, 1-26 the letters, 27 any other letter.
 SYMBOLS = 28
@@ -76,54 +77,77 @@ class LanguageModel:
         p = (two + 8 * p) / (two.sum(axis=1, keepdims=True) + 8)
         p = (three + 8 * p[None]) / (three.sum(axis=2, keepdims=True) + 8)
         self.cost = -np.log(p)
+        self.table = self.cost.tolist()
 
-    def decode(self, signs: str) -> str:
-        """Cheapest word of a lattice: each run of one sign is one of its letters, once or twice."""
+    def decode(self, signs: str, spaced: bool = False) -> str:
+        """Cheapest word of a lattice: each run of one sign is one of its letters, once or twice.
+
+        With ``spaced``, edges of words may stand between any two letters; they are
+        blanks of the result.  Time is linear in the signs.
+        """
         runs = [(m[0][0], len(m[0])) for m in re.finditer(r"(.)\1*", signs, re.DOTALL)]
-        paths = {(0, 0): (0.0, "")}  # the last two symbols decide what follows
+        paths: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}  # the last two symbols decide what follows
         for sign, n in runs:
-            new: dict[tuple[int, int], tuple[float, str]] = {}
+            new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
             for letter in LOOKS.get(sign, sign):
                 s, swap = symbol(letter), SWAP if sign in LOOKS else 0.0
-                for times in (1, 2) if n > 1 else (1,):
-                    for (a, b), (cost, word) in paths.items():
-                        c, x, y = cost + swap * n + REPEAT * (n != times), a, b
-                        for _ in range(times):
-                            c += self.cost[x, y, s]
-                            x, y = y, s
+                forms = [letter, letter * 2] if n > 1 else [letter]
+                if spaced:
+                    forms += [f"{letter} {letter}"] * (n > 1)
+                    forms += [f" {f}" for f in forms]
+                for form in forms:
+                    codes = [0 if c == " " else s for c in form]
+                    extra = swap * n + REPEAT * (n != form.count(letter))
+                    for (a, b), (cost, back) in paths.items():
+                        if codes[0] == b == 0:
+                            continue
+                        c, x, y = cost + extra, a, b
+                        for code in codes:
+                            c += self.table[x][y][code]
+                            x, y = y, code
                         if (x, y) not in new or c < new[x, y][0]:
-                            new[x, y] = (c, word + letter * times)
+                            new[x, y] = (c, (back, form))
             paths = new
-        return min((c + self.cost[a, b, 0], w) for (a, b), (c, w) in paths.items())[1]
+        _, back = min(((c + self.table[a][b][0], w) for (a, b), (c, w) in paths.items()), key=lambda x: x[0])
+        found = []
+        while back:
+            back, form = back
+            found.append(form)
+        return "".join(reversed(found))
 
 
-def disguised(lower: str) -> Iterator[str]:
-    """Runs of signs of a lower-cased text that may hide a word."""
+def disguised(lower: str) -> Iterator[tuple[str, bool]]:
+    """Runs of signs of a lower-cased text that may hide words, whole, and whether
+    all letters of the run stood apart (then it may hide several)."""
     for m in _SPACED.finditer(lower):
-        yield m[0].replace(m[1], "")[:LONGEST]
+        yield m[0][::2], True
     for m in _MIXED.finditer(lower):
-        yield m[0]
+        yield m[0], False
         if (bare := m[0].strip("!|(<#*%+")) != m[0] and len(bare) > 2:
-            yield bare
+            yield bare, False
     if _LONG.search(lower):
         for m in _WORD.finditer(lower):
-            if len(m[0]) <= LONGEST and _LONG.search(m[0]):
-                yield m[0]
+            if _LONG.search(m[0]):
+                yield m[0], False
 
 
 @dataclass
 class Restorer:
     lm: LanguageModel
     memory: dict = field(default_factory=dict)
+    size: int = 0
 
     def __call__(self, lower: str) -> set[str]:
         out = set()
-        for signs in disguised(lower):
-            if signs not in self.memory:
-                if len(self.memory) > 100_000:
+        for signs, spaced in disguised(lower):
+            key = _MANY.sub(r"\1\1\1", signs), spaced  # more of a sign cost the same on every path
+            if key not in self.memory:
+                if self.size > REMEMBERED:
                     self.memory.clear()
-                self.memory[signs] = self.lm.decode(signs)
-            out.add(self.memory[signs])
+                    self.size = 0
+                self.memory[key] = self.lm.decode(*key).split()
+                self.size += len(key[0])
+            out.update(self.memory[key])
         return out
 
 
