@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from tracewright.models import stub_generator
 from tracewright.plans import queries
 
 SF = "/root/testdata/sf0.001"
@@ -43,3 +44,12 @@ def test_entry(spark):
 @pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.ORACLES)))
 def test_rows_only(spark, name):
     assert queries.QUERIES[name](spark, SF).count() > 0
+
+
+def test_whole_texts_are_read(spark, tmp_path):
+    texts = ["word " * 100 + end for end in "abcdefgh"] + ["x " * 300 + "river", "river " + "y " * 300 + "river"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    run = lambda name, column: {r["doc_id"]: r[column] for r in queries.QUERIES[name](spark, str(tmp_path)).collect()}
+    generate = stub_generator()
+    assert run("vlm_infer_stub", "output_text") == {i: generate(t, None, 128) for i, t in enumerate(texts)}
+    assert [run("text_overlap_whole", "score")[i] for i in (8, 9)] == [1, 2]

@@ -303,6 +303,15 @@ def text_overlap(spark, sf):
     return table(spark, sf, "documents").select("doc_id", ranking.overlap_score(F.substring(t, 1, 200), F.substring(t, 150, 60)).cast("int").alias("score"))
 
 
+@query("""WITH w AS (SELECT doc_id, lower(substr(text, 1, length(text) // 2)) AS a, lower(substr(text, length(text) // 2 + 1)) AS b FROM documents)
+SELECT doc_id, CAST((CASE WHEN contains(a, b) OR contains(b, a) THEN 100 ELSE 0 END) + len(list_intersect(list_distinct(list_filter(regexp_split_to_array(a, '\\s+'), lambda x: x <> '')), list_distinct(list_filter(regexp_split_to_array(b, '\\s+'), lambda x: x <> '')))) AS INT) AS score FROM w""".replace("\\\\", "\\"))
+def text_overlap_whole(spark, sf):
+    # Both halves of each text, so that every character is read.
+    t = F.col("text")
+    half = F.floor(F.length(t) / 2).cast("int")
+    return table(spark, sf, "documents").select("doc_id", ranking.overlap_score(t.substr(F.lit(1), half), t.substr(half + 1, F.length(t))).cast("int").alias("score"))
+
+
 @query("""WITH q AS (SELECT label, min(vec_id) AS query_id FROM embeddings GROUP BY label), a AS (SELECT q.label, query_id, embedding AS a FROM q JOIN embeddings ON vec_id = query_id),
 s AS (SELECT query_id, vec_id, list_cosine_similarity(a::DOUBLE[], embedding::DOUBLE[]) AS c FROM a JOIN embeddings e ON e.label = a.label AND vec_id <> query_id)
 SELECT query_id, vec_id, rn - 1 AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, vec_id) AS rn FROM s) WHERE rn <= 5""")
@@ -368,7 +377,7 @@ def page_summary(spark, sf):
 
 @query(None)
 def vlm_infer_stub(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", F.substring("text", 1, 200).alias("prompt"))
+    docs = table(spark, sf, "documents").select("doc_id", F.col("text").alias("prompt"))
     return generate_plans(docs).select("doc_id", "output_text", "error")
 
 
