@@ -298,6 +298,22 @@ def test_decontamination_equals_brute_force(spark):
     assert decontaminate.contaminated(frame(spark, docs), bench.where("false")).count() == 0
 
 
+def test_short_passages_have_the_whole_budget(spark):
+    rng = random.Random(9)
+    items = [(n, "".join(rng.choices("abcdefghijklmnop", k=n))) for n in (*range(8, 45), 50)]
+    docs = []
+    for n, p in items:
+        for k in range(n // 10 + 2):
+            q = list(p)
+            for at in range(k):  # the edits stand evenly, so long q-grams are lost
+                q[(at + 1) * n // (k + 1)] = "z"
+            docs.append((100 * n + k, f"wwww {''.join(q)} yyyy"))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["edits"] for r in decontaminate.contaminated(frame(spark, docs), bench).collect()}
+    want = {(i, n): e for i, t in docs for n, p in items if (e := edits(p, t)) <= int(n * 0.1)}
+    assert got == want and (1001, 10) in want and (2002, 20) in want and (3003, 30) in want
+
+
 # 9
 
 

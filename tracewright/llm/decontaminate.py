@@ -3,7 +3,8 @@
 An occurrence of an m-character passage with at most e edits keeps m-q+1-q*e of
 its q-grams, and they all lie on diagonals that differ by at most e.  So shared
 q-grams are counted in overlapping diagonal bands; regions that reach the bound
-are kept and verified by banded alignment.
+are kept and verified by banded alignment.  q is 8, or less for passages so short
+that 8-grams would not leave one for the whole edit budget.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import durable, slices, texts, without
 
-#: Length of a q-gram, and the edits allowed as a share of a passage's length.
+#: Longest q-gram, which is also the shortest passage, and the edits allowed as a share of a passage's length.
 Q, EDITS = 8, 0.1
 #: Passages that go out at once; a larger benchmark is searched in blocks.
 BLOCK = 20_000
@@ -60,10 +61,15 @@ def fold(text: str) -> bytes:
     return b.strip(b" ")
 
 
-def grams(x: np.ndarray) -> np.ndarray:
-    """Each 8-gram of folded characters as one 64-bit number, by doubling."""
-    if len(x) < Q:
+def grams(x: np.ndarray, q: int = Q) -> np.ndarray:
+    """Each q-gram of folded characters as one 64-bit number, 8-grams by doubling."""
+    if len(x) < q:
         return np.zeros(0, _U)
+    if q < Q:
+        h = np.zeros(len(x) - q + 1, _U)
+        for k in range(q):
+            h |= x[k : len(x) - q + 1 + k].astype(_U) << _U(8 * k)
+        return h
     h = x[:-1].astype(np.uint16) | (x[1:].astype(np.uint16) << np.uint16(8))
     h = h[:-2].astype(np.uint32) | (h[2:].astype(np.uint32) << np.uint32(16))
     return h[:-4].astype(_U) | (h[4:].astype(_U) << _U(32))
@@ -77,6 +83,7 @@ def _slot(h: np.ndarray) -> np.ndarray:
 class Index:
     """Q-grams of a block of passages: where each stands, as (passage, position)."""
 
+    q: int
     ids: list
     passages: list[np.ndarray]
     edits: np.ndarray
@@ -88,12 +95,20 @@ class Index:
     table: np.ndarray
 
     @classmethod
-    def of(cls, items: list[tuple[object, str]], share: float = EDITS) -> Index:
-        kept = [(i, points(normalise(t)), t) for i, t in items if t is not None]
-        kept, raw = [(i, p) for i, p, _ in kept if len(p) >= Q], [t for _, p, t in kept if len(p) >= Q]
+    def all_of(cls, items: list[tuple[object, str]], share: float = EDITS) -> list[Index]:
+        """An index for each q: the longest, up to 8, with which a q-gram outlives the edits."""
+        groups: dict[int, list] = {}
+        for i, t in items:
+            if t is not None and (size := len(normalise(t))) >= Q:
+                groups.setdefault(max(1, min(Q, size // (int(size * share) + 1))), []).append((i, t))
+        return [cls.of(group, share, q) for q, group in sorted(groups.items())]
+
+    @classmethod
+    def of(cls, items: list[tuple[object, str]], share: float, q: int) -> Index:
+        kept, raw = [(i, points(normalise(t))) for i, t in items], [t for _, t in items]
         size = np.array([len(p) for _, p in kept], np.int64)
-        edits = np.minimum((size * share).astype(np.int64), (size - Q) // Q)  # the bound stays positive
-        found = [grams(np.frombuffer(fold(t), np.uint8)) for t in raw]
+        edits = (size * share).astype(np.int64)
+        found = [grams(np.frombuffer(fold(t), np.uint8), q) for t in raw]
         h = np.concatenate([np.zeros(0, _U), *found])
         item = np.repeat(np.arange(len(kept)), [len(g) for g in found]) if kept else np.zeros(0, np.int64)
         at = np.concatenate([np.zeros(0, np.int64), *(np.arange(len(g)) for g in found)])
@@ -101,11 +116,11 @@ class Index:
         keys, first = np.unique(h[order], return_index=True)
         table = np.zeros(1 << _BITS, bool)
         table[_slot(keys)] = True
-        return cls([i for i, _ in kept], [p for _, p in kept], edits, size - Q + 1 - Q * edits, keys, np.append(first, len(h)), item[order], at[order], table)
+        return cls(q, [i for i, _ in kept], [p for _, p in kept], edits, size - q + 1 - q * edits, keys, np.append(first, len(h)), item[order], at[order], table)
 
     def hits(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(position in x, passage, position in the passage) of each shared q-gram."""
-        h = grams(x)
+        h = grams(x, self.q)
         where = np.flatnonzero(self.table[_slot(h)])
         if not len(where) or not len(self.keys):
             return (np.zeros(0, np.int64),) * 3
@@ -212,19 +227,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     schema = f"doc_id {kinds['doc_id']}, item_id {kinds['item_id']}, start_char long, end_char long, edits long, similarity double"
 
     def block(rows: list) -> DataFrame:
-        index = spark.sparkContext.broadcast(Index.of(rows, share))
+        index = spark.sparkContext.broadcast(Index.all_of(rows, share))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            x = index.value
             for b in slices(batches):
                 part, size = [], 0
                 for k, t in enumerate(texts(b)):
                     part.append((k, t))
                     size += len(t)
                     if size >= CHARS:
-                        yield out(b, part, x)
+                        yield from (out(b, part, x) for x in index.value)
                         part, size = [], 0
-                yield out(b, part, x)
+                yield from (out(b, part, x) for x in index.value)
 
         def out(b: pa.RecordBatch, part: list, x: Index) -> pa.RecordBatch:
             got = search([t for _, t in part], x) if part else []
