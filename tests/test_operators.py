@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracewright.models import OutOfMemory, call, generate_plans
 from tracewright.operators import checkpoint, history, match, metrics, ranking, sampling
-from tracewright.plans import pipeline
+from tracewright.plans import pipeline, queries
 from tracewright.sources import sinks, steps
 from tracewright.streaming import progress
 
@@ -68,6 +68,21 @@ def test_top_k_plan_has_group_limit(spark):
     assert "WindowGroupLimit" in top._jdf.queryExecution().executedPlan().toString()
 
 
+def test_nearest_vectors_of_every_hundredth_row(spark, tmp_path, monkeypatch):
+    vectors = {i: [1.0, float(i % 7), float(i * i % 11)] for i in range(350)} | {400: [0.0, 0.0, 0.0], 401: None, 402: [1.0]}
+    spark.createDataFrame([(i, v, i % 5) for i, v in vectors.items()], "vec_id long, embedding array<float>, label int").repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
+
+    def similarity(a, b):
+        return round(sum(x * y for x, y in zip(a, b, strict=True)) / (sum(x * x for x in a) ** 0.5 * sum(x * x for x in b) ** 0.5), 12)
+
+    monkeypatch.setattr(ranking, "BLOCK", 3)
+    got = queries.QUERIES["cosine_rank_all"](spark, str(tmp_path)).collect()
+    for q in (0, 100, 200, 300):
+        want = sorted((i for i in range(350) if i != q), key=lambda i: (-similarity(vectors[q], vectors[i]), i))[:5]
+        assert [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] == want
+    assert len(got) == 20
+
+
 def test_checkpoint(spark, tmp_path):
     tasks = spark.createDataFrame([("a",), ("b",), ("c",)], "annotation_id string")
     done = spark.createDataFrame([("b",), ("b",), (None,), ("",)], "annotation_id string")

@@ -5,8 +5,12 @@ from __future__ import annotations
 import ast
 import json
 import re
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,6 +64,72 @@ def overlap_score(representation: Column, probe: Column) -> Column:
     return F.when(F.contains(a, b) | F.contains(b, a), 100).otherwise(0) + F.size(F.array_intersect(tokens(a), tokens(b)))
 
 
+#: Query vectors that go out at once, and similarities that a worker computes at once.
+BLOCK, CELLS = 2_000, 2_000_000
+
+
+def nearest_vectors(rows: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """query_id, vec_id, score and rank of the k rows most similar to each query by cosine, without itself.
+
+    The lower id wins ties.  Vectors that are null, zero or of another length than the
+    query have no similarity.  Queries go out in blocks, each met by every row in one
+    pass; a task keeps k rows of each query, so pairs are never shuffled.
+    """
+    spark = rows.sparkSession
+    table = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("embedding")).where("vec_id is not null and embedding is not null")
+
+    def block(ids: list[int], vectors: list[list[float]]) -> DataFrame:
+        sent = spark.sparkContext.broadcast((np.array(ids, np.int64), np.array(vectors, np.float64)))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names, q = sent.value
+            size, step = q.shape[1], max(1, CELLS // len(q))
+            best, found = np.full((len(q), 0), -np.inf), np.zeros((len(q), 0), np.int64)
+            norm = np.sqrt(_squares(q))[:, None]
+            for b in batches:
+                b = b.filter(pc.equal(pc.list_value_length(b.column(1)), size))
+                for at in range(0, b.num_rows, step):
+                    part = b.slice(at, step)
+                    ids = part.column(0).to_numpy()
+                    x = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
+                    c = np.zeros((len(q), len(x)))
+                    for d in range(size):  # in this order for each pair, so equal vectors tie
+                        c += q[:, d, None] * x[None, :, d]
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        c /= norm * np.sqrt(_squares(x))[None, :]
+                    c[~np.isfinite(c) | (names[:, None] == ids[None, :])] = -np.inf
+                    best, found = np.hstack([best, c]), np.hstack([found, np.broadcast_to(ids, c.shape)])
+                    keep = np.lexsort((found, -best), axis=1)[:, :k]
+                    best, found = np.take_along_axis(best, keep, 1), np.take_along_axis(found, keep, 1)
+            some = np.isfinite(best)
+            yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(names[:, None], best.shape)[some]), pa.array(found[some]), pa.array(best[some])], names=["query_id", "vec_id", "score"])
+
+        return table.mapInArrow(run, "query_id long, vec_id long, score double")
+
+    blocks: list[DataFrame] = []
+    held: dict[int, tuple[list, list]] = {}  # by length of the vectors
+    for r in queries.select(F.col(id_col).cast("long"), F.col(vector).cast("array<double>")).toLocalIterator():
+        if r[0] is None or not r[1] or None in r[1]:
+            continue
+        ids, vectors = held.setdefault(len(r[1]), ([], []))
+        ids.append(r[0])
+        vectors.append(r[1])
+        if len(ids) == BLOCK:
+            blocks.append(block(*held.pop(len(r[1]))))
+    blocks += [block(*h) for h in held.values()]
+    out = blocks[0] if blocks else spark.createDataFrame([], "query_id long, vec_id long, score double")
+    for b in blocks[1:]:
+        out = out.unionByName(b)
+    return top_candidates(out, "query_id", k, "score", "vec_id")
+
+
+def _squares(x: np.ndarray) -> np.ndarray:
+    total = np.zeros(len(x))
+    for d in range(x.shape[1]):
+        total += x[:, d] * x[:, d]
+    return total
+
+
 _TAGGED = re.compile(r"Selected element\s*[:\-\[]\s*(\{.*\})", re.DOTALL | re.IGNORECASE)
 
 

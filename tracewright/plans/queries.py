@@ -324,6 +324,14 @@ def cosine_rank(spark, sf):
     return ranking.top_candidates(scored, "query_id", 5, "score", "vec_id").select("query_id", "vec_id", F.col("rank").cast("long").alias("rank"))
 
 
+@query("""WITH q AS (SELECT vec_id AS query_id, embedding AS a FROM embeddings WHERE vec_id % 100 = 0),
+s AS (SELECT query_id, vec_id, list_cosine_similarity(a::DOUBLE[], embedding::DOUBLE[]) AS c FROM q JOIN embeddings ON vec_id <> query_id)
+SELECT query_id, vec_id, rn - 1 AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, vec_id) AS rn FROM s) WHERE rn <= 5""")
+def cosine_rank_all(spark, sf):
+    e = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    return ranking.nearest_vectors(e, e.where("vec_id % 100 = 0"), 5).select("query_id", "vec_id", F.col("rank").cast("long").alias("rank"))
+
+
 @query("SELECT o_orderkey, false AS skipped FROM orders WHERE o_orderkey % 4 <> 0 UNION ALL SELECT o_orderkey, true FROM orders WHERE o_orderkey % 4 = 0")
 def checkpoint_skip(spark, sf):
     tasks = table(spark, sf, "orders").select("o_orderkey")
