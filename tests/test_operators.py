@@ -139,6 +139,26 @@ def test_read_and_run(spark, trace, tmp_path):
     assert "PushedFilters: [IsNotNull(annotation_id), EqualTo(annotation_id,t1)]" in table.where("annotation_id = 't1'")._jdf.queryExecution().executedPlan().toString()
 
 
+def test_ground_reads_answers_of_every_kind(spark):
+    page = "<a backend_node_id='5'>buy</a><button backend_node_id='6'>pay now</button>"
+    plans = spark.createDataFrame([(t, 0, "click buy", page, t) for t in ("text", "index", "none")], "annotation_id string, step_index int, plan string, cleaned_html string, instruction string")
+
+    def answers():
+        def generate(prompt, image, tokens):
+            if "0. <a>" not in prompt or "1. <button>" not in prompt:
+                return "0"
+            if "instruction: index" in prompt:
+                return "1"
+            if "single token: an integer" not in prompt:
+                return "hm"
+            return 'Selected element: {"text": "pay now"}' if tokens == 4 and "instruction: text" in prompt else "hm"
+
+        return generate
+
+    got = {r["annotation_id"]: r["selected"]["attributes"]["backend_node_id"] for r in pipeline.ground(plans, answers=answers).collect()}
+    assert got == {"text": "6", "index": "6", "none": "5"}
+
+
 def test_report():
     text = sinks.report({"total": 2, "action_accuracy": 0.5, "target_accuracy": 1.0, "value_accuracy": 1.0}, [{"oracle_action_type": "click", "total": 2, "action_match_rate": 0.5}])
     assert "Action accuracy: 50.00%" in text and "click (n=2)" in text

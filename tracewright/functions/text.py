@@ -84,6 +84,20 @@ def candidate_line(rank: Column, element: Column, score: Column) -> Column:
     return F.format_string('%d. <%s> text="%s" attrs=%s (score: %.4f)', rank, F.coalesce(element["tag"], F.lit("?")), shorten(squeeze(element["text"]), 120), F.coalesce(quoted_map(kept), F.lit("{}")), F.coalesce(score, F.lit(0.0)))
 
 
+def choice_prompt(instruction: Column, plan: Column, candidates: Column) -> Column:
+    """The grounding question about an array of struct<score,element>, best first."""
+    lines = F.array_join(F.transform(candidates, lambda c, i: candidate_line(i, c["element"], c["score"])), "\n")
+    return F.concat(
+        F.lit("Select the best candidate for the next single action.\nReturn exactly one token: a 0-based candidate index, or NO_MATCH.\nNo JSON, no explanations.\n\nuser instruction: "),
+        shorten(squeeze(instruction), 220),
+        F.lit("\nplan: "),
+        shorten(squeeze(plan), 200),
+        F.lit("\n\nCandidates (scored, descending):\n"),
+        lines,
+        F.lit("\n\nAnswer:\n"),
+    )
+
+
 def dom_lines(elements: Column, limit: int = 50) -> Column:
     """The first elements of a page, numbered from 1."""
     line = lambda e, i: F.concat((i + 1).cast("string"), F.lit(". <"), or_empty(e["tag"]), F.lit('> "'), F.substring(squeeze(e["text"]), 1, 50), F.lit('" class='), F.substring(or_empty(e["attributes"]["class"]), 1, 30))

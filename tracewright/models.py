@@ -7,6 +7,7 @@ library, so a deterministic stub stands in where none is given.
 from __future__ import annotations
 
 import hashlib
+import re
 import time
 from collections.abc import Callable, Iterator
 
@@ -69,6 +70,21 @@ def generate_plans(df: DataFrame, prompt: str = "prompt", image: str | None = No
     return df.mapInPandas(run, f"{kinds}, output_text string, latency double, error string")
 
 
+def strict_retry(factory: Callable[[], Generator], readable: str = r"(?i)\b(NO_MATCH|\d+)\b", note: str = "\n(Reply with a single token: an integer index or NO_MATCH)", tokens: int = 4) -> Callable[[], Generator]:
+    """A factory whose generator asks once more, with ``note``, where the answer isn't readable."""
+
+    def build() -> Generator:
+        generate = factory()
+
+        def ask(prompt: str, image: bytes | None, max_tokens: int) -> str:
+            answer = generate(prompt, image, max_tokens) or ""
+            return answer if re.search(readable, answer) else generate(prompt + note, image, tokens)
+
+        return ask
+
+    return build
+
+
 def word_overlap_scorer() -> Callable[[list[tuple[str, str]]], list[float]]:
     """Share of common words: a scorer for tests."""
 
