@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of a batch are cut again so that no slice has more text than this.
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,7 +36,17 @@ def durable(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.durable_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete durable tables that no later plan reads."""
+    for df in tables:
+        sc = df.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(df.durable_path)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -52,15 +62,15 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(fold(doc_id) == 1, F.lit(False))
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in record batches of bounded text size (one row at least)."""
     for batch in batches:
         at = batch.schema.get_field_index(column)
-        if batch.num_rows == 0 or batch.column(at).nbytes <= SLICE_BYTES:
+        if batch.num_rows == 0 or batch.column(at).nbytes <= limit:
             if batch.num_rows:
                 yield batch
             continue
-        step = max(1, batch.num_rows * SLICE_BYTES // batch.column(at).nbytes)
+        step = max(1, batch.num_rows * limit // batch.column(at).nbytes)
         for start in range(0, batch.num_rows, step):
             yield batch.slice(start, step)
 

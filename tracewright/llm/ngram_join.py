@@ -1,12 +1,22 @@
 """N-gram Jaccard join with set-relation skipping.
 
-Sets with equal shingles are one set.  Each set meets the leader of the sets it
-shares min-hashes with; verified distances to leaders connect the large groups
-of near copies and later answer for their members.  Prefixes (under an order
-that puts frequent shingles last) give index lists.  List entries are skipped by
-block: whole lists whose sets are connected already, size classes that cannot
-match, positions that leave too small an overlap, and members whose distance to
-a common leader rules the pair out.  What is left is verified exactly.
+Sets with equal shingles are one set.  A set that shares most min-hashes with an
+earlier one joins that one's family, and is kept as its difference to the family's
+representative: what it lacks and what it adds.  Two things follow from that
+relation.
+
+* Answers are derived.  With the overlap of set and representative known, a member
+  is linked to it or not; two members a, b of one family overlap in
+  ``|R| - lacks(a) - lacks(b) + |diff(a) & diff(b)|``, so their answer needs the small
+  differences only, and most pairs are ruled out by prefixes of them.  Members of two
+  families overlap in at most ``|R & S| + adds(a) + adds(b)``: the answer of the two
+  representatives, computed once, rules out or decides all their members.
+* Index lists (prefixes, frequent shingles last) are read by blocks.  A block is what
+  one family has in a list and a size class, with the least and greatest position and
+  size; two blocks whose positions leave too small an overlap are skipped unopened.
+
+Blocks are opened only for families whose representatives leave room for a link,
+and what is left is verified exactly.
 """
 
 from __future__ import annotations
@@ -19,26 +29,26 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bits, durable, ordinal, slices, without
+from .common import Bits, durable, ordinal, release, slices, without
 from .graph import components
 from .hashing import U, mix, shingles
 
-#: Min-hashes of a set; a leader must share this many to be tried.
+#: Min-hashes of a set; an earlier set must share this many to be a relative.
 SKETCH, SHARED = 12, 7
-#: Sets with most copies that are read only once from there on.
-HOT = 1024
+#: Members less similar to their representative than this are families of their own.
+KIN = 0.4
 #: Frequent shingles in the order table: a broadcast of at most 16 bytes each.
 FREQUENT = 1 << 18
 #: Shingles that a worker gathers before it counts them.
-GATHERED = 6_000_000
-#: Cells of a set's histogram, which bounds every intersection from above.
-CELLS = 256
+GATHERED = 2_000_000
+#: Bytes of text that a worker looks at together.
+SLICE = 4 << 20
 _SEEDS = np.random.default_rng(5).integers(1, 2**63, SKETCH, dtype=np.int64).view(U)
 
 
 def linked(overlap: Column, a: Column, b: Column, percent: int) -> Column:
     """100 * intersection >= percent * union, in whole numbers."""
-    return 100 * overlap >= percent * (a + b - overlap)
+    return (100 + percent) * overlap >= percent * (a + b)
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -54,35 +64,30 @@ def _lists(x: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]), pa.int32()), _longs(x))
 
 
-def pack(s: np.ndarray) -> bytes:
-    """A set for verification: the upper 48 bits of its hashes."""
-    return (s >> U(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+def unpack(data: pa.Scalar) -> np.ndarray:
+    """A set as it was written down: its sorted 64-bit hashes."""
+    return np.frombuffer(data.as_buffer(), U)
 
 
-def unpack(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
-    return out.view("<u8").ravel()
+def _half(digest: bytes) -> int:
+    return int.from_bytes(digest[:8], "little")
 
 
-def histogram(s: np.ndarray) -> bytes | None:
-    """How many hashes fall in each cell; none for a set too large for bytes."""
-    h = np.bincount((s >> U(56)).astype(np.int64), minlength=CELLS)
-    return h.astype(np.uint8).tobytes() if h.max() < 256 else None
+def place_of(digests: list[bytes], ords: np.ndarray) -> np.ndarray:
+    """A hash of (set, id), to know a set's first row by."""
+    return mix(np.array([_half(d) for d in digests], U) ^ mix(ords.view(U)))
 
 
-def may_link(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b, na, nb, ha, hb) whose histograms leave room for enough overlap:
-    cell by cell, no more can be common than the smaller count."""
-    for b in batches:
-        na, nb = (b.column(i).to_numpy(zero_copy_only=False) for i in (2, 3))
-        bound = np.minimum(na, nb)
-        known = np.array([x.is_valid and y.is_valid for x, y in zip(b.column(4), b.column(5), strict=True)], bool)
-        if known.any():
-            h = [np.frombuffer(b"".join(b.column(i).filter(pa.array(known)).to_pylist()), np.uint8).reshape(-1, CELLS) for i in (4, 5)]
-            bound[known] = np.minimum(*h).sum(axis=1, dtype=np.int64)
-        keep = 100 * bound >= percent * (na + nb - bound)
-        yield pa.RecordBatch.from_arrays([b.column(i).filter(pa.array(keep)) for i in range(4)], names=["a", "b", "na", "nb"])
+def _hashed(df: DataFrame) -> DataFrame:
+    """Rows (digest[, ord]) as hashes for a bitmap."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            d = b.column(0).to_pylist()
+            h = place_of(d, b.column(1).to_numpy(zero_copy_only=False)) if b.num_columns > 1 else np.array([_half(x) for x in d], U)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], names=["h"])
+
+    return df.mapInArrow(run, "h long")
 
 
 class Order:
@@ -100,6 +105,37 @@ class Order:
         return s[np.lexsort((s, level))]
 
 
+def differences(batches: Iterator[pa.RecordBatch], percent: int, order: Order) -> Iterator[pa.RecordBatch]:
+    """Rows (id, root, n, m, tokens, root's tokens) with the member's relation to its
+    representative: lacks, adds, whether it is linked, the difference (added elements
+    first, in the order of shingles, then lacking ones; the last bit tells them apart),
+    and how long a prefix of it can meet an unlinked member (short) or, for an unlinked
+    member itself, any other (long).
+
+    With q = percent / (100 + percent), W = lacks + q * (n - m) and c = (1 - 2q) * m, a
+    member is linked to the representative if W <= c, and a pair needs
+    W(a) + W(b) - c common elements of the differences.  So a partner of an unlinked
+    member needs more than its own W, and an unlinked one at least W - c + q, as any
+    other member has W >= q.
+    """
+    q, whole = percent, 100 + percent
+    for b in batches:
+        cols = {k: [] for k in ("lacks", "adds", "diff", "short", "long")}
+        for n, m, mine, theirs in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4), b.column(5), strict=True):
+            x, y = unpack(mine), unpack(theirs)
+            adds = order.sorted(np.setdiff1d(x, y, assume_unique=True))
+            lacks = np.setdiff1d(y, x, assume_unique=True)
+            w, c = whole * len(lacks) + q * (n - m), (100 - percent) * m  # times whole
+            size = len(adds) + len(lacks)
+            cols["lacks"].append(len(lacks))
+            cols["adds"].append(len(adds))
+            cols["diff"].append(np.concatenate([adds & ~U(1), lacks | U(1)]))
+            cols["short"].append(max(0, size - w // whole))
+            cols["long"].append(0 if w <= c else max(0, size - max(1, -(-(w - c + q) // whole)) + 1))
+        ints = {k: pa.array(v, pa.int64()) for k, v in cols.items() if k != "diff"}
+        yield pa.RecordBatch.from_arrays([*b.columns[:4], ints["lacks"], ints["adds"], _lists(cols["diff"]), ints["short"], ints["long"]], names=["id", "root", "n", "m", "lacks", "adds", "diff", "short", "long"])
+
+
 def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id.
 
@@ -112,15 +148,16 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, id_co
     inside a component are not all written out.
     """
     spark = docs.sparkSession
+    sc = spark.sparkContext
     text = docs.select(ordinal(F.col(id_col)).alias("ord"), F.col(text_col).cast("string").alias("text"))
 
-    def sets(b: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray]]:
-        """Id, key of the set (a hash of its shingles), and the set, in order."""
+    def sets(b: pa.RecordBatch) -> Iterator[tuple[int, bytes, np.ndarray]]:
+        """Id, key of the set (128 bits of its shingles), and the set, in order."""
         for o, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             s = shingles((t or "").encode(), words)
-            yield o, int.from_bytes(blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True), s
+            yield o, blake2b(s.tobytes(), digest_size=16).digest(), s
 
-    kinds = [("ord", pa.int64()), ("n", pa.int64()), ("set", pa.int64()), ("sketch", pa.list_(pa.int64())), ("cells", pa.binary()), ("often", pa.list_(pa.int64())), ("times", pa.list_(pa.int64()))]
+    kinds = [("ord", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("sketch", pa.list_(pa.int64())), ("often", pa.list_(pa.int64())), ("times", pa.list_(pa.int64()))]
 
     def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each text, and now and then one with the shingles seen twice or more."""
@@ -130,13 +167,13 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, id_co
             token, count = np.unique(np.concatenate([np.zeros(0, U), *gathered]), return_counts=True)
             gathered.clear()
             many = count > 1
-            return pa.RecordBatch.from_arrays([*(pa.nulls(1, k) for _, k in kinds[:5]), _lists([token[many]]), pa.array([count[many]], kinds[6][1])], names=[c for c, _ in kinds])
+            return pa.RecordBatch.from_arrays([*(pa.nulls(1, k) for _, k in kinds[:4]), _lists([token[many]]), pa.array([count[many]], kinds[5][1])], names=[c for c, _ in kinds])
 
-        for b in slices(batches):
+        for b in slices(batches, limit=SLICE):
             found = list(sets(b))
             sketch = [np.array([mix(s ^ x).min() for x in _SEEDS], U) if len(s) else np.zeros(0, U) for _, _, s in found]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([len(s) for _, _, s in found], pa.int64()), pa.array([k if len(s) else None for _, k, s in found], pa.int64()), _lists(sketch), pa.array([histogram(s) if len(s) else None for _, _, s in found], pa.binary()), *(pa.nulls(len(found), k) for _, k in kinds[5:])],
+                [b.column(0), pa.array([len(s) for _, _, s in found], pa.int64()), pa.array([k if len(s) else None for _, k, s in found], pa.binary()), _lists(sketch), *(pa.nulls(len(found), k) for _, k in kinds[4:])],
                 names=[c for c, _ in kinds],
             )
             gathered += [s for _, _, s in found]
@@ -144,115 +181,186 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, id_co
                 yield often()
         yield often()
 
-    table = durable(text.mapInArrow(sketches, "ord long, n long, set long, sketch array<long>, cells binary, often array<long>, times array<long>"), "sets")
-    rows = table.where("ord is not null").select("ord", "n", "set")
-    held = table.where("n > 0")
-    distinct = durable(held.groupBy("set").agg(F.min("ord").alias("first"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("cells").alias("cells"), F.count(F.lit(1)).alias("k")), "distinct")
-    # Of the sets with most copies (a bounded list) only the first is read again.
-    hot = distinct.where("k > 1").orderBy(F.desc("k"), "set").limit(HOT).select("set", "first").collect()
-    copies = spark.sparkContext.broadcast({r["set"]: r["first"] for r in hot})
-
-    def read_sets(b: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
-        for o, k, s in sets(b):
-            if len(s) and copies.value.get(k, o) == o:
-                yield k, s
-
-    def overlaps(pairs: DataFrame, tag: str) -> DataFrame:
-        """``pairs`` (a, b, na, nb) that may link, with the exact size of the intersection."""
-        cells = lambda k: distinct.select(F.col("set").alias(k), F.col("cells").alias(f"h{k}"))
-        bounded = pairs.join(cells("a"), "a").join(cells("b"), "b").select("a", "b", "na", "nb", "ha", "hb")
-        pairs = durable(bounded.mapInArrow(lambda x: may_link(x, percent), "a long, b long, na long, nb long"), f"{tag}-pairs")
-        needed = spark.sparkContext.broadcast(Bits.of(pairs.select(F.col("a").alias("x")).unionByName(pairs.select(F.col("b").alias("x")))))
-
-        def shown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in slices(batches):
-                found = list(read_sets(b))
-                has = needed.value.has(np.array([k for k, _ in found], np.int64).view(U))
-                found = [x for x, h in zip(found, has.tolist(), strict=True) if h]
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int64()), pa.array([pack(s) for _, s in found], pa.binary())], names=["x", "tokens"])
-
-        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                size = [len(np.intersect1d(unpack(x), unpack(y), assume_unique=True)) for x, y in zip(b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(size, pa.int64())], names=["a", "b", "na", "nb", "overlap"])
-
-        tokens = durable(text.mapInArrow(shown, "x long, tokens binary"), f"{tag}-tokens")
-        side = lambda k: tokens.select(F.col("x").alias(k), F.col("tokens").alias(f"t{k}"))
-        met = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "ta", "tb")
-        return met.mapInArrow(count, "a long, b long, na long, nb long, overlap long").dropDuplicates(["a", "b"])
-
-    # Leaders: of the sets that share a min-hash, the one with the smallest id.
-    hashed = distinct.select("set", "first", "n", F.posexplode("sketch").alias("i", "h"))
-    me = F.struct("first", "set")
-    groups = hashed.groupBy("i", "h").agg(F.min(me).alias("leader"), F.max(me).alias("top")).where("leader < top").drop("top")
-    tried = hashed.join(groups, ["i", "h"]).where(F.col("leader") < me).groupBy("set", "n", "leader").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= SHARED)
-    best = tried.groupBy("set", "n").agg(F.max_by("leader.set", F.struct("k", -F.col("leader.first"))).alias("leader"))
-    star = best.join(distinct.select(F.col("set").alias("leader"), F.col("n").alias("nb")), "leader").select(F.col("set").alias("a"), F.col("leader").alias("b"), F.col("n").alias("na"), "nb")
-    star = durable(overlaps(star, "stars"), "stars")
-    near = star.where(linked(F.col("overlap"), F.col("na"), F.col("nb"), percent))
-    roots = components(near.select("a", "b"), "star-cc")
-    known = (
-        distinct.select("set", "n")
-        .join(roots.select(F.col("node").alias("set"), "root"), "set", "left")
-        .join(star.select(F.col("a").alias("set"), F.col("b").alias("leader"), (1 - F.col("overlap") / (F.col("na") + F.col("nb") - F.col("overlap"))).alias("distance")), "set", "left")
-        .select("set", "n", F.coalesce("root", "set").alias("root"), F.coalesce("leader", "set").alias("leader"), F.coalesce("distance", F.lit(0.0)).alias("distance"))
-    )
-    known = durable(known, "known")
+    table = durable(text.mapInArrow(sketches, "ord long, n long, digest binary, sketch array<long>, often array<long>, times array<long>"), "sets")
+    rows = durable(table.where("ord is not null").select("ord", "n", "digest"), "rows")
+    distinct = table.where("n > 0").groupBy("digest").agg(F.min("ord").alias("first"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    distinct = durable(distinct.withColumn("id", F.monotonically_increasing_id()), "distinct")  # numbered once, as written
+    firsts = sc.broadcast(Bits.of(_hashed(distinct.select("digest", "first"))))
 
     # The order: frequent shingles last.
     frequent = table.where("often is not null").select(F.explode(F.arrays_zip("often", "times")).alias("e")).groupBy(F.col("e.often").alias("token")).agg(F.sum("e.times").alias("k"))
     frequent = frequent.where("k > 2").orderBy(F.desc("k"), "token").limit(FREQUENT).toArrow()
-    order = spark.sparkContext.broadcast(Order(frequent.column(0).to_numpy().view(U), frequent.column(1).to_numpy()))
-
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            found = [(k, len(s), order.value.sorted(s)[: prefix_length(len(s), percent)]) for k, s in read_sets(b)]
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in found], pa.int64()), pa.array([n for _, n, _ in found], pa.int64()), _lists([p for _, _, p in found])], names=["set", "n", "prefix"])
+    order = sc.broadcast(Order(frequent.column(0).to_numpy().view(U), frequent.column(1).to_numpy()))
+    release(table)
+
+    # Families: the relative of a set is the earliest of those that share most min-hashes with it.
+    hashed = distinct.select("id", "first", F.posexplode("sketch").alias("i", "h"))
+    me = F.struct("first", "id")
+    groups = durable(hashed.groupBy("i", "h").agg(F.min(me).alias("leader"), F.max(me).alias("top")).where("leader < top").drop("top"), "groups")
+    tried = hashed.join(groups, ["i", "h"]).where(F.col("leader") < me).groupBy("id", "leader").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= SHARED)
+    parent = durable(tried.groupBy("id").agg(F.max_by("leader.id", F.struct("k", -F.col("leader.first"))).alias("root")), "parents")
+    while True:  # pointer jumping: relatives are earlier, so chains end
+        up = parent.select(F.col("id").alias("root"), F.col("root").alias("above"))
+        higher = durable(parent.join(up, "root", "left").select("id", F.coalesce("above", "root").alias("root"), F.col("above").isNotNull().alias("moved")), "parents")
+        release(parent)
+        parent = higher
+        if parent.where("moved").isEmpty():
+            break
+    kin = parent.select("id").unionByName(parent.select(F.col("root").alias("id")).distinct())
+    known = distinct.select("digest", "id", "n").join(parent.select("id", "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    known = durable(known, "known")
+    related = sc.broadcast(Bits.of(_hashed(known.join(kin, "id", "left_semi").select("digest"))))
 
-    leading = durable(text.mapInArrow(prefixes, "set long, n long, prefix array<long>"), "prefixes")
-    # Shingles in two prefixes fill a bitmap.
-    shared = leading.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("token")
-    listed = spark.sparkContext.broadcast(Bits.of(shared))
+    def first_rows(b: pa.RecordBatch, wanted: Bits | None) -> Iterator[tuple[bytes, np.ndarray, bool]]:
+        """The sets of rows that may be their set's first (a copy now and then, never none)."""
+        found = [(o, k, s) for o, k, s in sets(b) if len(s)]
+        here = firsts.value.has(place_of([k for _, k, _ in found], np.array([o for o, _, _ in found], np.int64)))
+        also = wanted.has(np.array([_half(k) for _, k, _ in found], U)) if wanted else here
+        return ((k, s, w) for (_, k, s), h, w in zip(found, here.tolist(), also.tolist(), strict=True) if h)
 
-    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, limit=SLICE):
+            found = [(k, order.value.sorted(s)[: prefix_length(len(s), percent)], s.tobytes() if w else None) for k, s, w in first_rows(b, related.value)]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in found], pa.binary()), _lists([p for _, p, _ in found]), pa.array([t for _, _, t in found], pa.binary())], names=["digest", "prefix", "tokens"])
+
+    leading = durable(text.mapInArrow(prefixes, "digest binary, prefix array<long>, tokens binary"), "prefixes")
+    held = leading.where("tokens is not null").groupBy("digest").agg(F.first("tokens").alias("tokens")).join(known, "digest").drop("digest")
+    held = durable(held, "held")
+
+    # Members and their representatives: answers from the differences.
+    top = held.where("id = root").select("root", F.col("n").alias("m"), F.col("tokens").alias("theirs"))
+    compared = held.where("id <> root").join(top, "root").select("id", "root", "n", "m", "tokens", "theirs")
+    relation = compared.mapInArrow(lambda x: differences(x, percent, order.value), "id long, root long, n long, m long, lacks long, adds long, diff array<long>, short long, long long")
+    relation = durable(relation, "relations")
+    overlap = F.col("m") - F.col("lacks")
+    of_kin = relation.where(overlap >= KIN * (F.col("n") + F.col("m") - overlap)).withColumn("comp", F.when(linked(overlap, F.col("n"), F.col("m"), percent), F.col("root")).otherwise(F.col("id")))
+    unlinked = of_kin.where("comp = id").select("root").distinct()  # families that need a look at their members
+    inside = durable(of_kin.join(unlinked, "root", "left_semi"), "inside")
+
+    def entries(length: str, k: str) -> DataFrame:
+        e = inside.where(F.col(length) > 0).select("root", *(F.col(c).alias(f"{c}_{k}") for c in ("id", "n", "m", "lacks", "comp")), F.size("diff").alias(f"size_{k}"), (F.size("diff") - F.col(length)).alias(f"rest_{k}"), F.posexplode(F.slice("diff", 1, F.col(length).cast("int"))).alias(f"place_{k}", "e"))
+        return e
+
+    def needed(k: str = "m_a") -> Column:
+        """Common elements of two differences that a link takes (times 100 + percent)."""
+        return percent * (F.col("n_a") + F.col("n_b")) + (100 + percent) * (F.col("lacks_a") + F.col("lacks_b") - F.col(k))
+
+    room = F.least("place_a", "place_b") + 1 + F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b")) - 1
+    met = entries("long", "a").join(entries("short", "b"), ["root", "e"]).where(
+        (F.col("comp_a") != F.col("comp_b")) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & ((100 + percent) * room >= needed())
+    )
+    # What two prefixes share, and the rest of the one that ends first, bound what is common.
+    ids = ["id_a", "id_b", "n_a", "n_b", "m_a", "lacks_a", "lacks_b", "comp_a", "comp_b", "rest_a", "rest_b"]
+    met = met.groupBy(*ids).agg(F.count(F.lit(1)).alias("shared")).where((100 + percent) * (F.col("shared") + F.greatest("rest_a", "rest_b")) >= needed())
+    met = durable(met, "met")
+    diffs = lambda k: inside.select(F.col("id").alias(f"id_{k}"), F.col("diff").alias(f"diff_{k}"))
+    common = F.size(F.array_intersect("diff_a", "diff_b"))
+    within = met.join(diffs("a"), "id_a").join(diffs("b"), "id_b").where((100 + percent) * common >= needed()).select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b"))
+    links = durable(within, "within")
+
+    # All sets: family, component so far, added elements.
+    told = of_kin.select("id", F.col("root").alias("family"), "comp", "adds")
+    every = known.select("digest", "id", "n").join(told, "id", "left").select("digest", "id", "n", F.coalesce("family", "id").alias("root"), F.coalesce("comp", "id").alias("comp"), F.coalesce("adds", F.lit(0)).alias("adds"))
+    every = durable(every, "every")
+    twice = leading.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("token")
+    listed = sc.broadcast(Bits.of(twice))
+
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each prefix, the shingles that another has too, and their positions."""
         for b in batches:
             token, place = [], []
-            for p in b.column(2).to_pylist():
-                p = np.array(p, np.int64).view(U)
+            for p in b.column(1):
+                p = p.values.to_numpy().view(U)
                 at = np.flatnonzero(listed.value.has(p))
                 token.append(p[at])
                 place.append(at.astype(U))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), _lists(token), _lists(place)], names=["set", "n", "token", "place"])
-
-    index = leading.mapInArrow(entries, "set long, n long, token array<long>, place array<long>").where(F.size("token") > 0).join(known, ["set", "n"])
-    index = index.select("set", "n", "root", "leader", "distance", F.explode(F.arrays_zip("token", "place")).alias("e")).select("set", "n", "root", "leader", "distance", "e.token", "e.place").distinct()
-    index = durable(index, "index")
-    # Whole lists are skipped if their sets are connected already; in the others
-    # one side of a pair is outside the list's largest component.
-    open_lists = index.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("token")
-    sizes = index.join(open_lists, "token", "left_semi").groupBy("token", "root").agg(F.count(F.lit(1)).alias("k"))
-    main = sizes.groupBy("token").agg(F.max_by("root", F.struct("k", "root")).alias("main"))
-    marked = durable(index.join(main, "token").withColumn("block", F.floor(F.log("n") / F.lit(-np.log(percent / 100)))), "lists")
-    side = lambda df, k: df.select("token", "block", *(F.col(c).alias(f"{c}_{k}") for c in ("set", "n", "root", "leader", "distance", "place")))
-    outer = side(marked.where("root <> main").withColumn("block", F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1))), "a")
-    inner = side(marked, "b").join(marked.select("token", "main").distinct(), "token")
+            yield pa.RecordBatch.from_arrays([b.column(0), _lists(token), _lists(place)], names=["digest", "token", "place"])
+
+    kept = leading.select("digest", "prefix").mapInArrow(opened, "digest binary, token array<long>, place array<long>").where(F.size("token") > 0)
+    kept = kept.groupBy("digest").agg(F.first(F.arrays_zip("token", "place")).alias("e")).join(every, "digest").select("id", "n", "root", F.explode("e").alias("e"))
+    lists = kept.select("id", "n", "root", "e.token", "e.place").withColumn("block", F.floor(F.log("n") / F.lit(-np.log(percent / 100))))
+    lists = durable(lists, "lists")
+    release(leading)
+    families = every.groupBy("root").agg(F.max((100 + percent) * F.col("adds") - percent * F.col("n")).alias("gain"), F.count(F.lit(1)).alias("k"), F.max(F.when(F.col("id") == F.col("root"), F.col("n"))).alias("m"))
+    families = durable(families, "families")
+    blocks = lists.groupBy("token", "block", "root").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("place").alias("from"), F.max("place").alias("to"))
+    blocks = durable(blocks, "blocks")
+    side = lambda df, k: df.select("token", "block", *(F.col(c).alias(f"{c}_{k}") for c in ("root", "least", "most", "from", "to")))
+    wide = blocks.withColumn("block", F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1)))
+    reach = F.least("to_a", "to_b") + F.least(F.col("most_a") - F.col("from_a"), F.col("most_b") - F.col("from_b"))
+    pairs = side(wide, "a").join(side(blocks, "b"), ["token", "block"]).where(
+        (F.col("root_a") < F.col("root_b")) & linked(reach, F.col("least_a"), F.col("least_b"), percent) & (100 * F.least("most_a", "most_b") >= percent * F.greatest("least_a", "least_b"))
+    )
+    # As above: the shared part of two prefixes and the rest of one bound the overlap.
+    spans = [F.max(F.greatest("most_a", "most_b")).alias("most"), F.min(F.col("least_a") + F.col("least_b")).alias("least")]
+    pairs = pairs.groupBy(F.col("root_a").alias("a"), F.col("root_b").alias("b")).agg(F.count(F.lit(1)).alias("shared"), *spans)
+    pairs = pairs.where((100 + percent) * (F.col("shared") + F.ceil(percent * F.col("most") / 100) - 1) >= percent * F.col("least"))
+    pairs = durable(pairs.select("a", "b"), "pairs")
+
+    # Packed sets: members and representatives have theirs; single sets of pairs are read again.
+    ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    have = held.select("id", "tokens")
+    asked = durable(known.select("digest", "id").join(ends, "id", "left_semi").join(have.select("id"), "id", "left_anti"), "asked")
+    single = sc.broadcast(Bits.of(_hashed(asked.select("digest"))))
+
+    def shown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, limit=SLICE):
+            found = [(k, s.tobytes()) for k, s, w in first_rows(b, single.value) if w]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.binary()), pa.array([t for _, t in found], pa.binary())], names=["digest", "tokens"])
+
+    more = text.mapInArrow(shown, "digest binary, tokens binary").groupBy("digest").agg(F.first("tokens").alias("tokens")).join(asked, "digest").select("id", "tokens")
+    packed = durable(have.unionByName(more), "tokens")
+
+    def overlaps(these: DataFrame, keep: list[str]) -> DataFrame:
+        """``these`` (id_a, id_b, ...) with the exact size of the intersection."""
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                size = [len(np.intersect1d(unpack(x), unpack(y), assume_unique=True)) for x, y in zip(b.column(0), b.column(1), strict=True)]
+                yield pa.RecordBatch.from_arrays([*b.columns[2:], pa.array(size, pa.int64())], names=[*keep, "overlap"])
+
+        of = lambda k: packed.select(F.col("id").alias(f"id_{k}"), F.col("tokens").alias(f"t_{k}"))
+        both = these.join(of("a"), "id_a").join(of("b"), "id_b").select("t_a", "t_b", *keep)
+        return both.mapInArrow(count, ", ".join(f"{c} long" for c in [*keep, "overlap"]))
+
+    sized = pairs.select(F.col("a").alias("id_a"), F.col("b").alias("id_b"))
+    met = durable(overlaps(sized, ["id_a", "id_b"]), "answers")
+    family = lambda k: families.select(F.col("root").alias(f"id_{k}"), *(F.col(c).alias(f"{c}_{k}") for c in ("gain", "k", "m")))
+    answer = durable(met.join(family("a"), "id_a").join(family("b"), "id_b"), "answers")
+    first = answer.where(linked(F.col("overlap"), F.col("m_a"), F.col("m_b"), percent)).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+
+    # Members: only where the representatives' overlap and what members add leave room.
+    spare = answer.where(((F.col("k_a") > 1) | (F.col("k_b") > 1)) & ((100 + percent) * F.col("overlap") + F.col("gain_a") + F.col("gain_b") >= 0))
+    spare = durable(spare.select("id_a", "id_b", "overlap", "gain_a", "gain_b"), "spare")
+    gain = (100 + percent) * F.col("adds") - percent * F.col("n")
+
+    def survivors(k: str, other: str) -> DataFrame:
+        here = spare.select(F.col(f"id_{k}").alias("root"), F.col(f"id_{other}").alias("far"), "overlap", F.col(f"gain_{other}").alias("help"))
+        fit = every.join(here, "root").where((100 + percent) * F.col("overlap") + F.col("help") + gain >= 0)
+        pair = [F.col("root" if k == "a" else "far").alias("root_a"), F.col("far" if k == "a" else "root").alias("root_b")]
+        fit = durable(fit.select(*pair, "id", "n", "comp", gain.alias("gain"), "overlap"), "survivors")
+        fit = fit.join(lists.select("id", "token", "place"), "id")
+        return fit.select("root_a", "root_b", "token", *(F.col(c).alias(f"{c}_{k}") for c in ("id", "n", "comp", "place", "gain")), *(["overlap"] if k == "a" else []))
+
     na, nb = F.col("n_a"), F.col("n_b")
-    bound = F.least("place_a", "place_b") + 1 + F.least(na - F.col("place_a") - 1, nb - F.col("place_b") - 1)
-    pairs = outer.join(inner, ["token", "block"]).where(
-        (F.col("root_a") != F.col("root_b"))
-        & ((F.col("root_b") == F.col("main")) | (F.col("set_a") < F.col("set_b")))
-        & (100 * F.least(na, nb) >= percent * F.greatest(na, nb))
-        & linked(bound, na, nb, percent)
-        & ~((F.col("leader_a") == F.col("leader_b")) & (F.abs(F.col("distance_a") - F.col("distance_b")) > 1 - percent / 100 + 1e-9))
+    bound = F.least("place_a", "place_b") + F.least(na - F.col("place_a"), nb - F.col("place_b"))
+    open_pairs = survivors("a", "b").join(survivors("b", "a"), ["root_a", "root_b", "token"]).where(
+        (F.col("comp_a") != F.col("comp_b")) & ((100 + percent) * F.col("overlap") + F.col("gain_a") + F.col("gain_b") >= 0) & (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & linked(bound, na, nb, percent)
     )
-    pairs = pairs.select(F.least("set_a", "set_b").alias("a"), F.greatest("set_a", "set_b").alias("b"), F.when(F.col("set_a") < F.col("set_b"), na).otherwise(nb).alias("na"), F.when(F.col("set_a") < F.col("set_b"), nb).otherwise(na).alias("nb")).distinct()
-    checked = overlaps(pairs, "lists")
-    links = checked.where(linked(F.col("overlap"), F.col("na"), F.col("nb"), percent)).select("a", "b")
-    final = components(near.select("a", "b").unionByName(links), "cc")
-
-    rooted = distinct.select("set", "first").join(final.select(F.col("node").alias("set"), "root"), "set", "left").withColumn("root", F.coalesce("root", "set"))
-    named = rooted.select("set", "root").join(rooted.groupBy("root").agg(F.min("first").alias("component")), "root").select("set", "component")
-    out = rows.select("ord", "n", "set").join(durable(named, "named"), "set", "left")
+    keep = ["n_a", "n_b", "comp_a", "comp_b"]
+    open_pairs = durable(open_pairs.select("id_a", "id_b", *keep).distinct(), "open")
+    across = overlaps(open_pairs, keep).where(linked(F.col("overlap"), na, nb, percent)).select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b"))
+    roots = durable(components(links.unionByName(first).unionByName(across), "cc"), "roots")
+
+    joined = distinct.select("id", "first").join(every.select("digest", "id", "comp"), "id")
+    joined = joined.join(roots.select(F.col("node").alias("comp"), "root"), "comp", "left").select("digest", "first", F.coalesce("root", "comp").alias("root"))
+    joined = durable(joined, "rooted")
+    least = durable(joined.groupBy("root").agg(F.min("first").alias("component")), "least")
+    named = durable(joined.join(least, "root").select("digest", "component"), "named")
+    release(distinct, groups, parent, known, held, relation, inside, links, every, lists, families, blocks, pairs, asked, packed, met, answer, spare, open_pairs, roots, joined, least)
+    for b in (firsts, order, related, listed, single):
+        b.destroy()
+    out = rows.join(named, "digest", "left")
     kind = docs.schema[id_col].dataType
     as_id = lambda c: F.when(c < 2**63 - 1, c).cast(kind)
     return out.select(as_id(F.col("ord")).alias("doc_id"), F.col("n").alias("n_shingles"), as_id(F.coalesce("component", "ord")).alias("component_id"))
