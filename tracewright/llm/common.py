@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of an Arrow batch on its way to a worker, in place of the 64 MB of Spark's default.
+BATCH_BYTES, BATCH_SETTING = "4m", "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Rows of a batch are cut again so that no slice has more text than this.
 SLICE_BYTES = 8 << 20
 
@@ -18,22 +22,33 @@ SLICE_BYTES = 8 << 20
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share for cut lineage.
 
-    It is the session's ``spark.checkpoint.dir``; only where that is unset (as
-    in tests on one machine) a temporary folder is chosen and set.
+    It is the session's ``spark.checkpoint.dir``; only where that is unset and
+    everything runs on one machine (a local master, as in tests) a temporary folder
+    is chosen and set.
     """
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt-"))
+        set_dir = spark.conf.get("spark.checkpoint.dir", None)
+        if not set_dir and not sc.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(set_dir or tempfile.mkdtemp(prefix="ckpt-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def small_batches(spark: SparkSession) -> SparkSession:
+    """Bounds the Arrow batches of the session, which both sides hold in memory."""
+    if spark.conf.get(BATCH_SETTING, None) is not None:  # known to this version of Spark
+        spark.conf.set(BATCH_SETTING, BATCH_BYTES)
+    return spark
+
+
 def durable(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it again.
 
     The lineage ends there: a lost executor costs a reread of the file, not a
     new computation, and Catalyst knows the table's real size.
     """
-    spark = df.sparkSession
+    spark = small_batches(df.sparkSession)
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -50,7 +65,31 @@ def release(*tables: DataFrame) -> None:
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return small_batches(spark).read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def tidy(run: Callable) -> Callable:
+    """A function over Arrow batches that gives free memory back when its task ends:
+    workers are used again, and what they hold on to counts against the executor."""
+
+    @wraps(run)
+    def wrapped(*args):
+        try:
+            yield from run(*args)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+                libc.malloc_trim(0)
+
+    return wrapped
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def fold(doc_id: Column) -> Column:
@@ -106,20 +145,22 @@ class Bits:
         return (self.words[s >> np.uint64(6)] >> (s & np.uint64(63))) & np.uint64(1) != 0
 
     @classmethod
-    def of(cls, hashes: DataFrame) -> Bits:
-        """From a DataFrame whose one column holds hashes as long."""
+    def of(cls, rows: DataFrame, key: Callable[[pa.RecordBatch], np.ndarray] | None = None) -> Bits:
+        """From a DataFrame whose one column holds hashes as long, or whose batches
+        ``key`` turns into hashes."""
 
+        @tidy
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                s = cls.slot(b.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
+                s = cls.slot(key(b) if key else b.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
                 word, at = np.unique(s >> np.uint64(6), return_inverse=True)
                 bits = np.zeros(len(word), np.uint64)
                 np.bitwise_or.at(bits, at, np.uint64(1) << (s & np.uint64(63)))
                 yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int32)), pa.array(bits.view(np.int64))], names=["word", "bits"])
 
-        rows = hashes.mapInArrow(run, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+        got = rows.mapInArrow(run, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
         words = np.zeros(1 << (cls.BITS - 6), np.uint64)
-        words[rows.column(0).to_numpy()] = rows.column(1).to_numpy().view(np.uint64)
+        words[got.column(0).to_numpy()] = got.column(1).to_numpy().view(np.uint64)
         return cls(words)
 
 
@@ -134,18 +175,19 @@ def without(docs: DataFrame, gone: DataFrame, on: list[str]) -> DataFrame:
     Both sides are told apart by a bitmap of the gone keys first, so only rows that
     may have to go are shuffled to the exact anti-join.  ``gone`` should be durable.
     """
-    key = F.xxhash64(*on)
-    bits = docs.sparkSession.sparkContext.broadcast(Bits.of(gone.select(key.alias("key"))))
-    keyed = docs.withColumn("__key", key)
+    bits = docs.sparkSession.sparkContext.broadcast(Bits.of(gone.select(F.xxhash64(*on).alias("key"))))
+    name = unused(docs, "key")
+    keyed = docs.withColumn(name, F.xxhash64(*on))
 
     def side(wanted: bool):
+        @tidy
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                has = bits.value.has(b.column(b.schema.get_field_index("__key")).to_numpy(zero_copy_only=False).view(np.uint64))
+                has = bits.value.has(b.column(b.schema.get_field_index(name)).to_numpy(zero_copy_only=False).view(np.uint64))
                 yield b.filter(pa.array(has if wanted else ~has, pa.bool_()))
 
-        return keyed.mapInArrow(run, keyed.schema).drop("__key")
+        return keyed.mapInArrow(run, keyed.schema).drop(name)
 
-    asked, listed = side(True), gone.select(*(F.col(c).alias(f"__gone_{c}") for c in on))
-    same = [asked[c].eqNullSafe(listed[f"__gone_{c}"]) for c in on]
+    asked, listed = side(True), gone.select(F.struct(*on).alias("gone"))
+    same = [asked[c].eqNullSafe(listed["gone"][c]) for c in on]
     return side(False).unionByName(asked.join(listed, same, "left_anti"))

@@ -18,14 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, slices, texts, without
+from .common import durable, slices, texts, tidy, unused, without
 
 #: Longest q-gram, which is also the shortest passage, and the edits allowed as a share of a passage's length.
 Q, EDITS = 8, 0.1
 #: Passages that go out at once; a larger benchmark is searched in blocks.
 BLOCK = 20_000
 #: Characters searched at once by a worker.
-CHARS = 4_000_000
+CHARS = 1_000_000
 _U = np.uint64
 _A = _U(0x9E3779B97F4A7C15)
 _BITS = 22
@@ -229,6 +229,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     def block(rows: list) -> DataFrame:
         index = spark.sparkContext.broadcast(Index.all_of(rows, share))
 
+        @tidy
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in slices(batches):
                 part, size = [], 0
@@ -277,7 +278,9 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     Rows are told by id and a hash of their text, so null and repeated ids are
     judged row by row; no text is shuffled but those that go.
     """
-    keyed = docs.withColumn("__hash", F.xxhash64("text"))
-    found = contaminated(keyed.withColumn("__pair", F.struct("doc_id", "__hash")), benchmark, id_col="__pair")
-    bad = durable(found.select("doc_id.doc_id", "doc_id.__hash").distinct(), "contaminated")
-    return without(keyed, bad, ["doc_id", "__hash"]).drop("__hash")
+    name = unused(docs, "hash")
+    keyed = docs.withColumn(name, F.xxhash64("text"))
+    pair = keyed.select(F.struct("doc_id", name).alias("pair"), F.col("text").cast("string").alias("text"))
+    found = contaminated(pair, benchmark, id_col="pair")
+    bad = durable(found.select("doc_id.doc_id", f"doc_id.{name}").distinct(), "contaminated")
+    return without(keyed, bad, ["doc_id", name]).drop(name)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, without
+from .common import durable, release, unused, without
 
 #: Counters of a Misra-Gries summary: digests above 1/COUNTERS of a partition's
 #: rows are always in it.  It bounds the broadcast too.
@@ -93,14 +93,16 @@ def drop_duplicates(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
     No text is shuffled but those of ids that go, and of rows that repeat both id and
     text, which a distinct over just those rows thins to one.
     """
+    name = unused(docs, "digest")
     decisions = durable(deduplicate(docs, counters=counters), "decisions")
-    ids = decisions.groupBy("doc_id", F.col("digest").alias("__digest")).agg(F.count_if("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
-    odd = durable(ids.where("kept = 0 or n > 1"), "losers")
-    keyed = docs.withColumn("__digest", F.unhex(F.sha2(normalised(F.col("text").cast("string")), 256)))
-    key = ["doc_id", "__digest"]
+    ids = decisions.groupBy("doc_id", F.col("digest").alias(name)).agg(F.count_if("kept").alias("n_kept"), F.count(F.lit(1)).alias("n_all"))
+    odd = durable(ids.where("n_kept = 0 or n_all > 1"), "losers")
+    release(decisions)
+    keyed = docs.withColumn(name, F.unhex(F.sha2(normalised(F.col("text").cast("string")), 256)))
+    key = ["doc_id", name]
     rest = without(keyed, odd, key)
-    twice = odd.where("kept > 0").select(*(F.col(c).alias(f"{c}_") for c in key))
+    twice = odd.where("n_kept > 0").select(F.struct(*key).alias("twice"))
     if not twice.isEmpty():
-        same = [keyed[c].eqNullSafe(twice[f"{c}_"]) for c in key]
+        same = [keyed[c].eqNullSafe(twice["twice"][c]) for c in key]
         rest = rest.unionByName(keyed.join(twice, same, "left_semi").dropDuplicates(key))
-    return rest.drop("__digest")
+    return rest.drop(name)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bits, durable, ordinal, release, slices, without
+from .common import Bits, durable, ordinal, release, slices, tidy, without
 from .graph import components
 from .hashing import U, mix, shingles
 
@@ -40,7 +40,7 @@ KIN = 0.4
 #: Frequent shingles in the order table: a broadcast of at most 16 bytes each.
 FREQUENT = 1 << 18
 #: Shingles that a worker gathers before it counts them.
-GATHERED = 2_000_000
+GATHERED = 1_000_000
 #: Bytes of text that a worker looks at together.
 SLICE = 4 << 20
 _SEEDS = np.random.default_rng(5).integers(1, 2**63, SKETCH, dtype=np.int64).view(U)
@@ -78,16 +78,10 @@ def place_of(digests: list[bytes], ords: np.ndarray) -> np.ndarray:
     return mix(np.array([_half(d) for d in digests], U) ^ mix(ords.view(U)))
 
 
-def _hashed(df: DataFrame) -> DataFrame:
+def _keys(b: pa.RecordBatch) -> np.ndarray:
     """Rows (digest[, ord]) as hashes for a bitmap."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            d = b.column(0).to_pylist()
-            h = place_of(d, b.column(1).to_numpy(zero_copy_only=False)) if b.num_columns > 1 else np.array([_half(x) for x in d], U)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], names=["h"])
-
-    return df.mapInArrow(run, "h long")
+    d = b.column(0).to_pylist()
+    return place_of(d, b.column(1).to_numpy(zero_copy_only=False)) if b.num_columns > 1 else np.array([_half(x) for x in d], U)
 
 
 class Order:
@@ -159,6 +153,7 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, id_co
 
     kinds = [("ord", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("sketch", pa.list_(pa.int64())), ("often", pa.list_(pa.int64())), ("times", pa.list_(pa.int64()))]
 
+    @tidy
     def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each text, and now and then one with the shingles seen twice or more."""
         gathered: list[np.ndarray] = []
@@ -185,7 +180,7 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, id_co
     rows = durable(table.where("ord is not null").select("ord", "n", "digest"), "rows")
     distinct = table.where("n > 0").groupBy("digest").agg(F.min("ord").alias("first"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     distinct = durable(distinct.withColumn("id", F.monotonically_increasing_id()), "distinct")  # numbered once, as written
-    firsts = sc.broadcast(Bits.of(_hashed(distinct.select("digest", "first"))))
+    firsts = sc.broadcast(Bits.of(distinct.select("digest", "first"), _keys))
 
     # The order: frequent shingles last.
     frequent = table.where("often is not null").select(F.explode(F.arrays_zip("often", "times")).alias("e")).groupBy(F.col("e.often").alias("token")).agg(F.sum("e.times").alias("k"))
@@ -209,7 +204,7 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, id_co
     kin = parent.select("id").unionByName(parent.select(F.col("root").alias("id")).distinct())
     known = distinct.select("digest", "id", "n").join(parent.select("id", "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     known = durable(known, "known")
-    related = sc.broadcast(Bits.of(_hashed(known.join(kin, "id", "left_semi").select("digest"))))
+    related = sc.broadcast(Bits.of(known.join(kin, "id", "left_semi").select("digest"), _keys))
 
     def first_rows(b: pa.RecordBatch, wanted: Bits | None) -> Iterator[tuple[bytes, np.ndarray, bool]]:
         """The sets of rows that may be their set's first (a copy now and then, never none)."""
@@ -218,6 +213,7 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, id_co
         also = wanted.has(np.array([_half(k) for _, k, _ in found], U)) if wanted else here
         return ((k, s, w) for (_, k, s), h, w in zip(found, here.tolist(), also.tolist(), strict=True) if h)
 
+    @tidy
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, limit=SLICE):
             found = [(k, order.value.sorted(s)[: prefix_length(len(s), percent)], s.tobytes() if w else None) for k, s, w in first_rows(b, related.value)]
@@ -301,8 +297,9 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, id_co
     ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     have = held.select("id", "tokens")
     asked = durable(known.select("digest", "id").join(ends, "id", "left_semi").join(have.select("id"), "id", "left_anti"), "asked")
-    single = sc.broadcast(Bits.of(_hashed(asked.select("digest"))))
+    single = sc.broadcast(Bits.of(asked.select("digest"), _keys))
 
+    @tidy
     def shown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, limit=SLICE):
             found = [(k, s.tobytes()) for k, s, w in first_rows(b, single.value) if w]
@@ -331,24 +328,34 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, id_co
 
     # Members: only where the representatives' overlap and what members add leave room.
     spare = answer.where(((F.col("k_a") > 1) | (F.col("k_b") > 1)) & ((100 + percent) * F.col("overlap") + F.col("gain_a") + F.col("gain_b") >= 0))
-    spare = durable(spare.select("id_a", "id_b", "overlap", "gain_a", "gain_b"), "spare")
+    spare = durable(spare.select("id_a", "id_b", "overlap", *(f"{c}_{k}" for c in ("gain", "k", "m") for k in "ab")), "spare")
     gain = (100 + percent) * F.col("adds") - percent * F.col("n")
+    alike = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
 
     def survivors(k: str, other: str) -> DataFrame:
-        here = spare.select(F.col(f"id_{k}").alias("root"), F.col(f"id_{other}").alias("far"), "overlap", F.col(f"gain_{other}").alias("help"))
-        fit = every.join(here, "root").where((100 + percent) * F.col("overlap") + F.col("help") + gain >= 0)
+        """Members of one side of those pairs that some member of the other may be linked to."""
+        here = spare.select(F.col(f"id_{k}").alias("root"), F.col(f"id_{other}").alias("far"), "overlap", F.col(f"gain_{other}").alias("help"), F.col(f"k_{k}").alias("own"), F.col(f"k_{other}").alias("many"), F.col(f"m_{other}").alias("n_far")).where("own > 1")
+        fit = every.join(here, "root").where(((100 + percent) * F.col("overlap") + F.col("help") + gain >= 0) & alike(F.col("n"), F.when(F.col("many") == 1, F.col("n_far")).otherwise(F.col("n"))))
+        return durable(fit.select("root", "far", "id", "n", "comp", gain.alias("gain"), "overlap", "many", "n_far"), "survivors")
+
+    def to_single(fit: DataFrame) -> DataFrame:
+        """Pairs of a member and a set that has no relatives: the representatives' answer decides all but these."""
+        return fit.where("many = 1 and comp <> far").select(F.col("id").alias("id_a"), F.col("far").alias("id_b"), F.col("n").alias("n_a"), F.col("n_far").alias("n_b"), F.col("comp").alias("comp_a"), F.col("far").alias("comp_b"))
+
+    def opened_lists(fit: DataFrame, k: str) -> DataFrame:
         pair = [F.col("root" if k == "a" else "far").alias("root_a"), F.col("far" if k == "a" else "root").alias("root_b")]
-        fit = durable(fit.select(*pair, "id", "n", "comp", gain.alias("gain"), "overlap"), "survivors")
-        fit = fit.join(lists.select("id", "token", "place"), "id")
-        return fit.select("root_a", "root_b", "token", *(F.col(c).alias(f"{c}_{k}") for c in ("id", "n", "comp", "place", "gain")), *(["overlap"] if k == "a" else []))
+        fit = fit.where("many > 1").join(lists.select("id", "token", "place"), "id")
+        return fit.select(*pair, "token", *(F.col(c).alias(f"{c}_{k}") for c in ("id", "n", "comp", "place", "gain")), *(["overlap"] if k == "a" else []))
 
     na, nb = F.col("n_a"), F.col("n_b")
     bound = F.least("place_a", "place_b") + F.least(na - F.col("place_a"), nb - F.col("place_b"))
-    open_pairs = survivors("a", "b").join(survivors("b", "a"), ["root_a", "root_b", "token"]).where(
-        (F.col("comp_a") != F.col("comp_b")) & ((100 + percent) * F.col("overlap") + F.col("gain_a") + F.col("gain_b") >= 0) & (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & linked(bound, na, nb, percent)
+    one, two = survivors("a", "b"), survivors("b", "a")
+    open_pairs = opened_lists(one, "a").join(opened_lists(two, "b"), ["root_a", "root_b", "token"]).where(
+        (F.col("comp_a") != F.col("comp_b")) & ((100 + percent) * F.col("overlap") + F.col("gain_a") + F.col("gain_b") >= 0) & alike(na, nb) & linked(bound, na, nb, percent)
     )
     keep = ["n_a", "n_b", "comp_a", "comp_b"]
-    open_pairs = durable(open_pairs.select("id_a", "id_b", *keep).distinct(), "open")
+    open_pairs = open_pairs.select("id_a", "id_b", *keep).distinct().unionByName(to_single(one)).unionByName(to_single(two))
+    open_pairs = durable(open_pairs, "open")
     across = overlaps(open_pairs, keep).where(linked(F.col("overlap"), na, nb, percent)).select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b"))
     roots = durable(components(links.unionByName(first).unionByName(across), "cc"), "roots")
 
@@ -357,7 +364,7 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, id_co
     joined = durable(joined, "rooted")
     least = durable(joined.groupBy("root").agg(F.min("first").alias("component")), "least")
     named = durable(joined.join(least, "root").select("digest", "component"), "named")
-    release(distinct, groups, parent, known, held, relation, inside, links, every, lists, families, blocks, pairs, asked, packed, met, answer, spare, open_pairs, roots, joined, least)
+    release(distinct, groups, parent, known, held, relation, inside, links, every, lists, families, blocks, pairs, asked, packed, met, answer, spare, one, two, open_pairs, roots, joined, least)
     for b in (firsts, order, related, listed, single):
         b.destroy()
     out = rows.join(named, "digest", "left")

@@ -17,11 +17,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, texts
+from .common import slices, texts, tidy
 
 MARK = "▁"
-#: Distinct chunks that a worker remembers before it starts afresh.
-REMEMBERED = 500_000
+#: Bytes of distinct chunks, and of what belongs to them, that a worker remembers before it starts afresh.
+REMEMBERED = 48 << 20
+#: Bytes that a chunk takes besides its own and its ids', and the longest one that is remembered.
+OVERHEAD, LONGEST = 200, 200
+#: Bytes of text that are looked at together, also of one longer text.
+SLICE = 1 << 20
 
 
 def crossing_pieces(model) -> list[str]:
@@ -46,6 +50,21 @@ def split(text: str) -> list[str]:
     return out
 
 
+def segments(text: str, size: int = SLICE) -> Iterator[str]:
+    """A text cut before words (at the first of the blanks there), so that the
+    segments' chunks are the text's chunks."""
+    start = 0
+    while len(text) - start > size:
+        at = text.find(" ", start + size)
+        while at > 0 and text[at - 1] == " ":
+            at = text.find(" ", at + 1)
+        if at < 0:
+            break
+        yield text[start:at]
+        start = at + 1
+    yield text[start:]
+
+
 def pack(ids: list[int]) -> bytes:
     """Ids as little-endian unsigned 32-bit integers."""
     out = array("I", ids)
@@ -71,35 +90,54 @@ class Codec:
         #: Ids of each distinct chunk, and the text of the chunks that don't decode to themselves.
         self.ids: dict[str, bytes] = {"": pack([self.model.piece_to_id(MARK)])}
         self.odd: dict[str, bytes] = {}
+        self.size = 0
 
-    def learn(self, chunks: set[str]) -> None:
+    def learn(self, chunks: set[str]) -> list[str]:
+        """Segment the new chunks; returns those too long to be remembered."""
         new = [c for c in chunks if c not in self.ids]
         surface = self.surface.__getitem__
         for c, ids in zip(new, self.model.encode(new, num_threads=1), strict=True):
             self.ids[c] = pack(ids)
+            self.size += OVERHEAD + 5 * len(c)
             if (text := b"".join(map(surface, ids))) != b" " + c.encode():
                 self.odd[c] = text
+        return [c for c in new if len(c) > LONGEST]
 
-    def __call__(self, texts: list[str]) -> list[tuple[bytes, str]]:
-        """For each text its ids with begin and end, packed as little-endian
-        unsigned 32-bit integers, and what they decode to."""
-        cut = [split(t.replace(MARK, " ")) if t else [] for t in texts]
-        if len(self.ids) > REMEMBERED:
+    def code(self, cut: list[list[str]]) -> list[tuple[bytes, str]]:
+        """Packed ids and decoded text of each list of chunks."""
+        if self.size > REMEMBERED:
             self.forget()
-        self.learn(set().union(*cut))
+        long = self.learn(set().union(*cut))
         get, out = self.ids.__getitem__, []
         for parts in cut:
             if self.odd and not self.odd.keys().isdisjoint(parts):
                 text = b"".join([self.odd.get(c, b" " + c.encode()) for c in parts])[1:].decode()
             else:
                 text = " ".join(parts)
-            out.append((b"".join([self.begin, *map(get, parts), self.end]), text))
+            out.append((b"".join(map(get, parts)), text))
+        for c in long:
+            self.size -= OVERHEAD + 5 * len(c)
+            del self.ids[c]
+            self.odd.pop(c, None)
         return out
 
+    def __call__(self, texts: list[str]) -> list[tuple[bytes, str]]:
+        """For each text its ids with begin and end, packed as little-endian
+        unsigned 32-bit integers, and what they decode to."""
+        plain = [t.replace(MARK, " ") for t in texts]
+        if sum(map(len, plain)) <= SLICE:
+            coded = self.code([split(t) if t else [] for t in plain])
+        else:
+            coded = []
+            for t in plain:
+                got = [self.code([split(x)])[0] for x in segments(t)] if t else [(b"", "")]
+                coded.append((b"".join([ids for ids, _ in got]), " ".join([x for _, x in got])))
+        return [(b"".join([self.begin, ids, self.end]), text) for ids, text in coded]
+
 
 @lru_cache(maxsize=1)
 def codec(path: str) -> Codec:
-    """A worker keeps its codec, and so its table, from one task to the next."""
+    """A worker keeps its codec from one task to the next, but not its table."""
     return Codec(path)
 
 
@@ -109,14 +147,17 @@ def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
 
     Null and empty texts give begin and end alone and decode to ''.  Ids may be
     null or repeat; other columns are ignored.  ``model_path`` is a file that every
-    executor has.  One narrow pass, no shuffle; a worker's table of chunks is bounded.
+    executor has.  One narrow pass, no shuffle; a worker's table of chunks is bounded
+    in bytes and goes with its task; long texts are coded in segments.
     """
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run_codec = codec(model_path)
-        for b in slices(batches):
+        for b in slices(batches, limit=SLICE):
             got = run_codec(texts(b))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x for x, _ in got], pa.binary()), pa.array([x for _, x in got], pa.string())], names=["doc_id", "ids", "decoded"])
+        run_codec.forget()
 
     df = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return df.mapInArrow(run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, ids binary, decoded string")

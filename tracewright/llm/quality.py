@@ -16,13 +16,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, slices
+from .common import held_out, slices, tidy
 
 WIDTH, STRIDE, FILTERS, EMBEDDING = 8, 2, 24, 8
+#: Bytes of text that a worker looks at together.
+SLICE = 2 << 20
 #: Windows of half a chunk; a chunk is two halves, the next starts one half on.
 HALF = 64
 #: Labelled texts of each class that the fit may take (the bounded sample), and rounds over them.
 SAMPLE, EPOCHS, BATCH = 700, 12, 24
+#: Bytes of labelled texts that the fit may take.
+BUDGET = 256 << 20
 
 
 @dataclass
@@ -124,19 +128,22 @@ def fit(texts: list[bytes], labels: list[int], prior: float, seed: int = 3) -> N
     return net
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, label: str, size: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[list, float]:
+def training_sample(docs: DataFrame, labels: DataFrame, label: str, size: int, id_col: str = "doc_id", text_col: str = "text", budget: int = BUDGET) -> tuple[list, float]:
     """At most ``size`` labelled texts of each class outside the held-out fold, in
     the order of a hash of their ids, and the share of label 1 among all of them.
 
-    Only ids are ranked; the at most 2 * size chosen ones are broadcast to pick the texts.
+    Only ids are ranked; the at most 2 * size chosen ones are broadcast to pick the
+    texts.  A repeated id counts once, with its least text.  ``budget`` bounds the
+    bytes that go to the driver: texts beyond their even share of it are left out.
     """
-    known = labels.select(F.col("doc_id").alias("__id"), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("__id").isNotNull() & ~held_out(F.col("__id"))).dropDuplicates(["__id"])
+    known = labels.select(F.col("doc_id").alias("id"), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("id").isNotNull() & ~held_out(F.col("id"))).dropDuplicates(["id"])
     share = known.agg(F.avg("y")).first()[0]
-    pick = lambda y: known.where(F.col("y") == y).orderBy(F.xxhash64("__id"), "__id").limit(size)
+    pick = lambda y: known.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(size)
     chosen = F.broadcast(pick(0).unionByName(pick(1)))
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("text")).join(chosen, "__id").select("__id", "text", "y").toArrow().to_pylist()
-    rows.sort(key=lambda r: (r["__id"], r["text"] or ""))
-    return [((r["text"] or ""), r["y"]) for r in rows[: 4 * size]], 0.5 if share is None else share
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).where(F.octet_length("text") <= budget // (2 * size))
+    rows = texts.join(chosen, "id").groupBy("id", "y").agg(F.min("text").alias("text")).toArrow().to_pylist()
+    rows.sort(key=lambda r: (r["id"], r["text"]))
+    return [(r["text"], r["y"]) for r in rows], 0.5 if share is None else share
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
@@ -151,9 +158,10 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     rows, share = training_sample(docs, labels, "quality", sample, id_col, text_col)
     net = docs.sparkSession.sparkContext.broadcast(fit([t.encode() for t, _ in rows], [y for _, y in rows], share))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = net.value.tables()
-        for b in slices(batches):
+        for b in slices(batches, limit=SLICE):
             x = np.array([net.value.logit((t or "").encode(), tables) for t in b.column(2).to_pylist()])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(1 / (1 + np.exp(-np.clip(x, -30, 30))))], names=["doc_id", "held_out", "score"])
 
@@ -170,9 +178,10 @@ def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataF
     rows, share = training_sample(docs, labels, "quality", sample)
     net = docs.sparkSession.sparkContext.broadcast(fit([t.encode() for t, _ in rows], [y for _, y in rows], share))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = net.value.tables()
-        for b in slices(batches):
+        for b in slices(batches, limit=SLICE):
             at = b.schema.get_field_index("text")
             yield b.filter(pa.array([net.value.logit((t or "").encode(), tables) >= 0 for t in b.column(at).to_pylist()], pa.bool_()))
 
