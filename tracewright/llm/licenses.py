@@ -110,7 +110,7 @@ def evaluate(rpn: list[str]) -> tuple[list[str], bool]:
 def automaton():
     found = ahocorasick.Automaton()
     for phrase, name in [*BASE.items(), *NOTICES.items(), (TAG, "")]:
-        found.add_word(f" {phrase} ", (len(phrase) + 2, name, phrase in BASE))
+        found.add_word(f" {phrase} ", (phrase.count(" ") + 1, name, phrase in BASE))
     found.make_automaton()
     return found
 
@@ -120,13 +120,15 @@ def scan(text: str, found) -> dict:
     words = text.encode().translate(_WORD).split()
     line = (b" " + b" ".join(words) + b" ").decode("latin-1")
     base, names, tagged = [], set(), False
+    seen = blanks = 0  # places come in order, so blanks are counted once
     for end, (size, name, of_base) in found.iter(line):
+        blanks += line.count(" ", seen, end + 1)
+        seen = end + 1
         if not name:
             tagged = True
             continue
-        start = line.count(" ", 0, end - size + 1)
         if of_base:
-            base.append({"start": start, "end": start + line.count(" ", end - size + 1, end), "label": name})
+            base.append({"start": blanks - 1 - size, "end": blanks - 1, "label": name})
         else:
             names.add(name)
     expressions, tags, free = [], set(), None

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bits, durable, ordinal, release, slices, tidy, without
+from .common import Bits, durable, ordinal, release, slices, tidy, unused, without
 from .graph import components
 from .hashing import U, mix, shingles
 
@@ -130,7 +130,7 @@ def differences(batches: Iterator[pa.RecordBatch], percent: int, order: Order) -
         yield pa.RecordBatch.from_arrays([*b.columns[:4], ints["lacks"], ints["adds"], _lists(cols["diff"]), ints["short"], ints["long"]], names=["id", "root", "n", "m", "lacks", "adds", "diff", "short", "long"])
 
 
-def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", tagged: bool = False) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id.
 
     A set holds the distinct shingles of ``words`` words (A-Z lower-cased, split at
@@ -139,7 +139,8 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, id_co
     reachable.  Texts without words (null, empty, blank) have no set and are linked
     with nothing: they keep their own id.  Null ids are the largest and stay null;
     repeated rows share one set.  All links between different sets are found; links
-    inside a component are not all written out.
+    inside a component are not all written out.  With ``tagged`` there is a column tag
+    too, the xxhash64 of the text, which tells rows of one id apart.
     """
     spark = docs.sparkSession
     sc = spark.sparkContext
@@ -151,7 +152,7 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, id_co
             s = shingles((t or "").encode(), words)
             yield o, blake2b(s.tobytes(), digest_size=16).digest(), s
 
-    kinds = [("ord", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("sketch", pa.list_(pa.int64())), ("often", pa.list_(pa.int64())), ("times", pa.list_(pa.int64()))]
+    kinds = [("ord", pa.int64()), ("tag", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("sketch", pa.list_(pa.int64())), ("often", pa.list_(pa.int64())), ("times", pa.list_(pa.int64()))]
 
     @tidy
     def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,13 +163,13 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, id_co
             token, count = np.unique(np.concatenate([np.zeros(0, U), *gathered]), return_counts=True)
             gathered.clear()
             many = count > 1
-            return pa.RecordBatch.from_arrays([*(pa.nulls(1, k) for _, k in kinds[:4]), _lists([token[many]]), pa.array([count[many]], kinds[5][1])], names=[c for c, _ in kinds])
+            return pa.RecordBatch.from_arrays([*(pa.nulls(1, k) for _, k in kinds[:5]), _lists([token[many]]), pa.array([count[many]], kinds[6][1])], names=[c for c, _ in kinds])
 
         for b in slices(batches, limit=SLICE):
             found = list(sets(b))
             sketch = [np.array([mix(s ^ x).min() for x in _SEEDS], U) if len(s) else np.zeros(0, U) for _, _, s in found]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([len(s) for _, _, s in found], pa.int64()), pa.array([k if len(s) else None for _, k, s in found], pa.binary()), _lists(sketch), *(pa.nulls(len(found), k) for _, k in kinds[4:])],
+                [b.column(0), b.column(2), pa.array([len(s) for _, _, s in found], pa.int64()), pa.array([k if len(s) else None for _, k, s in found], pa.binary()), _lists(sketch), *(pa.nulls(len(found), k) for _, k in kinds[5:])],
                 names=[c for c, _ in kinds],
             )
             gathered += [s for _, _, s in found]
@@ -176,8 +177,9 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, id_co
                 yield often()
         yield often()
 
-    table = durable(text.mapInArrow(sketches, "ord long, n long, digest binary, sketch array<long>, often array<long>, times array<long>"), "sets")
-    rows = durable(table.where("ord is not null").select("ord", "n", "digest"), "rows")
+    texts = text.withColumn("tag", F.xxhash64("text"))
+    table = durable(texts.mapInArrow(sketches, "ord long, tag long, n long, digest binary, sketch array<long>, often array<long>, times array<long>"), "sets")
+    rows = durable(table.where("ord is not null").select("ord", "tag", "n", "digest"), "rows")
     distinct = table.where("n > 0").groupBy("digest").agg(F.min("ord").alias("first"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     distinct = durable(distinct.withColumn("id", F.monotonically_increasing_id()), "distinct")  # numbered once, as written
     firsts = sc.broadcast(Bits.of(distinct.select("digest", "first"), _keys))
@@ -370,15 +372,20 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, id_co
     out = rows.join(named, "digest", "left")
     kind = docs.schema[id_col].dataType
     as_id = lambda c: F.when(c < 2**63 - 1, c).cast(kind)
-    return out.select(as_id(F.col("ord")).alias("doc_id"), F.col("n").alias("n_shingles"), as_id(F.coalesce("component", "ord")).alias("component_id"))
+    return out.select(as_id(F.col("ord")).alias("doc_id"), F.col("n").alias("n_shingles"), as_id(F.coalesce("component", "ord")).alias("component_id"), *(["tag"] if tagged else []))
 
 
 def keep_one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` (all columns) without those that share a component with
     a smaller id.  Rows without words stay, and rows that repeat the smallest id do.
 
-    The ids that go are known from a narrow table; no other text is shuffled.
+    Rows are told by id and a hash of their text, so null and repeated ids are judged
+    row by row; the rows that go are known from a narrow table, and no other text is
+    shuffled.
     """
-    member = jaccard_components(docs, words, percent)
-    gone = durable(member.where("n_shingles > 0 and component_id < coalesce(cast(doc_id as bigint), 9223372036854775807)").select("doc_id").distinct(), "gone")
-    return without(docs, gone, ["doc_id"])
+    member = jaccard_components(docs, words, percent, tagged=True)
+    name = unused(docs, "tag")
+    gone = member.where("n_shingles > 0 and component_id < coalesce(cast(doc_id as bigint), 9223372036854775807)")
+    gone = durable(gone.select("doc_id", F.col("tag").alias(name)).distinct(), "gone")
+    keyed = docs.withColumn(name, F.xxhash64(F.col("text").cast("string")))
+    return without(keyed, gone, ["doc_id", name]).drop(name)

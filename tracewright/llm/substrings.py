@@ -14,10 +14,10 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bits, durable, ordinal, slices
+from .common import Bits, durable, ordinal, release, slices, tidy
 from .hashing import U, mix, windows, words
 
 WINDOW = 50
@@ -65,9 +65,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Steps: (1) keys of whole word sequences: a copy of a smaller id's sequence loses
     all its words and is no reference; (2) the other texts' blocks fill a bitmap;
     (3) rolling probes that pass it are counted by hash, and blocks seen in two texts
-    fill a second bitmap; (4) windows whose blocks are in it meet by hash, one row
-    per window and document, which finds the smallest id; (5) flagged starts meet
-    their texts, and no other text is shuffled.  The bitmaps have fixed size and only
+    fill a second bitmap; (4) windows whose blocks are all in it, which are runs that
+    grow from such anchors, are summed by hash to the smallest id and then meet it,
+    one row per window and document; (5) flagged starts meet their texts, and no
+    other text is shuffled.  The bitmaps have fixed size and only
     spare work: what they let through is decided exactly.
     """
     spark = docs.sparkSession
@@ -106,6 +107,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         """``make`` applied to ids and word hashes of all references that have a window."""
 
         def rows(bits) -> object:
+            @tidy
             def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for b in slices(batches):
                     ids = b.column(0).to_numpy(zero_copy_only=False)
@@ -146,9 +148,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return pa.RecordBatch.from_arrays([longs(one), flat(two, np.int16), flat(ids, np.int64), flat(starts, np.int32)], names=["h", "check", "ord", "start"])
 
     seen = reference(grown, "h long, check smallint, ord long, start int")
-    flagged = seen.withColumn("first", F.min("ord").over(Window.partitionBy("h", "check"))).where("first < ord")
-    flagged = flagged.groupBy("ord").agg(F.collect_set(F.struct("start", "check")).alias("starts"))
+    # The smallest id of each repeated window is summed before it is dealt out; then the
+    # windows meet it in a join that can be split where one window is everywhere.
+    seen = durable(seen, "windows")
+    least = seen.groupBy("h", "check").agg(F.min("ord").alias("first"), F.max("ord").alias("last")).where("first < last").drop("last")
+    least = durable(least, "least")
+    flagged = durable(seen.join(least, ["h", "check"]).where("first < ord").select("ord", "start", "check"), "flagged")
+    release(seen, least)
     # Per id: the flagged starts, and the sequences that are copies as a whole.
+    flagged = flagged.groupBy("ord").agg(F.collect_set(F.struct("start", "check")).alias("starts"))
     decided = flagged.join(copies.groupBy("ord").agg(F.collect_set("digest").alias("copies")), "ord", "full")
     decided = durable(decided, "decided")
     touched = spark.sparkContext.broadcast(Bits.of(decided.select("ord")))

@@ -35,6 +35,8 @@ SAMPLE = 2500
 PREFIXES, SUPPORT = (4, 5), 3
 #: Characters of runs that a worker remembers.
 REMEMBERED = 4_000_000
+#: Bytes of text that a worker looks at together.
+SLICE = 1 << 20
 #: Strength with which the scale is held to its first value.
 RIDGE = np.array([20.0, 20.0, 0.5])
 
@@ -151,16 +153,17 @@ class Restorer:
         return out
 
 
-def features(text: str, restore: Restorer) -> set[str]:
-    """Words, plain and restored, and their beginnings (marked by a hyphen)."""
+def features(text: str, restore: Restorer) -> tuple[set[str], set[str]]:
+    """Words, plain and restored, and their beginnings (marked by a hyphen); and the restored words."""
     lower = text.lower()
     words = set(lower.split())
     words |= {w.strip(".,;:!?\"'()[]") for w in words} if not lower.isascii() or any(c in lower for c in ".,;:!?\"'()[]") else set()
-    words |= restore(lower)
+    restored = restore(lower)
+    words |= restored
     out = set(words)
     for k in PREFIXES:
         out |= {w[:k] + "-" for w in words if len(w) > k}
-    return out
+    return out, restored
 
 
 @dataclass
@@ -239,15 +242,16 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     lm = corpus_model(docs, text_col)
     rows, share = training_sample(docs, labels, "toxic", sample, id_col, text_col)
     restore = Restorer(lm)
-    model = spark.sparkContext.broadcast((lm, learn([features(t, restore) for t, _ in rows], [y for _, y in rows], share)))
+    model = spark.sparkContext.broadcast((lm, learn([features(t, restore)[0] for t, _ in rows], [y for _, y in rows], share)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lm, scorer = model.value
         restore = Restorer(lm)
-        for b in slices(batches):
+        for b in slices(batches, limit=SLICE):
             lists = [t or "" for t in b.column(2).to_pylist()]
-            x = np.array([scorer.logit(features(t, restore)) for t in lists])
-            restored = [sorted(restore(t.lower())) for t in lists]
+            told = [features(t, restore) for t in lists]
+            x = np.array([scorer.logit(found) for found, _ in told])
+            restored = [sorted(words) for _, words in told]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(1 / (1 + np.exp(-np.clip(x, -30, 30)))), pa.array(restored, pa.list_(pa.string()))], names=["doc_id", "held_out", "score", "restored"])
 
     df = docs.select(F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).cast("string").alias("text"))
