@@ -52,4 +52,4 @@ def test_whole_texts_are_read(spark, tmp_path):
     run = lambda name, column: {r["doc_id"]: r[column] for r in queries.QUERIES[name](spark, str(tmp_path)).collect()}
     generate = stub_generator()
     assert run("vlm_infer_stub", "output_text") == {i: generate(t, None, 128) for i, t in enumerate(texts)}
-    assert [run("text_overlap_whole", "score")[i] for i in (8, 9)] == [1, 2]
+    assert [run("text_overlap", "score")[i] for i in (8, 9)] == [1, 2]

@@ -38,11 +38,9 @@ def task_lookup(spark, sf):
     return rows.select("conv_id", "turn", "role", F.col("text").alias("instruction"))
 
 
-@query("SELECT conv_id, turn FROM conversations WHERE conv_id = (SELECT max(conv_id) FROM conversations)")
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT o_custkey FROM orders WHERE o_orderkey = 7)")
 def task_of_row(spark, sf):
-    c = table(spark, sf, "conversations")
-    last = c.select(F.max("conv_id").alias("conv_id"))
-    return c.join(F.broadcast(last), "conv_id", "left_semi").select("conv_id", "turn")
+    return sampling.task_of_row(table(spark, sf, "orders").select("o_orderkey", "o_custkey"), "o_orderkey", 7, "o_custkey")
 
 
 @query("SELECT conv_id, min(turn) AS first_seen FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id")
@@ -296,38 +294,19 @@ def answer_choice(spark, sf):
     return table(spark, sf, "events").select("event_id", ranking.choose_element(answer, candidates)["element"]["index"].alias("chosen"))
 
 
-@query("""WITH w AS (SELECT doc_id, lower(substr(text, 1, 200)) AS a, lower(substr(text, 150, 60)) AS b FROM documents)
-SELECT doc_id, CAST((CASE WHEN contains(a, b) OR contains(b, a) THEN 100 ELSE 0 END) + len(list_intersect(list_distinct(list_filter(regexp_split_to_array(a, '\\s+'), lambda x: x <> '')), list_distinct(list_filter(regexp_split_to_array(b, '\\s+'), lambda x: x <> '')))) AS INT) AS score FROM w""".replace("\\\\", "\\"))
-def text_overlap(spark, sf):
-    t = F.col("text")
-    return table(spark, sf, "documents").select("doc_id", ranking.overlap_score(F.substring(t, 1, 200), F.substring(t, 150, 60)).cast("int").alias("score"))
-
-
 @query("""WITH w AS (SELECT doc_id, lower(substr(text, 1, length(text) // 2)) AS a, lower(substr(text, length(text) // 2 + 1)) AS b FROM documents)
 SELECT doc_id, CAST((CASE WHEN contains(a, b) OR contains(b, a) THEN 100 ELSE 0 END) + len(list_intersect(list_distinct(list_filter(regexp_split_to_array(a, '\\s+'), lambda x: x <> '')), list_distinct(list_filter(regexp_split_to_array(b, '\\s+'), lambda x: x <> '')))) AS INT) AS score FROM w""".replace("\\\\", "\\"))
-def text_overlap_whole(spark, sf):
+def text_overlap(spark, sf):
     # Both halves of each text, so that every character is read.
     t = F.col("text")
     half = F.floor(F.length(t) / 2).cast("int")
     return table(spark, sf, "documents").select("doc_id", ranking.overlap_score(t.substr(F.lit(1), half), t.substr(half + 1, F.length(t))).cast("int").alias("score"))
 
 
-@query("""WITH q AS (SELECT label, min(vec_id) AS query_id FROM embeddings GROUP BY label), a AS (SELECT q.label, query_id, embedding AS a FROM q JOIN embeddings ON vec_id = query_id),
-s AS (SELECT query_id, vec_id, list_cosine_similarity(a::DOUBLE[], embedding::DOUBLE[]) AS c FROM a JOIN embeddings e ON e.label = a.label AND vec_id <> query_id)
-SELECT query_id, vec_id, rn - 1 AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, vec_id) AS rn FROM s) WHERE rn <= 5""")
-def cosine_rank(spark, sf):
-    e = table(spark, sf, "embeddings").select("label", "vec_id", "embedding")
-    # One query for each label, its first vector: every row meets one query, not all others.
-    first = e.groupBy("label").agg(F.min_by(F.struct("vec_id", "embedding"), "vec_id").alias("q"))
-    pairs = e.join(first, "label").where("vec_id <> q.vec_id")
-    scored = pairs.select(F.col("q.vec_id").alias("query_id"), "vec_id", geometry.cosine(F.col("q.embedding"), F.col("embedding")).alias("score"))
-    return ranking.top_candidates(scored, "query_id", 5, "score", "vec_id").select("query_id", "vec_id", F.col("rank").cast("long").alias("rank"))
-
-
 @query("""WITH q AS (SELECT vec_id AS query_id, embedding AS a FROM embeddings WHERE vec_id % 100 = 0),
 s AS (SELECT query_id, vec_id, list_cosine_similarity(a::DOUBLE[], embedding::DOUBLE[]) AS c FROM q JOIN embeddings ON vec_id <> query_id)
 SELECT query_id, vec_id, rn - 1 AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, vec_id) AS rn FROM s) WHERE rn <= 5""")
-def cosine_rank_all(spark, sf):
+def cosine_rank(spark, sf):
     e = table(spark, sf, "embeddings").select("vec_id", "embedding")
     return ranking.nearest_vectors(e, e.where("vec_id % 100 = 0"), 5).select("query_id", "vec_id", F.col("rank").cast("long").alias("rank"))
 
@@ -393,3 +372,103 @@ def vlm_infer_stub(spark, sf):
 def pair_scores(spark, sf):
     rows = table(spark, sf, "conversations").select("conv_id", "turn", F.lit("the and of").alias("a"), "text")
     return score_pairs(rows, "a", "text").select("conv_id", "turn", "score")
+
+
+# Raw traces: truth and predictions as JSON and text
+
+
+@query("""SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'CLICK' WHEN 1 THEN 'TYPE' WHEN 2 THEN 'SELECT' WHEN 3 THEN 'HOVER' ELSE '' END AS true_operation,
+CASE event_id % 5 WHEN 0 THEN 'a' WHEN 1 THEN 'Item ' || event_id WHEN 2 THEN 'V' || event_id ELSE '' END AS true_value,
+CASE event_id % 3 WHEN 0 THEN '[x] ' || event_id ELSE 'r0 | r' || event_id END AS true_element,
+CASE event_id % 3 WHEN 0 THEN '' || event_id WHEN 1 THEN event_id || ',m' || event_id ELSE 'm' || event_id END AS true_ids,
+CASE event_id % 4 WHEN 0 THEN '' || event_id WHEN 1 THEN 'b' || event_id ELSE '' END AS predicted_id FROM events""")
+def truth_fields(spark, sf):
+    e, i = table(spark, sf, "events"), F.col("event_id")
+    n = i.cast("string")
+    of = lambda *parts: F.concat(*(p if not isinstance(p, str) else F.lit(p) for p in parts))
+    operation = (
+        F.when(i % 5 == 0, '{"op":"click","value":" a "}')
+        .when(i % 5 == 1, of('{"op":"TYPE","value":" Item ', n, ' "}'))
+        .when(i % 5 == 2, of('{"action_type":"select","action_input":"V', n, '"}'))
+        .when(i % 5 == 3, " Hover ")
+    )
+    candidates = (
+        F.when(i % 3 == 0, F.array(of('{"backend_node_id":"', n, '","attributes":{"backend_node_id":"', n, '"}}')))
+        .when(i % 3 == 1, F.array(of('{"backend_node_id":"', n, '","attributes":{"backend_node_id":"m', n, '"}}')))
+        .otherwise(F.array(F.lit("broken"), of('{"attributes":{"backend_node_id":"m', n, '"}}')))
+    )
+    attributes = F.create_map(F.lit("backend_node_id"), F.when(i % 4 == 1, of("b", n)))
+    selected = F.struct(F.when(i % 4 == 0, n).when(i % 4 == 2, "").alias("backend_node_id"), attributes.alias("attributes"))
+    return e.select(
+        "event_id",
+        jsonfn.truth_operation(operation).alias("true_operation"),
+        jsonfn.truth_value(operation).alias("true_value"),
+        text.element_label(F.when(i % 3 == 0, of(" [x] ", n, " ")).otherwise(""), F.array(F.lit("r0"), of("r", n))).alias("true_element"),
+        F.array_join(jsonfn.truth_ids(candidates), ",").alias("true_ids"),
+        match.chosen_id(selected).alias("predicted_id"),
+    )
+
+
+@query("""WITH c AS (SELECT conv_id, turn, coalesce(length(text), 0) AS n FROM conversations),
+k AS (SELECT *, (['CLICK', 'TYPE', 'SCROLL'])[n % 3 + 1] AS t FROM c WHERE n % 7 <> 0),
+f AS (SELECT conv_id, turn, n % 11 <> 0 AS operation_match, n % 5 <> 0 AND n % 4 <> 0 AS element_match, t <> 'TYPE' OR (n % 11 <> 0 AND n % 2 = 0) AS value_match FROM k)
+SELECT conv_id AS annotation_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS step_index, operation_match, element_match, value_match, operation_match AND element_match AND value_match AS step_success FROM f""")
+def step_records(spark, sf):
+    c, n = table(spark, sf, "conversations"), F.col("n")
+    rows = c.select(F.col("conv_id").alias("annotation_id"), F.col("turn").alias("step_index"), "role", F.coalesce(F.length("text"), F.lit(0)).alias("n"))
+    kind = F.element_at(F.array(*map(F.lit, ("CLICK", "TYPE", "SCROLL"))), (n % 3 + 1).cast("int"))
+    node = (n % 10).cast("string")
+    steps = rows.select(
+        "annotation_id", "step_index", F.col("role").alias("confirmed_task"), F.lit("w").alias("website"), F.lit("d").alias("domain"),
+        F.to_json(F.struct(kind.alias("op"), F.concat(F.lit("V"), n.cast("string")).alias("value"))).alias("operation"),
+        F.when(n % 5 == 0, F.array(F.lit("{}"))).otherwise(F.array(F.to_json(F.struct(node.alias("backend_node_id"))))).alias("pos_candidates"),
+        F.lit("").alias("target_action_reprs"), F.array(F.lit("r")).alias("action_reprs"),
+    )
+    plan = F.when(n % 11 == 0, "").when(kind == "TYPE", F.concat(F.lit('type: Enter "'), F.when(n % 2 == 0, "v").otherwise("w"), n.cast("string"), F.lit('"'))).otherwise(F.concat(F.lit("ACTION_TYPE: "), F.lower(kind)))
+    selected = F.struct(F.when(n % 4 != 0, node).alias("backend_node_id"), F.create_map(F.lit("id"), F.lit("x")).alias("attributes"))
+    outputs = rows.select("annotation_id", "step_index", plan.alias("plan"), selected.alias("selected"), F.lit(1.0).alias("latency"), F.when(n % 7 == 0, "timeout").alias("error"))
+    flags = ["operation_match", "element_match", "value_match", "step_success"]
+    return match.step_records(steps, outputs).select("annotation_id", F.col("step_index").cast("long").alias("step_index"), *flags)
+
+
+@query("""SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'scroll' WHEN 1 THEN 'click' WHEN 2 THEN 'click' WHEN 4 THEN 'noop' END AS action_type,
+CASE event_id % 5 WHEN 0 THEN 1.0::DOUBLE WHEN 1 THEN 0.0::DOUBLE WHEN 2 THEN 0.5::DOUBLE WHEN 4 THEN 0.25::DOUBLE END AS confidence, event_id % 5 <> 3 AS success FROM events""")
+def mended_actions(spark, sf):
+    e, i = table(spark, sf, "events"), F.col("event_id")
+    raw = (
+        F.when(i % 5 == 0, '{"action_type":"fly","action":"scroll","confidence":1.7}')
+        .when(i % 5 == 1, '{"action_type":"click","target":{"selector":"#a"},"confidence":-2}')
+        .when(i % 5 == 2, '{"action_type":"click","target":{"selector":"#a"},"confidence":"high"}')
+        .when(i % 5 == 3, '{"action_type":"type","target":{"selector":"#a"},"value":"","confidence":0.5}')
+        .otherwise('{"confidence":0.25}')
+    )
+    return decode.decode_actions(e.select("event_id", raw.alias("raw")), "raw").select("event_id", "action.action_type", "action.confidence", "success")
+
+
+@query("""WITH g AS (SELECT event_id, 100 + event_id % 900 AS w, 50 + event_id % 700 AS h, event_id % 100 / 100 AS x, event_id % 50 / 50 AS y FROM events),
+s AS (SELECT *, least(640::DOUBLE / w, 480::DOUBLE / h) AS k FROM g), p AS (SELECT *, floor((640 - floor(w * k)) / 2) AS px, floor((480 - floor(h * k)) / 2) AS py FROM s)
+SELECT event_id, x * w AS left_px, y * h AS top_px, (x * w + 10 - px) / k AS old_x, (y * h + 10 - py) / k AS old_y, event_id % 7 + 1.5::DOUBLE AS corner_x, event_id % 3 + 4::DOUBLE AS corner_y FROM p""")
+def mapped_boxes(spark, sf):
+    i = F.col("event_id")
+    w, h = (100 + i % 900).cast("double"), (50 + i % 700).cast("double")
+    rows = table(spark, sf, "events").select("event_id", w.alias("w"), h.alias("h"), (i % 100 / 100).alias("x"), (i % 50 / 50).alias("y"))
+    box = geometry.scaled(F.array("x", "y", F.lit(0.5), F.lit(0.5)), F.col("w"), F.col("h"), 4)
+    frame = geometry.fit(F.col("w"), F.col("h"), 640, 480)
+    old = geometry.to_original(F.array(F.col("box")[0] + 10, F.col("box")[1] + 10, F.lit(1.0), F.lit(1.0)), frame)
+    corners = geometry.box_corners(F.concat(F.lit("["), (i % 7).cast("string"), F.lit(", "), (i % 3).cast("string"), F.lit(", 1.5, 4]")))
+    out = rows.select("*", box.alias("box")).select("event_id", "box", old.alias("old"), corners.alias("corners"))
+    return out.select("event_id", *(F.col(c)[k].alias(a) for c, k, a in (("box", 0, "left_px"), ("box", 1, "top_px"), ("old", 0, "old_x"), ("old", 1, "old_y"), ("corners", 2, "corner_x"), ("corners", 3, "corner_y"))))
+
+
+@query("""SELECT event_id, 'look [see attached screenshot] at ' || event_id AS plain,
+'{"role":"user","content":[' || CASE WHEN event_id % 2 = 0 THEN '{"type":"image_url","url":"http://x/' || event_id || '"},' ELSE '' END || '{"type":"text","text":"do ' || event_id || '"}]}' AS message,
+'Instruction: go ' || event_id || chr(10) || 'Action: click' || chr(10) || chr(10) || 'Instruction: ' || chr(10) || 'Action: type' AS shots FROM events""")
+def chat_prompts(spark, sf):
+    n = F.col("event_id").cast("string")
+    examples = F.array(F.struct(F.concat(F.lit("go "), n).alias("instruction"), F.lit("click").alias("response")), F.struct(F.lit(None).cast("string").alias("instruction"), F.lit("type").alias("response")))
+    return table(spark, sf, "events").select(
+        "event_id",
+        text.without_vision_tokens(F.concat(F.lit(" look <|vision_start|>a\nb<|vision_end|> at "), n, F.lit("<|image_pad|> "))).alias("plain"),
+        text.chat_message(F.concat(F.lit("do "), n), F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("http://x/"), n))).alias("message"),
+        text.few_shot(examples).alias("shots"),
+    )
