@@ -144,6 +144,25 @@ class Bits:
         s = self.slot(h)
         return (self.words[s >> np.uint64(6)] >> (s & np.uint64(63))) & np.uint64(1) != 0
 
+    SCHEMA = "word int, bits long"
+
+    @classmethod
+    def rows(cls, hashes: np.ndarray) -> pa.RecordBatch:
+        """Hashes as the words of a bitmap that they set bits of."""
+        s = cls.slot(hashes)
+        word, at = np.unique(s >> np.uint64(6), return_inverse=True)
+        bits = np.zeros(len(word), np.uint64)
+        np.bitwise_or.at(bits, at, np.uint64(1) << (s & np.uint64(63)))
+        return pa.RecordBatch.from_arrays([pa.array(word.astype(np.int32)), pa.array(bits.view(np.int64))], names=["word", "bits"])
+
+    @classmethod
+    def gathered(cls, rows: DataFrame) -> Bits:
+        """From a DataFrame of such words."""
+        got = rows.groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+        words = np.zeros(1 << (cls.BITS - 6), np.uint64)
+        words[got.column(0).to_numpy()] = got.column(1).to_numpy().view(np.uint64)
+        return cls(words)
+
     @classmethod
     def of(cls, rows: DataFrame, key: Callable[[pa.RecordBatch], np.ndarray] | None = None) -> Bits:
         """From a DataFrame whose one column holds hashes as long, or whose batches
@@ -152,16 +171,9 @@ class Bits:
         @tidy
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                s = cls.slot(key(b) if key else b.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
-                word, at = np.unique(s >> np.uint64(6), return_inverse=True)
-                bits = np.zeros(len(word), np.uint64)
-                np.bitwise_or.at(bits, at, np.uint64(1) << (s & np.uint64(63)))
-                yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int32)), pa.array(bits.view(np.int64))], names=["word", "bits"])
+                yield cls.rows(key(b) if key else b.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
 
-        got = rows.mapInArrow(run, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-        words = np.zeros(1 << (cls.BITS - 6), np.uint64)
-        words[got.column(0).to_numpy()] = got.column(1).to_numpy().view(np.uint64)
-        return cls(words)
+        return cls.gathered(rows.mapInArrow(run, cls.SCHEMA))
 
 
 def ordinal(doc_id: Column) -> Column:

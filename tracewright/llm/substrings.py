@@ -14,10 +14,10 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Bits, durable, ordinal, release, slices, tidy
+from .common import Bits, durable, ordinal, slices, tidy
 from .hashing import U, mix, windows, words
 
 WINDOW = 50
@@ -66,8 +66,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     all its words and is no reference; (2) the other texts' blocks fill a bitmap;
     (3) rolling probes that pass it are counted by hash, and blocks seen in two texts
     fill a second bitmap; (4) windows whose blocks are all in it, which are runs that
-    grow from such anchors, are summed by hash to the smallest id and then meet it,
-    one row per window and document; (5) flagged starts meet their texts, and no
+    grow from such anchors, meet by hash, one row per window and document, which finds
+    the smallest id; (5) flagged starts meet their texts, and no
     other text is shuffled.  The bitmaps have fixed size and only
     spare work: what they let through is decided exactly.
     """
@@ -84,7 +84,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.binary())], names=["ord", "digest"])
 
     whole = durable(text.mapInArrow(keys, "ord long, digest binary").where("digest is not null"), "sequences")
-    first = whole.groupBy("digest").agg(F.min("ord").alias("first"), F.max("ord").alias("last")).where("first < last").drop("last")
+    first = durable(whole.groupBy("digest").agg(F.min("ord").alias("first"), F.max("ord").alias("last")).where("first < last").drop("last"), "firsts")
     copies = durable(whole.join(first, "digest").where("first < ord").select("ord", "digest").distinct(), "copies")
     maybe_copy = spark.sparkContext.broadcast(Bits.of(copies.select("ord")))
 
@@ -99,8 +99,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return run
 
     # Texts whose id only seems to be a copy's (or is shared with one) are references too.
-    seeming = text.mapInArrow(among(maybe_copy, True), text.schema)
-    seeming = seeming.mapInArrow(_with_key, "ord long, text string, digest binary").join(copies, ["ord", "digest"], "left_anti")
+    picked = among(maybe_copy, True)
+    seeming = text.mapInArrow(lambda x: _with_key(picked(x)), "ord long, text string, digest binary").join(copies, ["ord", "digest"], "left_anti")
     seeming = durable(seeming.select("ord", "text"), "seeming")
 
     def reference(make, schema: str) -> DataFrame:
@@ -120,9 +120,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return text.mapInArrow(rows(maybe_copy), schema).unionByName(seeming.mapInArrow(rows(None), schema))
 
     def blocks(found: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([longs([windows(w, BLOCK)[::BLOCK] for _, w in found])], names=["h"])
+        return Bits.rows(np.concatenate([np.zeros(0, U), *(windows(w, BLOCK)[::BLOCK] for _, w in found)]))
 
-    indexed = spark.sparkContext.broadcast(Bits.of(reference(blocks, "h long")))
+    indexed = spark.sparkContext.broadcast(Bits.gathered(reference(blocks, Bits.SCHEMA)))
 
     def probes(found: list) -> pa.RecordBatch:
         rolling = (windows(w, BLOCK) for _, w in found)
@@ -148,13 +148,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return pa.RecordBatch.from_arrays([longs(one), flat(two, np.int16), flat(ids, np.int64), flat(starts, np.int32)], names=["h", "check", "ord", "start"])
 
     seen = reference(grown, "h long, check smallint, ord long, start int")
-    # The smallest id of each repeated window is summed before it is dealt out; then the
-    # windows meet it in a join that can be split where one window is everywhere.
-    seen = durable(seen, "windows")
-    least = seen.groupBy("h", "check").agg(F.min("ord").alias("first"), F.max("ord").alias("last")).where("first < last").drop("last")
-    least = durable(least, "least")
-    flagged = durable(seen.join(least, ["h", "check"]).where("first < ord").select("ord", "start", "check"), "flagged")
-    release(seen, least)
+    flagged = seen.withColumn("first", F.min("ord").over(Window.partitionBy("h", "check"))).where("first < ord")
     # Per id: the flagged starts, and the sequences that are copies as a whole.
     flagged = flagged.groupBy("ord").agg(F.collect_set(F.struct("start", "check")).alias("starts"))
     decided = flagged.join(copies.groupBy("ord").agg(F.collect_set("digest").alias("copies")), "ord", "full")
@@ -188,7 +182,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             )
 
     nothing = F.lit(None)
-    clean = df.mapInArrow(among(touched, False), df.schema).withColumns({"starts": nothing.cast(decided.schema["starts"].dataType), "copies": nothing.cast(decided.schema["copies"].dataType)})
+    clean = df.withColumns({"starts": nothing.cast(decided.schema["starts"].dataType), "copies": nothing.cast(decided.schema["copies"].dataType)})
     changed = df.mapInArrow(among(touched, True), df.schema).join(decided, "ord", "left").select(*clean.columns)
+    untouched = among(touched, False)
     schema = f"doc_id {kind}, n_words long, n_removed long, removed array<struct<start:long,end:long>>, kept_text string"
-    return clean.mapInArrow(cut, schema).unionByName(changed.mapInArrow(cut, schema))
+    return clean.mapInArrow(tidy(lambda x: cut(untouched(x))), schema).unionByName(changed.mapInArrow(cut, schema))
