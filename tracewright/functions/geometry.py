@@ -62,6 +62,21 @@ def to_original(values: Column, frame: Column) -> Column:
     return F.transform(values, lambda v, i: (v - F.get(shift, i)) / frame["scale"])
 
 
+def stretch(width: Column, height: Column, target_width: int, target_height: int) -> Column:
+    """Resize that ignores proportions: the target's size and one scale for each axis."""
+    return F.struct((F.lit(target_width) / width).alias("scale_x"), (F.lit(target_height) / height).alias("scale_y"), F.lit(target_width).cast("long").alias("width"), F.lit(target_height).cast("long").alias("height"))
+
+
+def unstretched(values: Column, frame: Column) -> Column:
+    """A point or box of the stretched image in the original's pixels."""
+    return F.transform(values, lambda v, i: v / F.when(i % 2 == 0, frame["scale_x"]).otherwise(frame["scale_y"]))
+
+
+def unit_pixels(values: Column) -> Column:
+    """Channel values from 0 to 255 as floats in [0, 1]."""
+    return F.transform(values, lambda v: (v / 255).cast("float"))
+
+
 def downscaled(width: Column, height: Column, over: tuple[int, int], into: tuple[int, int]) -> Column:
     """Size after fitting images above ``over`` into ``into``; small ones as they are."""
     big = (width > over[0]) | (height > over[1])

@@ -7,6 +7,7 @@ text of an enclosing element, comments don't.
 
 from __future__ import annotations
 
+from collections import Counter
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -23,21 +24,22 @@ SUMMARY_TAGS = frozenset("a button input textarea select label div span p".split
 
 
 class _Tree(HTMLParser):
-    """Collects (tag, attributes, text pieces) of the wanted elements."""
+    """Collects the wanted elements as [tag, attributes, start, end], a range of ``pieces`` of text."""
 
     def __init__(self, wanted) -> None:
         super().__init__(convert_charrefs=True)
-        self.wanted, self.found, self.open = wanted, [], []
+        self.wanted, self.found, self.open, self.pieces, self.depth = wanted, [], [], [], Counter()
 
     def handle_starttag(self, tag, attrs):
         attributes = {}
         for k, v in attrs:
             attributes.setdefault(k, v or "")
-        node = (tag, attributes, []) if self.wanted(tag, attributes) else None
+        node = [tag, attributes, len(self.pieces), len(self.pieces)] if self.wanted(tag, attributes) else None
         if node:
             self.found.append(node)
         if tag not in VOID:
             self.open.append((tag, node))
+            self.depth[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -45,22 +47,28 @@ class _Tree(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] == tag:
-                del self.open[k:]
-                return
+        if self.depth[tag]:
+            while self.end_innermost() != tag:
+                pass
+
+    def end_innermost(self):
+        tag, node = self.open.pop()
+        self.depth[tag] -= 1
+        if node:
+            node[3] = len(self.pieces)
+        return tag
 
     def handle_data(self, data):
-        for _, node in self.open:
-            if node:
-                node[2].append(data)
+        self.pieces.append(data)
 
 
-def _parse(html: str | None, wanted) -> list:
+def _parse(html: str | None, wanted, limit: int | None = None) -> list:
     tree = _Tree(wanted)
     tree.feed(html or "")
     tree.close()
-    return tree.found
+    while tree.open:
+        tree.end_innermost()
+    return [(tag, attributes, tree.pieces[start:end]) for tag, attributes, start, end in tree.found[:limit]]
 
 
 def is_active(tag: str, attributes: dict) -> bool:
@@ -77,7 +85,7 @@ def interactive(html: str | None) -> list[dict]:
 
 def summary(html: str | None, limit: int = 500) -> list[dict]:
     out = []
-    for tag, attributes, pieces in _parse(html, lambda t, _: t in SUMMARY_TAGS)[:limit]:
+    for tag, attributes, pieces in _parse(html, lambda t, _: t in SUMMARY_TAGS, limit):
         text = " ".join(p.strip() for p in pieces if p.strip())[:200]
         out.append({"tag": tag, "text": text, "id": attributes.get("id"), "class": attributes.get("class"), "attrs": attributes})
     return out

@@ -97,6 +97,76 @@ def repair_json(text: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([repair_action(t) for t in text], columns=["json", "error"], dtype=object)
 
 
+@batch_udf("struct<json:string,error:string>")
+def parse_json(text: pd.Series) -> pd.DataFrame:
+    """Column form of :func:`parse_loose`, without defaults."""
+    found = [parse_loose(t) for t in text]
+    return pd.DataFrame([(None if v is None else json.dumps(v, ensure_ascii=False), e) for v, e in found], columns=["json", "error"], dtype=object)
+
+
+def required_error(parsed: Column, error: Column, keys: tuple[str, ...]) -> Column:
+    """The parser's error, else the required keys that the object lacks, in the order asked; else null.
+
+    The parsed value stays usable beside it.
+    """
+    there = F.coalesce(F.json_object_keys(parsed), F.array().cast("array<string>"))
+    missing = F.array_except(F.array(*map(F.lit, keys)), there)
+    return F.coalesce(error, F.when(F.size(missing) > 0, F.concat(F.lit("Keys not found: "), F.array_join(missing, ", "))))
+
+
+#: What a labelled answer, an object nested at most once, and its single fields look like (fixed patterns).
+_LABELLED = re.compile(r"Output:\s*(\{.*?\})", re.DOTALL | re.IGNORECASE)
+_SHALLOW = re.compile(r"\{[^{}]*(?:\{[^{}]*\}[^{}]*)*\}")
+_PARTS = {
+    "action": re.compile(r'"action"\s*:\s*"([^"]+)"'),
+    "target": re.compile(r'"target"\s*:\s*(\{[^}]+\}|null)'),
+    "value": re.compile(r'"value"\s*:\s*"([^"]*)"'),
+    "confidence": re.compile(r'"confidence"\s*:\s*([\d.]+)'),
+}
+_NO_VALUE = re.compile(r'"value"\s*:\s*null')
+
+
+def extract_labelled(text: str | None) -> object:
+    """The answer of a model that was asked for ``Output: {...}``: a labelled object, the
+    whole text, the first readable object nested at most once, or all between the outer
+    braces; else the single fields that can be found, or None."""
+
+    def readings():
+        labelled = _LABELLED.search(text)
+        yield labelled[1] if labelled else ""
+        yield text.strip()
+        yield from (m[0] for m in _SHALLOW.finditer(text))
+        yield text[text.find("{") : text.rfind("}") + 1] if "{" in text else ""
+
+    def read(attempt: str) -> tuple:
+        try:
+            return (json.loads(attempt),)
+        except ValueError:
+            return ()
+
+    text = text or ""
+    for attempt in filter(None, readings()):
+        found = read(attempt)
+        if found:
+            return found[0]
+    parts = {name: m[1] for name, pattern in _PARTS.items() if (m := pattern.search(text))}
+    if "value" not in parts and _NO_VALUE.search(text):
+        parts["value"] = None
+    if "target" in parts:  # null, if it can't be read
+        parts["target"] = (*read(parts["target"]), None)[0]
+    if "confidence" in parts:  # left out, if it is no number
+        number = read(parts.pop("confidence"))
+        parts |= {"confidence": float(number[0])} if number else {}
+    return parts or None
+
+
+@batch_udf("string")
+def extract_json(text: pd.Series) -> pd.Series:
+    """Column form of :func:`extract_labelled`, as JSON text."""
+    found = [extract_labelled(t) for t in text]
+    return pd.Series([None if v is None else json.dumps(v, ensure_ascii=False) for v in found], dtype=object)
+
+
 def is_object(j: Column) -> Column:
     return F.coalesce(F.json_object_keys(j).isNotNull(), F.lit(False))
 

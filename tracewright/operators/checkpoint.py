@@ -21,3 +21,12 @@ def add(done: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """Ids of either table, once each; null and empty ones dropped."""
     ids = done.select(F.col(key).cast("string").alias(key)).unionByName(new.select(F.col(key).cast("string").alias(key)))
     return ids.where(F.coalesce(F.col(key), F.lit("")) != "").distinct()
+
+
+def listed(done: DataFrame, key: str) -> DataFrame:
+    """All ids as text, once each and sorted; null and empty ones dropped."""
+    return add(done, done.limit(0), key).orderBy(key)
+
+
+def counted(done: DataFrame, key: str) -> DataFrame:
+    return add(done, done.limit(0), key).agg(F.count(F.lit(1)).alias("total"))

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import clamp, numbers, scaled
-from ..functions.jsonfn import repair_json
-from ..schemas import ACTION_TYPES
+from ..functions.jsonfn import is_object, repair_json
+from ..schemas import ACTION, ACTION_TYPES
 
 
 def has_key(j: Column, key: str) -> Column:
@@ -91,3 +91,27 @@ def decode_actions(df: DataFrame, text: str, width: Column | None = None, height
         out = out if strict else F.when(~readable, noop).otherwise(out)
     step = step.withColumns({"action": out, "parsed": F.col("__p.json"), "error": error})
     return step.withColumn("success", F.col("action").isNotNull()).drop("__p", "__kind", "__target", "__value", "__raw", "__confidence", "__error")
+
+
+def to_text(action: Column) -> Column:
+    """An action struct as JSON: its four fields always, of a target only what it has."""
+
+    def value(x: Column) -> Column:
+        listed = F.to_json(F.array(x))
+        return listed.substr(F.lit(2), F.char_length(listed) - 2)
+
+    names = ("action_type", "target", "value", "confidence")
+    fields = [F.concat(F.lit(f'"{n}":'), value(action[n])) for n in names]
+    return F.when(action.isNotNull(), F.concat(F.lit("{"), F.concat_ws(",", *fields), F.lit("}")))
+
+
+def from_text(j: Column) -> Column:
+    """The action of a JSON object; without the key, the type is noop and the confidence 0.
+
+    A key that is there keeps its value, null included.  What is no object gives null.
+    """
+    read = F.from_json(j, ACTION)
+    filled = read
+    for name, default in (("action_type", "noop"), ("confidence", 0.0)):
+        filled = filled.withField(name, F.when(has_key(j, name), read[name]).otherwise(default))
+    return F.when(is_object(j), filled)

@@ -163,6 +163,11 @@ def answer_probe(answer: pd.Series) -> pd.Series:
     return answer.map(probe_of)
 
 
+def preview(candidates: Column, n: int = 5) -> Column:
+    """The first of a list of candidates, for logs and reports."""
+    return F.slice(candidates, 1, n)
+
+
 def choose_element(answer: Column, candidates: Column, probe: Column | None = None, allow_none: bool = False) -> Column:
     """The chosen struct<score,element>: by index, by the answer's text, else the best scored.
 

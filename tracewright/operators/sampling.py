@@ -27,6 +27,19 @@ def shuffled(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
     return df.orderBy(hash_order(key, seed), key)
 
 
+def row_count(df: DataFrame) -> DataFrame:
+    return df.agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+def row_at(df: DataFrame, order: list[str], position: int) -> DataFrame:
+    """The row at a position from 0 (below 0: from the end) of an order; no row beyond the ends.
+
+    A table has no order of its own, so one must be given; ties may fall either way.
+    """
+    keys = [F.col(c) for c in order] if position >= 0 else [F.desc(c) for c in order]
+    return df.orderBy(*keys).offset(position if position >= 0 else -position - 1).limit(1)
+
+
 def task(df: DataFrame, key: str, value) -> DataFrame:
     """A task's rows; the filter reaches the scan.  KeyError if there are none."""
     out = df.where(F.col(key) == value)

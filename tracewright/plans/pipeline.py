@@ -62,3 +62,19 @@ def run_offline(steps: DataFrame, done: DataFrame, factory=stub_generator, setti
     chosen = ground(plans.select("annotation_id", "step_index", "plan", "cleaned_html", "instruction"), settings, answers=answers)
     outputs = plans.select("annotation_id", "step_index", "plan", "latency", "error").join(chosen, ["annotation_id", "step_index"], "left")
     return evaluate(todo, outputs)
+
+
+#: Methods of grounding by their number (fixed values): by attributes, by textual choice, by image.
+METHODS = {"1": None, "2": ground, "3": None}
+
+
+def grounding(method: str = "2"):
+    """The function of a grounding method; ValueError for an unknown number.
+
+    Methods without a definition to build raise NotImplementedError.
+    """
+    if method not in METHODS:
+        raise ValueError(f"No grounding method {method!r}, only {', '.join(METHODS)}")
+    if METHODS[method] is None:
+        raise NotImplementedError(f"Grounding method {method} isn't defined")
+    return METHODS[method]

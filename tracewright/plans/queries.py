@@ -11,7 +11,7 @@ from ..functions import cost, geometry, jsonfn, text
 from ..functions.html import dom_summary, interactive_elements
 from ..models import generate_plans, score_pairs
 from ..operators import checkpoint, decode, history, match, metrics, ranking, sampling
-from ..sources.steps import union_all
+from ..sources.steps import candidates, union_all, with_default, with_page
 from . import derive
 from .derive import ACTION_PAIRS_SQL, PLANS_SQL, STEPS_SQL, table
 
@@ -472,3 +472,190 @@ def chat_prompts(spark, sf):
         text.chat_message(F.concat(F.lit("do "), n), F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("http://x/"), n))).alias("message"),
         text.few_shot(examples).alias("shots"),
     )
+
+
+# Parsing, writing and listing
+
+
+def _by(rows, column, *choices):
+    """The choice of a row by its number modulo their count."""
+    out = choices[-1]
+    for k in reversed(range(len(choices) - 1)):
+        out = F.when(F.col(column) % len(choices) == k, choices[k]).otherwise(out)
+    return rows.withColumn("raw", out)
+
+
+def _text(*parts):
+    """Strings as literals and columns as text, in one."""
+    return F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
+
+
+@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'click' WHEN 1 THEN 'type' END AS action_type,
+CASE event_id % 4 WHEN 1 THEN 'Keys not found: target' WHEN 2 THEN 'Keys not found: action_type, target' WHEN 3 THEN 'Empty input text' END AS error FROM events""")
+def required_keys(spark, sf):
+    rows = _by(table(spark, sf, "events"), "event_id", F.lit('{"action_type":"click","target":null}'), F.lit('say {"action_type":"type",} now'), F.lit('{"value":1}'), F.lit(""))
+    parsed = rows.select("event_id", jsonfn.parse_json("raw").alias("p"))
+    return parsed.select("event_id", F.get_json_object("p.json", "$.action_type").alias("action_type"), jsonfn.required_error(F.col("p.json"), F.col("p.error"), ("action_type", "target")).alias("error"))
+
+
+@query("""SELECT event_id, CASE event_id % 3 WHEN 0 THEN '{"action_type":"click","target":null,"value":null,"confidence":0.5}'
+WHEN 1 THEN '{"action_type":"noop","target":{"selector":"#a' || event_id || '"},"value":null,"confidence":0.0}'
+ELSE '{"action_type":"noop","target":null,"value":"v' || event_id || '","confidence":null}' END AS action FROM events""")
+def action_round_trip(spark, sf):
+    n = F.col("event_id")
+    rows = _by(table(spark, sf, "events"), "event_id", F.lit('{"action_type":"click","confidence":0.5}'), _text('{"target":{"selector":"#a', n, '"}}'), _text('{"value":"v', n, '","confidence":null}'))
+    return rows.select("event_id", decode.to_text(decode.from_text(decode.to_text(decode.from_text(F.col("raw"))))).alias("action"))
+
+
+@query("SELECT event_id, 'click' AS kind FROM events")
+def strict_factory(spark, sf):
+    rows = table(spark, sf, "events").select("event_id", _text('{"selector":"#', F.col("event_id"), '"}').alias("target"))
+    error = decode.prediction_error(F.lit("click"), F.col("target"), F.lit(0.5), F.lit(None).cast("string"))
+    return rows.select("event_id", decode.require_valid(error, F.lit("click")).alias("kind"))
+
+
+@query("""SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'click' WHEN 1 THEN 'type' WHEN 2 THEN 'scroll' WHEN 4 THEN 'select' END AS action,
+CASE event_id % 6 WHEN 1 THEN 0.5::DOUBLE WHEN 4 THEN 0.25::DOUBLE END AS confidence, event_id % 6 <> 5 AS found FROM events""")
+def labelled_answers(spark, sf):
+    rows = _by(
+        table(spark, sf, "events"),
+        "event_id",
+        _text('Thought {x}\nOutput: {"action":"click","n":', F.col("event_id"), "} done"),
+        F.lit(' {"action":"type","confidence":0.5} '),
+        F.lit('first {bad} then {"action":"scroll","target":{"selector":"#a"}} or {"action":"x"}'),
+        F.lit('deep {"action":"hover","t":{"u":{"v":1}}} end'),
+        F.lit('"action": "select", "value": null, "confidence": 0.25'),
+        F.lit("nothing to read"),
+    )
+    found = rows.select("event_id", jsonfn.extract_json("raw").alias("j"))
+    return found.select("event_id", F.get_json_object("j", "$.action").alias("action"), F.get_json_object("j", "$.confidence").try_cast("double").alias("confidence"), F.col("j").isNotNull().alias("found"))
+
+
+@query("""SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'pay ' || event_id WHEN 1 THEN 'b ' || event_id WHEN 2 THEN 'x' END AS probe FROM events""")
+def embedded_answers(spark, sf):
+    n = F.col("event_id")
+    rows = _by(table(spark, sf, "events"), "event_id", _text('Selected element: {"text": "pay ', n, '"}'), _text("I say Selected element [ {'attributes': {'id': 'b', 'k': '", n, "'}}"), F.lit('{"text":"","attributes":{"a":"x","b":""}}'), F.lit("Selected element: {oops}"), F.lit(""))
+    return rows.select("event_id", ranking.answer_probe("raw").alias("probe"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN '{\"k\":' || event_id || '}' ELSE '{\"raw\":\"' || event_type || '\"}' END AS loaded FROM events")
+def json_or_raw(spark, sf):
+    rows = _by(table(spark, sf, "events"), "event_id", _text('{"k":', F.col("event_id"), "}"), F.col("event_type"))
+    return rows.select("event_id", jsonfn.load_or_raw(F.col("raw")).alias("loaded"))
+
+
+@query("SELECT event_type, coalesce(bool_and(value > 1), true) AS ok FROM events GROUP BY event_type")
+def all_succeeded(spark, sf):
+    return table(spark, sf, "events").groupBy("event_type").agg(metrics.all_succeeded(F.col("value") > 1).alias("ok"))
+
+
+@query("SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS id FROM orders WHERE o_custkey IS NOT NULL")
+def checkpoint_ids(spark, sf):
+    return checkpoint.listed(table(spark, sf, "orders").select(F.col("o_custkey").alias("id")), "id")
+
+
+@query("SELECT count(DISTINCT o_custkey) AS total FROM orders")
+def checkpoint_count(spark, sf):
+    return checkpoint.counted(table(spark, sf, "orders").select(F.col("o_custkey").alias("id")), "id")
+
+
+@query("SELECT count(*) AS n_rows FROM lineitem")
+def row_count(spark, sf):
+    return sampling.row_count(table(spark, sf, "lineitem"))
+
+
+@query("""(SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderkey LIMIT 1 OFFSET 10) UNION ALL (SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderkey DESC LIMIT 1 OFFSET 1)""")
+def positional_rows(spark, sf):
+    rows = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    return sampling.row_at(rows, ["o_orderkey"], 10).unionByName(sampling.row_at(rows, ["o_orderkey"], -2))
+
+
+@query("""SELECT text AS instruction, role AS operation, CAST(conv_id AS VARCHAR) AS annotation_id, conv_id || '-' || turn AS action_uid, 'unknown' AS website FROM conversations""")
+def sample_views(spark, sf):
+    none = F.lit(None)
+    rows = table(spark, sf, "conversations").select(
+        F.col("text").alias("confirmed_task"), F.col("role").alias("operation"), F.col("conv_id").cast("string").alias("annotation_id"), _text(F.col("conv_id"), "-", F.col("turn")).alias("action_uid"),
+        none.cast("array<string>").alias("pos_candidates"), none.cast("binary").alias("screenshot"), none.cast("string").alias("cleaned_html"),
+    )
+    for column, default in (("website", "unknown"), ("domain", None), ("operation", "never")):
+        rows = with_default(rows, column, "string", default)
+    return sampling.sample_view(rows).select("instruction", "operation", "metadata.annotation_id", "metadata.action_uid", "metadata.website")
+
+
+@query("""SELECT conv_id AS annotation_id, turn AS step_index, CAST(2 - GROUPING(conv_id) - GROUPING(turn) AS INT) AS level, CAST(sum(p) AS BIGINT) AS prompt_tokens, CAST(sum(c) AS BIGINT) AS completion_tokens, CAST(sum(p + c) AS BIGINT) AS total_tokens,
+sum(CASE WHEN big THEN p * 2500000 + c * 10000000 ELSE p * 150000 + c * 600000 END)::DOUBLE / 1e12 AS cost_usd, count(*) AS calls
+FROM (SELECT conv_id, turn, coalesce(length(text), 0) AS p, turn + 1 AS c, conv_id % 2 = 0 AS big FROM conversations) GROUP BY ROLLUP (conv_id, turn)""")
+def cost_rollup(spark, sf):
+    model = F.when(F.col("conv_id") % 2 == 0, "gpt-4o").otherwise("gpt-4o-mini")
+    calls = table(spark, sf, "conversations").select(F.col("conv_id").alias("annotation_id"), F.col("turn").alias("step_index"), model.alias("model"), F.length("text").alias("prompt_tokens"), (F.col("turn") + 1).alias("completion_tokens"))
+    return cost.totals(calls)
+
+
+# Elements, boxes and images
+
+
+@query("""SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' END AS tag, event_id % 3 = 0 AS is_original_target, CASE WHEN event_id % 3 = 0 THEN '' || event_id END AS backend_node_id,
+CASE WHEN event_id % 3 = 0 THEN (event_id % 7) * 2::DOUBLE END AS x1, CASE WHEN event_id % 3 = 0 THEN 1::DOUBLE END AS y1, CASE WHEN event_id % 3 = 0 THEN (event_id % 7 + 10) * 2::DOUBLE END AS x2, CASE WHEN event_id % 3 = 0 THEN 3::DOUBLE END AS y2 FROM events""")
+def candidate_boxes(spark, sf):
+    n = F.col("event_id")
+    rows = _by(table(spark, sf, "events"), "event_id", _text('{"tag":"a","is_original_target":true,"backend_node_id":"', n, '","attributes":"{\\"bounding_box_rect\\":\\"', n % 7, ',2,10,4\\"}"}'), F.lit('{"tag":"b","attributes":{"bounding_box":"1,2,3"}}'), F.lit("broken"))
+    c = candidates(F.col("raw"), F.lit(2.0), F.lit(0.5))
+    out = rows.select("event_id", c.alias("c"))
+    return out.select("event_id", "c.tag", "c.is_original_target", "c.backend_node_id", *(F.get("c.bbox_xyxy", F.lit(k)).alias(a) for k, a in enumerate(("x1", "y1", "x2", "y2"))))
+
+
+@query("""SELECT event_id, 4::BIGINT AS n_elements, 'hi ' || event_id || ' go' AS first_text, 'd' AS first_id, 'k' AS first_class, 'one two' AS third_text, 1::BIGINT AS n_candidates, '' || event_id AS node, 0::BIGINT AS n_ocr FROM events""")
+def processed_pages(spark, sf):
+    n = F.col("event_id")
+    page = _text('<!-- c --><div id="d" class="k"> hi ', n, ' <a href="x"> go</a></div></span><script>s</script><p>one<p>two')
+    rows = with_page(table(spark, sf, "events").select("event_id", page.alias("cleaned_html"), F.array(_text('{"backend_node_id":"', n, '"}')).alias("pos_candidates")))
+    at = lambda k, f: F.get("dom_elements", F.lit(k))[f]
+    size = lambda c: F.size(c).cast("long")
+    return rows.select(
+        "event_id", size("dom_elements").alias("n_elements"), at(0, "text").alias("first_text"), at(0, "id").alias("first_id"), at(0, "class").alias("first_class"), at(2, "text").alias("third_text"),
+        size("candidates").alias("n_candidates"), F.get("candidates", F.lit(0))["backend_node_id"].alias("node"), size("ocr_tokens").alias("n_ocr"),
+    )
+
+
+#: Every way in which an element can be one that a user acts on, and one that isn't.
+_ACTIVE = [(t, "") for t in ("button", "a", "input", "select", "textarea", "label")]
+_ACTIVE += [("div", f"role={r}") for r in ("button", "tab", "menuitem", "option", "link", "checkbox", "radio", "switch", "combobox", "listbox")]
+_ACTIVE += [("i", f"{a}=1") for a in ("tabindex", "onclick", "backend_node_id")] + [("div", "role=none")]
+_ACTIVE_SQL = " ".join(f"WHEN {k} THEN '<{t}> text=''{'' if t == 'input' else 't'}'' attrs={{" + (f"''{a.split('=')[0]}'': ''{a.split('=')[1]}''" if a else "") + "}'" for k, (t, a) in enumerate(_ACTIVE[:-1]))
+
+
+@query(f"SELECT event_id, CASE WHEN event_id % {len(_ACTIVE)} < {len(_ACTIVE) - 1} THEN 1 ELSE 0 END::BIGINT AS n, CASE event_id % {len(_ACTIVE)} {_ACTIVE_SQL} END AS representation FROM events")
+def active_elements(spark, sf):
+    rows = _by(table(spark, sf, "events"), "event_id", *(F.lit(f"<p><{t} {a}>t</{t}></p>") for t, a in _ACTIVE))
+    rows = rows.select("event_id", interactive_elements("raw").alias("e"))
+    return rows.select("event_id", F.size("e").cast("long").alias("n"), F.get("e", F.lit(0))["representation"].alias("representation"))
+
+
+@query("""SELECT event_id, (event_id % 3) || '. <a> text="Item ' || event_id || '" attrs={''role'': ''button''} (score: 0.5000)' AS line,
+'Pick.' || chr(10) || chr(10) || '1. <a> "Item ' || event_id || '" class=big' || chr(10) || '2. <p> "" class=' || chr(10) || chr(10) || 'Instruction: go' || chr(10) || 'Action: click' || chr(10) || chr(10) || 'now ' || event_id AS prompt FROM events""")
+def prompt_parts(spark, sf):
+    n = F.col("event_id")
+    attributes = lambda *kv: F.create_map(*map(F.lit, kv))
+    element = lambda tag, t, *kv: F.struct(F.lit(tag).alias("tag"), t.alias("text"), attributes(*kv).alias("attributes"))
+    rows = table(spark, sf, "events").select("event_id", element("a", _text(" Item  ", n), "role", "button", "class", "big").alias("e"), element("p", F.lit(""), "id", "x").alias("f"))
+    shots = F.array(F.struct(F.lit("go").alias("instruction"), F.lit("click").alias("response")))
+    return rows.select("event_id", text.candidate_line((n % 3).cast("int"), F.col("e"), F.lit(0.5)).alias("line"), text.decode_prompt(F.lit("Pick."), F.array("e", "f"), shots, _text("now ", n)).alias("prompt"))
+
+
+@query("""WITH s AS (SELECT event_id, 100 + event_id % 3000 AS w, 50 + event_id % 2000 AS h FROM events), k AS (SELECT *, CASE WHEN w > 1024 OR h > 1024 THEN least(1::DOUBLE, least(768::DOUBLE / w, 512::DOUBLE / h)) ELSE 1::DOUBLE END AS s FROM s)
+SELECT event_id, CAST(floor(w * s) AS BIGINT) AS small_w, CAST(floor(h * s) AS BIGINT) AS small_h, 640::DOUBLE / w AS scale_x, 320 / (640::DOUBLE / w) AS old_x, 240 / (480::DOUBLE / h) AS old_y, ((event_id % 256)::FLOAT / 255::FLOAT)::DOUBLE AS pixel,
+CASE WHEN event_id % 4 > 0 THEN event_id % 4 + 0.5::DOUBLE END AS target_sum FROM k""")
+def image_frames(spark, sf):
+    i = F.col("event_id")
+    rows = table(spark, sf, "events").select("event_id", (100 + i % 3000).alias("w"), (50 + i % 2000).alias("h"))
+    small, frame = geometry.downscaled(F.col("w"), F.col("h"), (1024, 1024), (768, 512)), geometry.stretch(F.col("w"), F.col("h"), 640, 480)
+    target = geometry.numbers(F.concat(F.when(i % 4 > 0, (i % 4).cast("string")).otherwise("x"), F.lit(", 0.5")))
+    rows = rows.select("event_id", small.alias("small"), frame.alias("frame"), geometry.unit_pixels(F.array((i % 256).cast("int"))).alias("pixels"), target.alias("target"))
+    old = geometry.unstretched(F.array(F.lit(320.0), F.lit(240.0)), F.col("frame"))
+    return rows.select("event_id", F.col("small.width").alias("small_w"), F.col("small.height").alias("small_h"), "frame.scale_x", old[0].alias("old_x"), old[1].alias("old_y"), F.get("pixels", F.lit(0)).cast("double").alias("pixel"), (F.get("target", F.lit(0)) + F.get("target", F.lit(1))).alias("target_sum"))
+
+
+@query("SELECT event_id, array_to_string(range(0, least(event_id % 8 + 1, 5)), ',') AS shown FROM events")
+def candidate_preview(spark, sf):
+    all_of_them = F.sequence(F.lit(0), (F.col("event_id") % 8).cast("int"))
+    return table(spark, sf, "events").select("event_id", F.array_join(ranking.preview(all_of_them), ",").alias("shown"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import urlsplit
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,7 +60,10 @@ def read_checkpoint(spark: SparkSession, path: str) -> DataFrame:
 
 def read_images(spark: SparkSession, root: str) -> DataFrame:
     """Image files by path relative to a root, for steps that name a path only."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select(F.regexp_replace("path", rf"^.*{root.rstrip('/').rpartition('/')[2]}/", "").alias("path"), F.col("content").alias("bytes"))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    folder = urlsplit(root).path.rstrip("/") + "/"
+    after = F.instr("path", folder) + len(folder)
+    return files.select(F.col("path").substr(after, F.length("path")).alias("path"), F.col("content").alias("bytes"))
 
 
 def with_images(steps: DataFrame, images: DataFrame) -> DataFrame:
@@ -72,12 +77,31 @@ def with_default(df: DataFrame, column: str, kind: str, default: object = None)
     return df if column in df.columns else df.withColumn(column, F.lit(default).cast(kind))
 
 
-def candidates(c: Column) -> Column:
-    """One candidate (JSON text) as tag, corner box, flags, node id and raw text."""
+def candidates(c: Column, scale_x: Column | None = None, scale_y: Column | None = None) -> Column:
+    """One candidate (JSON text) as tag, corner box (scaled, if scales are given), flags, node id and raw text."""
     from ..functions.geometry import box_corners
     from ..functions.jsonfn import field, load_or_raw
 
     attributes = F.get_json_object(c, "$.attributes")  # an object, or a string that holds one
     box = F.coalesce(field(attributes, "bounding_box_rect", "bounding_box"), field(c, "bounding_box_rect", "bounding_box"))
+    corners = box_corners(box)
+    if scale_x is not None or scale_y is not None:
+        scales = [F.lit(1.0) if s is None else s for s in (scale_x, scale_y)]
+        corners = F.zip_with(corners, F.array(*scales, *scales), lambda v, s: v * s)
     flag = lambda k: F.coalesce(F.get_json_object(c, f"$.{k}").try_cast("boolean"), F.lit(False)).alias(k)
-    return F.struct(field(c, "tag").alias("tag"), box_corners(box).alias("bbox_xyxy"), flag("is_original_target"), flag("is_top_level_target"), F.coalesce(field(c, "backend_node_id"), field(attributes, "backend_node_id")).alias("backend_node_id"), load_or_raw(c).alias("raw"))
+    return F.struct(field(c, "tag").alias("tag"), corners.alias("bbox_xyxy"), flag("is_original_target"), flag("is_top_level_target"), F.coalesce(field(c, "backend_node_id"), field(attributes, "backend_node_id")).alias("backend_node_id"), load_or_raw(c).alias("raw"))
+
+
+def with_page(df: DataFrame, html: str = "cleaned_html", candidate_list: str = "pos_candidates") -> DataFrame:
+    """``df`` with ``dom_elements`` of its page, normalised ``candidates`` and empty ``ocr_tokens``.
+
+    Missing pages and lists give empty ones; text in images isn't read.
+    """
+    from ..functions.html import dom_summary
+
+    listed = F.coalesce(F.col(candidate_list), F.array().cast("array<string>"))
+    return df.withColumns({
+        "dom_elements": dom_summary(html),
+        "candidates": F.transform(listed, lambda c: candidates(c)),
+        "ocr_tokens": F.array().cast("array<string>"),
+    })
