@@ -65,16 +65,20 @@ def spans(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return edge[::2], edge[1::2]
 
 
+def hashed(b: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool = False) -> np.ndarray:
+    """One 64-bit hash for each span of bytes."""
+    up, down = _BYTES.get(len(b) + 1)
+    total = np.zeros(len(b) + 1, U)
+    np.cumsum((_FOLDED if lower else _EXACT)[b] * up[: len(b)], out=total[1:])
+    return mix((total[end] - total[start]) * down[start] + (end - start).astype(U))
+
+
 def words(data: bytes, lower: bool) -> np.ndarray:
     """One 64-bit hash for each word of a UTF-8 text."""
     start, end = spans(data)
     if not len(start):
         return np.zeros(0, U)
-    b = np.frombuffer(data, np.uint8)
-    up, down = _BYTES.get(len(b) + 1)
-    total = np.zeros(len(b) + 1, U)
-    np.cumsum((_FOLDED if lower else _EXACT)[b] * up[: len(b)], out=total[1:])
-    return mix((total[end] - total[start]) * down[start] + (end - start).astype(U))
+    return hashed(np.frombuffer(data, np.uint8), start, end, lower)
 
 
 def windows(word: np.ndarray, k: int) -> np.ndarray:
