@@ -11,6 +11,9 @@ relation.
   differences only, and most pairs are ruled out by prefixes of them.  Members of two
   families overlap in at most ``|R & S| + adds(a) + adds(b)``: the answer of the two
   representatives, computed once, rules out or decides all their members.
+* Shared edits make stars, not squares.  Members that have an edit in common first
+  meet one carrier of it; those it links are one component, and what is one
+  component is never paired again.  So N copies with the same edits take N answers.
 * Index lists (prefixes, frequent shingles last) are read by blocks.  A block is what
   one family has in a list and a size class, with the least and greatest position and
   size; two blocks whose positions leave too small an overlap are skipped unopened.
@@ -130,6 +133,34 @@ def differences(batches: Iterator[pa.RecordBatch], percent: int, order: Order) -
         yield pa.RecordBatch.from_arrays([*b.columns[:4], ints["lacks"], ints["adds"], _lists(cols["diff"]), ints["short"], ints["long"]], names=["id", "root", "n", "m", "lacks", "adds", "diff", "short", "long"])
 
 
+def _star(these: DataFrame, those: DataFrame, key: list[str], rank: Column) -> DataFrame:
+    """``these`` with the columns of one row of ``those``, the greatest by ``rank``, for each ``key``."""
+    carrier = F.struct(*(c for c in those.columns if c not in key))
+    return these.join(those.groupBy(*key).agg(F.max_by(carrier, rank).alias("carrier")), key).select(*these.columns, "carrier.*")
+
+
+def _across(these: DataFrame, those: DataFrame, key: list[str], links: DataFrame) -> DataFrame:
+    """Pairs of equal ``key`` whose components (comp_a, comp_b) ``links`` leave apart.
+
+    Keys that all have one component are dropped before the join.
+    """
+    if links.isEmpty():
+        known = None
+    else:
+        known = durable(components(links, "merged"), "merged")
+
+    def told(df: DataFrame, k: str) -> DataFrame:
+        if known is None:
+            return df.withColumn(f"now_{k}", F.col(f"comp_{k}"))
+        now = known.select(F.col("node").alias(f"comp_{k}"), F.col("root").alias(f"now_{k}"))
+        return df.join(now, f"comp_{k}", "left").withColumn(f"now_{k}", F.coalesce(f"now_{k}", f"comp_{k}"))
+
+    a, b = told(these, "a"), told(those, "b")
+    both = a.select(*key, F.col("now_a").alias("now")).unionByName(b.select(*key, F.col("now_b").alias("now")))
+    mixed = both.groupBy(*key).agg(F.min("now").alias("least"), F.max("now").alias("most")).where("least < most").select(*key)
+    return a.join(mixed, key).join(b, key).where(F.col("now_a") != F.col("now_b"))
+
+
 def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", tagged: bool = False) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id.
 
@@ -237,24 +268,33 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, id_co
 
     def entries(length: str, k: str) -> DataFrame:
         e = inside.where(F.col(length) > 0).select("root", *(F.col(c).alias(f"{c}_{k}") for c in ("id", "n", "m", "lacks", "comp")), F.size("diff").alias(f"size_{k}"), (F.size("diff") - F.col(length)).alias(f"rest_{k}"), F.posexplode(F.slice("diff", 1, F.col(length).cast("int"))).alias(f"place_{k}", "e"))
-        return e
+        return durable(e, "entries")
 
     def needed(k: str = "m_a") -> Column:
         """Common elements of two differences that a link takes (times 100 + percent)."""
         return percent * (F.col("n_a") + F.col("n_b")) + (100 + percent) * (F.col("lacks_a") + F.col("lacks_b") - F.col(k))
 
     room = F.least("place_a", "place_b") + 1 + F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b")) - 1
-    met = entries("long", "a").join(entries("short", "b"), ["root", "e"]).where(
-        (F.col("comp_a") != F.col("comp_b")) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & ((100 + percent) * room >= needed())
-    )
-    # What two prefixes share, and the rest of the one that ends first, bound what is common.
+    fits = (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & ((100 + percent) * room >= needed())
     ids = ["id_a", "id_b", "n_a", "n_b", "m_a", "lacks_a", "lacks_b", "comp_a", "comp_b", "rest_a", "rest_b"]
-    met = met.groupBy(*ids).agg(F.count(F.lit(1)).alias("shared")).where((100 + percent) * (F.col("shared") + F.greatest("rest_a", "rest_b")) >= needed())
-    met = durable(met, "met")
     diffs = lambda k: inside.select(F.col("id").alias(f"id_{k}"), F.col("diff").alias(f"diff_{k}"))
     common = F.size(F.array_intersect("diff_a", "diff_b"))
-    within = met.join(diffs("a"), "id_a").join(diffs("b"), "id_b").where((100 + percent) * common >= needed()).select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b"))
-    links = durable(within, "within")
+
+    def answered(pairs: DataFrame) -> DataFrame:
+        """Components that linked members of one family join."""
+        return pairs.join(diffs("a"), "id_a").join(diffs("b"), "id_b").where((100 + percent) * common >= needed()).select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b"))
+
+    # Shared edits: each has one carrier, the member with the smallest difference, and the
+    # others that have it meet that one first.  What links so is one component, and
+    # a shared edit of one component is not opened again.
+    long, short, key = entries("long", "a"), entries("short", "b"), ["root", "e"]
+    star = _star(long, short, key, F.struct(-F.col("size_b"), -F.col("id_b")))
+    stars = durable(answered(durable(star.where((F.col("comp_a") != F.col("comp_b")) & fits).select(*ids).distinct(), "star")), "stars")
+    met = _across(long, short, key, stars).where(fits)
+    # What two prefixes share, and the rest of the one that ends first, bound what is common.
+    met = met.groupBy(*ids).agg(F.count(F.lit(1)).alias("shared")).where((100 + percent) * (F.col("shared") + F.greatest("rest_a", "rest_b")) >= needed())
+    met = durable(met, "met")
+    links = durable(answered(met).unionByName(stars), "within")
 
     # All sets: family, component so far, added elements.
     told = of_kin.select("id", F.col("root").alias("family"), "comp", "adds")
@@ -352,21 +392,27 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, id_co
     na, nb = F.col("n_a"), F.col("n_b")
     bound = F.least("place_a", "place_b") + F.least(na - F.col("place_a"), nb - F.col("place_b"))
     one, two = survivors("a", "b"), survivors("b", "a")
-    open_pairs = opened_lists(one, "a").join(opened_lists(two, "b"), ["root_a", "root_b", "token"]).where(
-        (F.col("comp_a") != F.col("comp_b")) & ((100 + percent) * F.col("overlap") + F.col("gain_a") + F.col("gain_b") >= 0) & alike(na, nb) & linked(bound, na, nb, percent)
-    )
     keep = ["n_a", "n_b", "comp_a", "comp_b"]
-    open_pairs = open_pairs.select("id_a", "id_b", *keep).distinct().unionByName(to_single(one)).unionByName(to_single(two))
-    open_pairs = durable(open_pairs, "open")
-    across = overlaps(open_pairs, keep).where(linked(F.col("overlap"), na, nb, percent)).select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b"))
-    roots = durable(components(links.unionByName(first).unionByName(across), "cc"), "roots")
+    found = lambda pairs: overlaps(pairs, keep).where(linked(F.col("overlap"), na, nb, percent)).select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b"))
+    near_a, near_b, key = durable(opened_lists(one, "a"), "near"), durable(opened_lists(two, "b"), "near"), ["root_a", "root_b", "token"]
+    fits = ((100 + percent) * F.col("overlap") + F.col("gain_a") + F.col("gain_b") >= 0) & alike(na, nb) & linked(bound, na, nb, percent)
+    # As inside families: a list's carriers first, one for each side, then what they leave apart.
+    star = _star(near_a, near_b, key, F.struct("gain_b", "id_b")).unionByName(_star(near_b, near_a, key, F.struct("gain_a", "id_a")))
+    star = star.where((F.col("comp_a") != F.col("comp_b")) & fits).select("id_a", "id_b", *keep).distinct()
+    star = durable(star.unionByName(to_single(one)).unionByName(to_single(two)), "star")
+    across = durable(links.unionByName(first).unionByName(found(star)), "across")
+    if not near_a.isEmpty():
+        open_pairs = durable(_across(near_a, near_b, key, across).where(fits).select("id_a", "id_b", *keep).distinct(), "open")
+        across = durable(across.unionByName(found(open_pairs)), "across")
+        release(open_pairs)
+    roots = durable(components(across, "cc"), "roots")
 
     joined = distinct.select("id", "first").join(every.select("digest", "id", "comp"), "id")
     joined = joined.join(roots.select(F.col("node").alias("comp"), "root"), "comp", "left").select("digest", "first", F.coalesce("root", "comp").alias("root"))
     joined = durable(joined, "rooted")
     least = durable(joined.groupBy("root").agg(F.min("first").alias("component")), "least")
     named = durable(joined.join(least, "root").select("digest", "component"), "named")
-    release(distinct, groups, parent, known, held, relation, inside, links, every, lists, families, blocks, pairs, asked, packed, met, answer, spare, one, two, open_pairs, roots, joined, least)
+    release(distinct, groups, parent, known, held, relation, inside, links, every, lists, families, blocks, pairs, asked, packed, met, answer, spare, one, two, long, short, stars, near_a, near_b, star, across, roots, joined, least)
     for b in (firsts, order, related, listed, single):
         b.destroy()
     out = rows.join(named, "digest", "left")
