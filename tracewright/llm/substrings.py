@@ -23,9 +23,9 @@ from .hashing import U, mix, windows, words
 
 WINDOW = 50
 BLOCK = WINDOW // 2
-#: Windows that may be so frequent that they are broadcast instead of shuffled; any
-#: other has less than about 2/HOT of the rows of candidates.
-HOT = 4096
+#: A window with more than this share of the candidates' rows (one in HOT) is broadcast
+#: instead of shuffled; a task finds such windows with four times as many counters.
+HOT = 1024
 #: Hashes that a worker gathers before it counts them.
 GATHERED = 1_000_000
 _OTHER = U(0x8A5CD789635D2DFF)
@@ -87,10 +87,12 @@ def runs(flag: np.ndarray) -> list[dict]:
 
 
 def frequent(seen: DataFrame, k: int = HOT) -> DataFrame:
-    """At most k values of h, among them each with more than about 2/k of the rows.
+    """The values of h that have more than about a share of 1/k of the rows: fewer than k.
 
-    A task keeps k counters and subtracts what falls below them, so it sends at most k.
+    A task keeps 4k counters and subtracts what falls below them, so it sends at most 4k.
+    The share is the same at every size.
     """
+    counters, share = 4 * k, seen.count() // k
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,7 +102,7 @@ def frequent(seen: DataFrame, k: int = HOT) -> DataFrame:
             nonlocal keys, counts
             h, at = np.unique(np.concatenate([keys, *waiting]), return_inverse=True)
             n = np.bincount(at, np.concatenate([counts, *(np.ones(len(x), np.int64) for x in waiting)]), len(h)).astype(np.int64)
-            n -= np.partition(n, len(n) - k - 1)[len(n) - k - 1] if len(n) > k else 0
+            n -= np.partition(n, len(n) - counters - 1)[len(n) - counters - 1] if len(n) > counters else 0
             keys, counts = h[n > 0], n[n > 0]
             waiting.clear()
 
@@ -112,7 +114,7 @@ def frequent(seen: DataFrame, k: int = HOT) -> DataFrame:
         keys, counts = keys[counts > 1], counts[counts > 1]
         yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], names=["h", "n"])
 
-    return seen.select("h").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(k).select("h")
+    return seen.select("h").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") > share).select("h")
 
 
 def flagged(seen: DataFrame) -> DataFrame:
