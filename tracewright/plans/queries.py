@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import cost, geometry, jsonfn, text
+from ..functions import cost, geometry, images, jsonfn, text
 from ..functions.html import dom_summary, interactive_elements
 from ..models import generate_plans, score_pairs
 from ..operators import checkpoint, decode, history, match, metrics, ranking, sampling
@@ -368,7 +368,8 @@ def vlm_infer_stub(spark, sf):
     return generate_plans(docs).select("doc_id", "output_text", "error")
 
 
-@query(None)
+@query(r"""WITH t AS (SELECT conv_id, turn, list_distinct(regexp_extract_all(lower(coalesce(text, '')), '\S+')) AS y FROM conversations)
+SELECT conv_id, turn, len(list_intersect(y, ['the', 'and', 'of']))::DOUBLE / len(list_distinct(list_concat(y, ['the', 'and', 'of']))) AS score FROM t""")
 def pair_scores(spark, sf):
     rows = table(spark, sf, "conversations").select("conv_id", "turn", F.lit("the and of").alias("a"), "text")
     return score_pairs(rows, "a", "text").select("conv_id", "turn", "score")
@@ -655,6 +656,49 @@ def image_frames(spark, sf):
     return rows.select("event_id", F.col("small.width").alias("small_w"), F.col("small.height").alias("small_h"), "frame.scale_x", old[0].alias("old_x"), old[1].alias("old_y"), F.get("pixels", F.lit(0)).cast("double").alias("pixel"), (F.get("target", F.lit(0)) + F.get("target", F.lit(1))).alias("target_sum"))
 
 
+# Large selections, images as pixels
+
+
+@query("""SELECT l_orderkey, l_linenumber FROM lineitem ORDER BY md5(l_orderkey || '-' || l_linenumber || '|7'), l_orderkey || '-' || l_linenumber
+LIMIT (SELECT CAST(floor(count(*) * 0.6 + 0.5) AS BIGINT) FROM lineitem)""")
+def split_sample(spark, sf):
+    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.concat_ws("-", "l_orderkey", "l_linenumber").alias("key"))
+    return sampling.sample_fraction(rows, "key", 0.6, 7).drop("key")
+
+
+@query("""WITH o AS (SELECT *, row_number() OVER (ORDER BY l_shipdate NULLS FIRST, l_orderkey NULLS FIRST, l_linenumber NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM lineitem)
+SELECT l_shipdate, l_orderkey, l_linenumber FROM o WHERE i = n // 2 OR i = n - n // 4""")
+def rows_far_inside(spark, sf):
+    order = ["l_shipdate", "l_orderkey", "l_linenumber"]
+    rows = table(spark, sf, "lineitem").select(*order)
+    n = rows.count()
+    return sampling.row_at(rows, order, n // 2).unionByName(sampling.row_at(rows, order, -(n // 4)))
+
+
+PAGE_IMAGES_SQL = """WITH p AS (SELECT page_id, regexp_replace(coalesce(html, ''), '[^\\x01-\\x7F]', '?', 'g') AS t FROM pages),
+h AS (SELECT page_id, t, CAST(greatest(4, (length(t) + 63) // 64 * 4) AS INT) AS height FROM p),
+c AS (SELECT page_id, height, unnest(string_split(rpad(t, 16 * height, ' '), '')) AS c, unnest(range(0, 16 * height)) AS k FROM h),
+v AS (SELECT page_id, height, k // 64 * 4 + k % 16 // 4 AS cell, sum(unicode(c)) AS s FROM c GROUP BY ALL),
+w AS (SELECT page_id, height, CAST(sum(s) AS BIGINT) AS total, CAST(sum((cell + 1) * floor(s / 16 + 0.5)) AS BIGINT) AS small_sum FROM v GROUP BY ALL)
+SELECT page_id, CASE WHEN page_id % 10 > 0 THEN 16 END AS width, CASE WHEN page_id % 10 > 0 THEN height END AS height, CASE WHEN page_id % 10 > 0 THEN total END AS total,
+CASE WHEN page_id % 10 > 0 THEN height // 4 END AS small_height, CASE WHEN page_id % 10 > 0 THEN small_sum END AS small_sum, page_id % 10 = 0 AS broken FROM w"""
+
+
+@query(PAGE_IMAGES_SQL)
+def page_images(spark, sf):
+    """Pages as grey pictures (PNG, every tenth cut off), decoded and made smaller by 4."""
+    t = F.regexp_replace(F.coalesce("html", F.lit("")), r"[^\x01-\x7F]", "?")
+    height = F.greatest(F.lit(4), F.floor((F.char_length("t") + 63) / 64) * 4).cast("int")
+    rows = table(spark, sf, "pages").select("page_id", t.alias("t")).withColumn("h", height)
+    raw = F.concat(F.lit("P5 16 "), F.col("h").cast("string"), F.lit(" 255\n"), F.rpad("t", 16 * F.col("h"), F.lit(" "))).cast("binary")
+    shot = rows.select("page_id", "h", images.as_png(raw).alias("png"))
+    cut = F.when(F.col("page_id") % 10 == 0, F.substring("png", 1, 60)).otherwise(F.col("png"))
+    both = shot.select("page_id", "h", cut.alias("png")).select("page_id", images.decoded(F.col("png")).alias("d"), images.prepared(F.col("png"), F.lit(4), (F.col("h") / 4).cast("int"), pad=False, unit=False, rgb=False).alias("s"))
+    total = F.aggregate("d.pixels", F.lit(0).cast("long"), lambda a, x: a + x.cast("long"))
+    weighed = F.aggregate(F.transform("s.pixels", lambda x, i: (i + 1) * x.cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
+    return both.select("page_id", "d.width", "d.height", total.alias("total"), F.col("s.height").alias("small_height"), weighed.alias("small_sum"), (F.col("d.error").isNotNull() & F.col("s.error").isNotNull()).alias("broken"))
+
+
 @query("SELECT event_id, array_to_string(range(0, least(event_id % 8 + 1, 5)), ',') AS shown FROM events")
 def candidate_preview(spark, sf):
     all_of_them = F.sequence(F.lit(0), (F.col("event_id") % 8).cast("int"))
