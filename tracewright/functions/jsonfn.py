@@ -1,8 +1,8 @@
 """JSON in model output and ground truth.
 
 Field access is built-in, and so are the readings of model output that is JSON as a
-whole, holds a balanced object, or becomes one by removing fences and commas or by
-other quotes.  Only what none of them reads goes to Python, in Arrow batches.
+whole or holds a balanced object.  Only texts that need a repair go to Python, in
+Arrow batches.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ import json
 import re
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import or_null, strip
@@ -105,79 +105,91 @@ def _parsed(text: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([(None if v is None else json.dumps(v, ensure_ascii=False), e) for v, e in found], columns=["json", "error"], dtype=object)
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once for each row."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def balanced(text: Column) -> Column:
     """As :func:`balanced_object` without its last resort: a fold over the pieces that end with a brace."""
-    after = text.substr(F.instr(text, "{"), F.char_length(text))
-    pieces = F.split(after, r"(?<=[{}])")
-    state = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("size"), F.lit(False).alias("done"))
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("size"), F.lit(False).alias("done"))
 
     def step(s: Column, piece: Column) -> Column:
-        depth = s["depth"] + F.when(piece.endswith("{"), 1).when(piece.endswith("}"), -1).otherwise(0)
-        on = F.struct(depth.alias("depth"), (s["size"] + F.char_length(piece)).alias("size"), ((depth == 0) & piece.endswith("}")).alias("done"))
-        return F.when(s["done"], s).otherwise(on)
+        on = lambda depth: F.struct(depth.alias("depth"), (s["size"] + F.char_length(piece)).alias("size"), ((depth == 0) & piece.endswith("}")).alias("done"))
+        return F.when(s["done"], s).otherwise(let(s["depth"] + F.when(piece.endswith("{"), 1).when(piece.endswith("}"), -1).otherwise(0), on))
+
+    def cut(after: Column) -> Column:
+        end = F.aggregate(F.split(after, r"(?<=[{}])"), start, step, lambda s: F.when(s["done"], s["size"]))
+        return let(end, lambda size: F.when(size.isNotNull(), after.substr(F.lit(1), size)))
 
-    end = F.aggregate(pieces, state, step)
-    return F.when(F.instr(text, "{") > 0, F.when(end["done"], after.substr(F.lit(1), end["size"])))
+    return F.when(F.instr(text, "{") > 0, let(text.substr(F.instr(text, "{"), F.char_length(text)), cut))
 
 
 def _whole_object(text: Column) -> Column:
-    """Whether a text is one JSON object and nothing else.
+    """The text if it is one JSON object and nothing else, else null.
 
     The parser stops at the end of a value and ignores the rest, so the text is put into a
     list with its own hash after it: that is read only if the text is one value.
     """
-    mark = F.xxhash64(text)
-    both = F.try_parse_json(F.concat(F.lit("["), text, F.lit(","), mark.cast("string"), F.lit("]")))
-    return F.coalesce((F.try_variant_get(both, "$[1]", "long") == mark) & F.ltrim(text).startswith("{"), F.lit(False))
+
+    def read(mark: Column) -> Column:
+        both = F.try_parse_json(F.concat(F.lit("["), text, F.lit(","), mark.cast("string"), F.lit("]")))
+        return F.try_variant_get(both, "$[1]", "long") == mark
+
+    return F.when(text.startswith("{") & text.endswith("}") & let(F.xxhash64(text), read), text)
 
 
 def read_object(text: Column) -> Column:
-    """The first of the built-in readings that is an object, as its JSON text, else null.
+    """The text, or its balanced object, if that is sound JSON; else null.
 
     Readings come in the order of :func:`parse_loose`.  Texts that begin as a list or
     string may be JSON as a whole, and those that begin with a brace but go on after
-    its match may be too (a brace in a string): these are left to it.
+    its match may be too (a brace in a string): these are left to it, as are texts
+    that need a repair.
     """
-    trimmed = strip(text)
-    inner = F.coalesce(balanced(text), or_null(F.regexp_extract(text, r"\{[^}]*\}", 0)))
-    sure = ~trimmed.startswith("[") & ~trimmed.startswith('"') & (~trimmed.startswith("{") | (inner == trimmed))
-    tidied = F.regexp_replace(F.regexp_replace(strip(F.coalesce(inner, text)), r"^```json?\s*", ""), r"\s*```$", "")
-    tidied = F.regexp_replace(tidied, r",\s*([}\]])", "$1")
-    quoted = F.regexp_replace(tidied, r"(?<!\\)'", '"')
-    tries = [F.when(_whole_object(trimmed), trimmed), *(F.when(sure & _whole_object(x), x) for x in (inner, tidied, quoted))]
-    return F.coalesce(*tries)
+
+    def others(trimmed: Column) -> Column:
+        sound = ~trimmed.startswith("{") & ~trimmed.startswith("[") & ~trimmed.startswith('"')
+        return F.coalesce(_whole_object(trimmed), F.when(sound, let(balanced(trimmed), _whole_object)))
+
+    return F.when(F.instr(text, "{") > 0, let(strip(text), others))
 
 
 def _filled(j: Column) -> Column:
     """An object's text with the defaults of :func:`with_defaults`; numbers keep the form they have."""
-    keys = F.coalesce(F.json_object_keys(j), F.array().cast("array<string>"))
-    lacks = lambda k: ~F.array_contains(keys, k)
-    action = F.to_json(F.try_variant_get(F.try_parse_json(j), "$.action", "variant"))
-    more = [F.when(lacks(k), f'"{k}": {v}') for k, v in (("target", "null"), ("value", "null"), ("confidence", "0.5"))]
-    more.append(F.when(lacks("action_type") & ~lacks("action"), F.concat(F.lit('"action_type": '), F.coalesce(action, F.lit("null")))))
-    added = F.concat_ws(", ", *more)
-    body = F.regexp_replace(j, r"\s*\}\s*$", "")
-    return F.when(added == "", j).otherwise(F.concat(body, F.when(F.size(keys) > 0, ", ").otherwise(""), added, F.lit("}")))
-
-
-def _read_first(text: str | Column, finish, rest) -> Column:
-    """struct(json, error): the built-in reading, ``finish``ed, else what ``rest`` makes of the text."""
-    text = F.col(text) if isinstance(text, str) else text
-    found = read_object(text)
-    empty = F.coalesce(text, F.lit("")) == ""
-    other = rest(F.when(found.isNull() & ~empty, text))
-    plain = lambda j, e: F.struct(j.cast("string").alias("json"), e.cast("string").alias("error"))
-    return F.when(empty, plain(F.lit(None), F.lit("Empty input text"))).when(found.isNotNull(), plain(finish(found), F.lit(None))).otherwise(plain(other["json"], other["error"]))
-
-
-def repair_json(text: str | Column) -> Column:
-    """Column form of :func:`repair_action`: Python sees only texts that no built-in reading reads."""
-    return _read_first(text, _filled, _repaired)
-
-
-def parse_json(text: str | Column) -> Column:
-    """Column form of :func:`parse_loose`, without defaults."""
-    return _read_first(text, lambda j: j, _parsed)
+
+    def add(keys: Column) -> Column:
+        lacks = lambda k: ~F.array_contains(keys, k)
+        action = F.to_json(F.try_variant_get(F.try_parse_json(j), "$.action", "variant"))
+        more = [F.when(lacks(k), f'"{k}": {v}') for k, v in (("target", "null"), ("value", "null"), ("confidence", "0.5"))]
+        more.append(F.when(lacks("action_type") & ~lacks("action"), F.concat(F.lit('"action_type": '), F.coalesce(action, F.lit("null")))))
+        body = F.concat(F.regexp_replace(j, r"\s*\}\s*$", ""), F.when(F.size(keys) > 0, ", ").otherwise(""))
+        return let(F.concat_ws(", ", *more), lambda added: F.when(added == "", j).otherwise(F.concat(body, added, F.lit("}"))))
+
+    return let(F.coalesce(F.json_object_keys(j), F.array().cast("array<string>")), add)
+
+
+def _read_first(df: DataFrame, text: str, name: str, finish, rest) -> DataFrame:
+    """``df`` with struct(json, error): the built-in reading, ``finish``ed, else what ``rest`` makes of the text.
+
+    The reading is a column of its own first, so each row's is computed once.
+    """
+    found, c = f"__read_{name}", F.col(text)
+    step = df.withColumn(found, let(read_object(c), lambda j: F.when(j.isNotNull(), finish(j))))
+    empty = F.coalesce(c, F.lit("")) == ""
+    step = step.withColumn(name, rest(F.when(F.col(found).isNull() & ~empty, c)))
+    read = F.coalesce(F.col(found), F.col(f"{name}.json"))
+    return step.withColumn(name, F.struct(read.alias("json"), F.when(empty, "Empty input text").when(read.isNull(), F.col(f"{name}.error")).alias("error"))).drop(found)
+
+
+def repair_json(df: DataFrame, text: str, name: str) -> DataFrame:
+    """``df`` with :func:`repair_action` of a text column: Python sees only texts that no built-in reading reads."""
+    return _read_first(df, text, name, _filled, _repaired)
+
+
+def parse_json(df: DataFrame, text: str, name: str) -> DataFrame:
+    """``df`` with :func:`parse_loose` of a text column, without defaults."""
+    return _read_first(df, text, name, lambda j: j, _parsed)
 
 
 def required_error(parsed: Column, error: Column, keys: tuple[str, ...]) -> Column:

@@ -57,7 +57,7 @@ def decode_actions(df: DataFrame, text: str, width: Column | None = None, height
     """
     width, height = (F.lit(None).cast("double") if x is None else x for x in (width, height))
     g = lambda k: F.get_json_object("__p.json", f"$.{k}")
-    step = df.withColumn("__p", repair_json(F.col(text)))
+    step = repair_json(df, text, "__p")
     target = g("target")
     step = step.withColumns({"__kind": g("action_type"), "__target": target, "__value": g("value"), "__raw": g("confidence")})
     # A quoted number is no number: its JSON text starts with a quote in the parent.

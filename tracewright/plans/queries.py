@@ -87,7 +87,7 @@ def json_field_extract(spark, sf):
   CASE event_id % 8 WHEN 0 THEN 0.9 WHEN 1 THEN 0.75 WHEN 2 THEN 0.5 WHEN 3 THEN 0.5 WHEN 4 THEN 0.25 WHEN 5 THEN 0.125 END::DOUBLE AS confidence,
   CASE WHEN event_id % 8 = 1 THEN 'v' || (event_id % 7) END AS value, event_id % 8 < 6 AS readable FROM events""")
 def json_repair_cascade(spark, sf):
-    rows = derive.model_outputs(spark, sf).withColumn("p", jsonfn.repair_json("raw"))
+    rows = jsonfn.repair_json(derive.model_outputs(spark, sf), "raw", "p")
     g = lambda k: F.get_json_object("p.json", f"$.{k}")
     return rows.select("event_id", g("action_type").alias("action_type"), g("confidence").try_cast("double").alias("confidence"), g("value").alias("value"), F.col("p.json").isNotNull().alias("readable"))
 
@@ -495,7 +495,7 @@ def _text(*parts):
 CASE event_id % 4 WHEN 1 THEN 'Keys not found: target' WHEN 2 THEN 'Keys not found: action_type, target' WHEN 3 THEN 'Empty input text' END AS error FROM events""")
 def required_keys(spark, sf):
     rows = _by(table(spark, sf, "events"), "event_id", F.lit('{"action_type":"click","target":null}'), F.lit('say {"action_type":"type",} now'), F.lit('{"value":1}'), F.lit(""))
-    parsed = rows.select("event_id", jsonfn.parse_json("raw").alias("p"))
+    parsed = jsonfn.parse_json(rows.select("event_id", "raw"), "raw", "p")
     return parsed.select("event_id", F.get_json_object("p.json", "$.action_type").alias("action_type"), jsonfn.required_error(F.col("p.json"), F.col("p.error"), ("action_type", "target")).alias("error"))
 
 
