@@ -187,9 +187,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             digest = [_digest(d) for d in _data(b)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(digest, pa.binary()), pa.array([_row(x) for x in digest], pa.int64())], names=[*b.schema.names, "digest", "row"])
 
-    # Texts that only seem to be copies are references too.
+    # Texts that only seem to be copies are references too: found by key, so copies' texts stay where they are.
     picked = among(maybe_copy, True)
-    seeming = text.mapInArrow(tidy(lambda x: keyed(picked(x))), "ord long, text string, digest binary, row long").join(copies, ["ord", "digest"], "left_anti")
+    keys_only = text.mapInArrow(tidy(lambda x: (b.drop_columns(["text"]) for b in keyed(picked(x)))), "ord long, digest binary, row long")
+    false = durable(keys_only.join(copies, ["ord", "digest"], "left_anti").select("ord", "digest", "row").distinct(), "false")
+    maybe_false = spark.sparkContext.broadcast(Rows(false))
+    again = among(maybe_false, True)
+    seeming = text.mapInArrow(tidy(lambda x: keyed(again(x))), "ord long, text string, digest binary, row long").join(false, ["ord", "digest"], "left_semi")
     seeming = durable(seeming.select("ord", "text"), "seeming")
 
     def reference(make, schema: str) -> DataFrame:
@@ -242,8 +246,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     starts = flagged(seen).groupBy("ord", "row").agg(F.collect_set(F.struct("start", "check")).alias("starts"))
     decided = durable(starts.join(copies.withColumnRenamed("digest", "copy"), ["ord", "row"], "full"), "decided")
     touched = spark.sparkContext.broadcast(Rows(decided))
-    release(whole, first, copies, seeming, seen)
-    for x in (maybe_copy, indexed, hit):
+    release(whole, first, copies, false, seeming, seen)
+    for x in (maybe_copy, maybe_false, indexed, hit):
         x.destroy()
 
     kind = df.schema["doc_id"].dataType.simpleString()
