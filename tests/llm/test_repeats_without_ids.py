@@ -59,3 +59,17 @@ def test_windows_that_most_rows_have(spark, monkeypatch):
         rng.shuffle(parts)
         rows.append((rng.choice([i, i, i // 2, None]), " ".join(parts)))
     assert answers(spark, rows) == brute(rows)
+
+
+def test_bitmaps_travel_whole():
+    import pickle
+
+    import numpy as np
+
+    from tracewright.llm.common import Bits
+
+    for filled in (0, 5, 1 << 20, (1 << 21) - 1):
+        words = np.zeros(1 << 21, np.uint64)
+        words[:filled] = np.arange(1, filled + 1, dtype=np.uint64)
+        data = pickle.dumps(Bits(words))
+        assert (pickle.loads(data).words == words).all() and len(data) < 12 * filled + 1000 or filled > 1 << 20

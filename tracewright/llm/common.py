@@ -133,6 +133,18 @@ class Bits:
     def __init__(self, words: np.ndarray) -> None:
         self.words = words
 
+    def __getstate__(self) -> tuple:
+        """As broadcast: only the words that aren't 0, while they are the smaller part."""
+        at = np.flatnonzero(self.words)
+        return (len(self.words), at.astype(np.uint32), self.words[at]) if 2 * len(at) < len(self.words) else (len(self.words), None, self.words)
+
+    def __setstate__(self, state: tuple) -> None:
+        n, at, words = state
+        self.words = words
+        if at is not None:
+            self.words = np.zeros(n, np.uint64)
+            self.words[at] = words
+
     @classmethod
     def slot(cls, h: np.ndarray) -> np.ndarray:
         return (h * np.uint64(0xFF51AFD7ED558CCD)) >> np.uint64(64 - cls.BITS)
