@@ -68,8 +68,9 @@ def test_bitmaps_travel_whole():
 
     from tracewright.llm.common import Bits
 
-    for filled in (0, 5, 1 << 20, (1 << 21) - 1):
+    for filled in (0, 5, 1000, 1 << 20, (1 << 21) - 1):
         words = np.zeros(1 << 21, np.uint64)
         words[:filled] = np.arange(1, filled + 1, dtype=np.uint64)
         data = pickle.dumps(Bits(words))
-        assert (pickle.loads(data).words == words).all() and len(data) < 12 * filled + 1000 or filled > 1 << 20
+        assert (pickle.loads(data).words == words).all()
+        assert len(data) < (12 * filled if filled < 1 << 20 else 8 << 21) + 1000
