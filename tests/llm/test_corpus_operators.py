@@ -3,7 +3,9 @@
 import hashlib
 import random
 import re
+import time
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -314,6 +316,55 @@ def test_short_passages_have_the_whole_budget(spark):
     assert got == want and (1001, 10) in want and (2002, 20) in want and (3003, 30) in want
 
 
+def test_places_equal_brute_force():
+    """Begin and end: of the regions with the fewest edits the first to end, then the shortest."""
+    rng = random.Random(10)
+    p = "".join(rng.choices("abcd", k=40))
+    for _ in range(30):
+        q = list(p)
+        for _ in range(rng.randrange(6)):
+            k = rng.randrange(len(q))
+            q[k : k + rng.randrange(2)] = rng.choice(["", "a", "zz"])
+        t = "xyx " + "".join(q) + " yyx " + p[:20]
+        found = decontaminate.search([t], decontaminate.Index.of([(1, p)], 0.1, 5))
+        every = [(whole(p, t[a:z]), z, -a) for z in range(len(t) + 1) for a in range(max(0, z - 46), z + 1)]
+        least, end, begin = min(every)
+        assert found == ([(0, 0, -begin, end, least)] if least <= 4 else [])
+
+
+def whole(p, t):
+    row = list(range(len(t) + 1))
+    for i, a in enumerate(p, 1):
+        new = [i]
+        for j, b in enumerate(t, 1):
+            new.append(min(row[j - 1] + (a != b), row[j] + 1, new[-1] + 1))
+        row = new
+    return row[-1]
+
+
+def test_common_beginnings_are_aligned_once(monkeypatch):
+    """2,000 passages with one beginning that a document repeats: equal to a plain search, in bounded pieces."""
+    rng = random.Random(11)
+    make = lambda n: "".join(rng.choices("abcdefghij ", k=n))
+    stem = "q" + make(48) + "q"
+    items = [(j, stem + make(50)) for j in range(2000)]
+    docs = [" ".join(stem for _ in range(50)), " ".join(stem for _ in range(20)) + items[7][1] + "x" + items[9][1][:60] + "zz" + items[9][1][60:], "nothing"]
+    indexes = decontaminate.Index.all_of(items)
+    classes = sum(len(np.unique(x.of_class)) for x in indexes)
+    assert classes < 2 * len(items) + 100
+    began = time.perf_counter()
+    name = lambda found, x: {(d, x.ids[i], c) for d, i, _, _, c in found}
+    got = set().union(*(name(decontaminate.search(docs, x), x) for x in indexes))
+    assert time.perf_counter() - began < 20  # 32 s for the first document alone when each passage was aligned by itself
+    small = [items[k] for k in (7, 9, 11, 500)]
+    want = {(d, j, e) for d in (1, 2) for j, p in small if (e := edits(decontaminate.normalise(p), decontaminate.normalise(docs[d]))) <= int(len(decontaminate.normalise(p)) * 0.1)}
+    assert {g for g in got if g[1] in (7, 9, 11, 500)} == want and {(1, 7), (1, 9)} <= {g[:2] for g in want}
+    monkeypatch.setattr(decontaminate, "ROWS", 1000)
+    monkeypatch.setattr(decontaminate, "CELLS", 20_000)
+    few = decontaminate.Index.all_of(items[:40])
+    assert set().union(*(name(decontaminate.search(docs, x), x) for x in few)) == {g for g in got if g[1] < 40}
+
+
 # 9
 
 
@@ -397,7 +448,6 @@ def test_rows_that_share_an_id_keep_their_words(spark):
 
 
 def test_bitmap_has_no_false_negatives(spark):
-    import numpy as np
 
     from tracewright.llm.common import Bits
 

@@ -26,6 +26,8 @@ Q, EDITS = 8, 0.1
 BLOCK = 20_000
 #: Characters searched at once by a worker.
 CHARS = 1_000_000
+#: Rows of (document, passage, diagonal) and cells of an alignment held at once.
+ROWS, CELLS = 1_000_000, 2_000_000
 _U = np.uint64
 _A = _U(0x9E3779B97F4A7C15)
 _BITS = 22
@@ -81,7 +83,13 @@ def _slot(h: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Index:
-    """Q-grams of a block of passages: where each stands, as (passage, position)."""
+    """Q-grams of a block of passages.
+
+    Where a q-gram stands is a list of (passage, position).  Lists that differ by one
+    shift only, as those along a beginning that many passages share, are one class:
+    a shared q-gram is met as (class, diagonal), and passages are told apart after
+    equal diagonals are counted.
+    """
 
     q: int
     ids: list
@@ -89,8 +97,9 @@ class Index:
     edits: np.ndarray
     bound: np.ndarray
     keys: np.ndarray
-    first: np.ndarray
-    item: np.ndarray
+    of_class: np.ndarray
+    shift: np.ndarray
+    entry: np.ndarray
     at: np.ndarray
     table: np.ndarray
 
@@ -105,21 +114,37 @@ class Index:
 
     @classmethod
     def of(cls, items: list[tuple[object, str]], share: float, q: int) -> Index:
-        kept, raw = [(i, points(normalise(t))) for i, t in items], [t for _, t in items]
-        size = np.array([len(p) for _, p in kept], np.int64)
+        items = sorted(((normalise(t), i, t) for i, t in items), key=lambda r: r[0])  # shared beginnings side by side
+        passages, raw = [points(n) for n, _, _ in items], [t for _, _, t in items]
+        size = np.array([len(p) for p in passages], np.int64)
         edits = (size * share).astype(np.int64)
         found = [grams(np.frombuffer(fold(t), np.uint8), q) for t in raw]
         h = np.concatenate([np.zeros(0, _U), *found])
-        item = np.repeat(np.arange(len(kept)), [len(g) for g in found]) if kept else np.zeros(0, np.int64)
+        item = np.repeat(np.arange(len(items)), [len(g) for g in found])
         at = np.concatenate([np.zeros(0, np.int64), *(np.arange(len(g)) for g in found)])
         order = np.argsort(h, kind="stable")
+        item, at = item[order], at[order]
         keys, first = np.unique(h[order], return_index=True)
+        many = np.diff(np.append(first, len(h)))
+        shift = at[first]
+        at -= np.repeat(shift, many)
+        # A class for each passage (its q-grams of one place), then one for each list of more places.
+        of_class, entries, places, classes = item[first].astype(np.int64), [np.arange(len(items))], [np.zeros(len(items), np.int64)], {}
+        for k in np.flatnonzero(many > 1).tolist():
+            one = slice(first[k], first[k] + many[k])
+            name = item[one].tobytes() + at[one].tobytes()
+            if name not in classes:
+                classes[name] = len(items) + len(classes)
+                entries.append(item[one] + classes[name] * len(items))
+                places.append(at[one])
+            of_class[k] = classes[name]
+        entries[0] = entries[0] * (len(items) + 1)
         table = np.zeros(1 << _BITS, bool)
         table[_slot(keys)] = True
-        return cls(q, [i for i, _ in kept], [p for _, p in kept], edits, size - q + 1 - q * edits, keys, np.append(first, len(h)), item[order], at[order], table)
+        return cls(q, [i for _, i, _ in items], passages, edits, size - q + 1 - q * edits, keys, of_class, shift, np.concatenate(entries), np.concatenate(places), table)
 
     def hits(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(position in x, passage, position in the passage) of each shared q-gram."""
+        """(position in x, class, diagonal) of each shared q-gram."""
         h = grams(x, self.q)
         where = np.flatnonzero(self.table[_slot(h)])
         if not len(where) or not len(self.keys):
@@ -128,90 +153,150 @@ class Index:
         k[k == len(self.keys)] = 0
         same = self.keys[k] == h[where]
         where, k = where[same], k[same]
-        many = self.first[k + 1] - self.first[k]
-        flat = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(self.first[k], many)
-        return np.repeat(where, many), self.item[flat], self.at[flat]
-
-
-def align(passages: list[np.ndarray], x: np.ndarray, start: np.ndarray, low: np.ndarray, high: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        return where, self.of_class[k], where - self.shift[k]
+
+    def regions(self, x: np.ndarray, offset: np.ndarray) -> Iterator[np.ndarray]:
+        """Candidates as rows (document, passage, first diagonal of the band), by ranges of
+        passages, each of which is kept in bounded memory; a row may come twice."""
+        pos, kind, diagonal = self.hits(x)
+        if not len(pos):
+            return
+        doc, kind, diagonal, count = _summed(np.searchsorted(offset, pos, side="right") - 1, kind, diagonal, np.ones(len(pos), np.int64))
+        n = len(self.ids)
+        todo = [(0, n)]
+        while todo:
+            low, high = todo.pop()
+            begin = np.searchsorted(self.entry, kind * n + low)
+            many = np.searchsorted(self.entry, kind * n + high) - begin
+            ends = np.cumsum(many)
+            if ends[-1] > ROWS and high - low > 1:
+                todo += [(low, (low + high) // 2), ((low + high) // 2, high)]
+                continue
+            sums: list[list] = [[], []]
+            cuts = np.unique(np.append(np.searchsorted(ends, np.arange(ROWS, ends[-1], ROWS)), len(many)))
+            for a, z in zip(np.append(0, cuts[:-1]), cuts, strict=True):
+                part = many[a:z]
+                if not part.sum():
+                    continue
+                flat = np.arange(part.sum()) - np.repeat(np.cumsum(part) - part, part) + np.repeat(begin[a:z], part)
+                item = self.entry[flat] % n
+                step = self.edits[item] + 1
+                d, place, c = np.repeat(doc[a:z], part), np.repeat(diagonal[a:z], part) - self.at[flat], np.repeat(count[a:z], part)
+                for half in (0, 1):  # bands of two steps, each starting one step after the last
+                    sums[half].append(_summed(d, item, (place - half * step) // (2 * step), c))
+            for half, parts in enumerate(sums):
+                if not parts:
+                    continue
+                d, i, band, c = parts[0] if len(parts) == 1 else _summed(*np.concatenate(parts, axis=1))
+                good = c >= self.bound[i]
+                d, i, band = d[good], i[good], band[good]
+                step = self.edits[i] + 1
+                yield np.stack([d, i, band * 2 * step + half * step], axis=1)
+
+
+def _summed(doc: np.ndarray, item: np.ndarray, band: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Counts summed by (document, passage or class, band or diagonal), as four rows."""
+    order = np.lexsort((band, item, doc))
+    d, i, b = doc[order], item[order], band[order]
+    cut = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (i[1:] != i[:-1]) | (b[1:] != b[:-1])])
+    return np.stack([d[cut], i[cut], b[cut], np.add.reduceat(count[order], cut)])
+
+
+def align(passages: list[np.ndarray], x: np.ndarray, start: np.ndarray, low: np.ndarray, high: np.ndarray, width: int, budget: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Banded semi-global alignment of many pairs at once.
 
     Pair c aligns passages[c] with x[low[c]:high[c]] on the diagonals start[c] ..
-    start[c]+width-1; returns the least number of edits and where it ends.
+    start[c]+width-1; returns the least number of edits (above its budget: no matter
+    how many), where it begins and where it ends.  Neighbours with one start and one
+    range share the rows of the beginning their passages have in common, and rows over
+    budget are left.
     """
-    n, m = len(passages), max(map(len, passages))
+    n, size = len(passages), np.array([len(p) for p in passages])
+    m = int(size.max())
     text = np.zeros((n, m), np.uint32)
-    size = np.array([len(p) for p in passages])
     for c, p in enumerate(passages):
         text[c, : len(p)] = p
-    far, step = np.int64(1 << 30), np.arange(width)
-    place = start[:, None] + step[None, :]
-    cost = np.where((place >= low[:, None]) & (place <= high[:, None]), 0, far)
-    out_cost, out_end = np.full(n, far), np.zeros(n, np.int64)
+    differ = text[1:] != text[:-1]
+    shared = np.where(differ.any(axis=1), differ.argmax(axis=1), m)
+    shared = np.minimum(shared, np.minimum(size[1:], size[:-1]))
+    shared = np.r_[-1, np.where((start[1:] == start[:-1]) & (low[1:] == low[:-1]) & (high[1:] == high[:-1]), shared, -1)]
+
+    # A cell is edits * 2**32 + what is left to a late beginning: the least is the best, then the shortest.
+    one, far, step = np.int64(1 << 32), np.int64(1 << 62), np.arange(width)
+    alive, heads = np.arange(n), np.flatnonzero(shared < 0)
+    row = np.cumsum(shared < 0) - 1
+    place = start[heads, None] + step
+    cost = np.where((place >= low[heads, None]) & (place <= high[heads, None]), high[heads, None] - place, far)
+    out = np.full(n, far), np.zeros(n, np.int64), np.zeros(n, np.int64)
     for i in range(m):
-        at = place + i
-        inside = (at >= low[:, None]) & (at < high[:, None])
+        new = np.r_[True, row[1:] != row[:-1]] | (shared[alive] == i)
+        cost, heads, row = cost[row[new]], alive[new], np.cumsum(new) - 1
+        at = start[heads, None] + step + i
+        lows, highs = low[heads, None], high[heads, None]
+        inside = (at >= lows) & (at < highs)
         char = x[np.clip(at, 0, len(x) - 1)]
-        new = np.where(inside, cost + (char != text[:, i : i + 1]), far)
-        new[:, :-1] = np.minimum(new[:, :-1], cost[:, 1:] + 1)  # a character of the passage is missing
-        valid = (at + 1 >= low[:, None]) & (at + 1 <= high[:, None])
-        new = np.where(valid, new, far)
-        new = np.minimum.accumulate(new - step, axis=1) + step  # extra characters in the text
-        cost = np.where(valid, new, far)
-        if len(done := np.flatnonzero(size == i + 1)):
-            best = np.argmin(cost[done], axis=1)
-            out_cost[done] = cost[done, best]
-            out_end[done] = at[done, best] + 1
-    return out_cost, out_end
+        after = np.where(inside, cost + (char != text[heads, i : i + 1]) * one, far)
+        after[:, :-1] = np.minimum(after[:, :-1], cost[:, 1:] + one)  # a character of the passage is missing
+        valid = (at + 1 >= lows) & (at + 1 <= highs)
+        after = np.where(valid, after, far)
+        after = np.minimum.accumulate(after - step * one, axis=1) + step * one  # extra characters in the text
+        cost = np.where(valid, np.minimum(after, far), far)
+        ended = size[alive] == i + 1
+        if ended.any():
+            done, r = alive[ended], row[ended]
+            best = np.argmin(cost[r], axis=1)
+            least = cost[r, best]
+            out[0][done] = least >> 32
+            out[1][done] = high[done] - (least & (one - 1))
+            out[2][done] = at[r, best] + 1
+        left = np.maximum.reduceat(budget[alive], np.flatnonzero(new))
+        stay = ((cost.min(axis=1) >> 32) <= left)[row] & ~ended
+        alive, row = alive[stay], row[stay]
+        if not len(alive):
+            break
+    return out
 
 
 def search(docs: list[str], index: Index) -> list[tuple[int, int, int, int, int]]:
-    """(document, passage, start, end, edits) of the best region of each pair within the budget."""
+    """(document, passage, start, end, edits) of the best region of each pair within the budget.
+
+    Of regions with equally few edits the first is taken.
+    """
     if not index.ids:
         return []
     folded = [fold(t) for t in docs]
     x = np.frombuffer(b"\0".join(folded), np.uint8)
     offset = np.cumsum([0, *(len(f) + 1 for f in folded)])
-    pos, item, at = index.hits(x)
-    if not len(pos):
-        return []
-    doc = np.searchsorted(offset, pos, side="right") - 1
-    step = index.edits[item] + 1
-    diagonal = pos - at + len(x)  # not negative
-    found = {}
-    for half in (0, 1):  # bands of two steps, each starting one step after the last
-        band = (diagonal - half * step) // (2 * step)
-        order = np.lexsort((band, item, doc))
-        d, i, b = doc[order], item[order], band[order]
-        cut = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (i[1:] != i[:-1]) | (b[1:] != b[:-1])])
-        count = np.diff(np.r_[cut, len(d)])
-        for c in cut[count >= index.bound[i[cut]]]:
-            first = b[c] * 2 * step[order[c]] + half * step[order[c]] - len(x)
-            found[int(d[c]), int(i[c]), int(first)] = None
-    if not found:
-        return []
-    held = {d: points(normalise(docs[d])) for d in {d for d, _, _ in found}}
-    whole = np.concatenate(list(held.values()))
-    place = dict(zip(held, np.cumsum([0, *map(len, held.values())]).tolist(), strict=False))
+    lengths = np.array([len(p) for p in index.passages])
+    held: dict[int, np.ndarray] = {}
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
-    todo = sorted(found, key=lambda k: index.edits[k[1]])
-    for s in range(0, len(todo), 256):
-        part = todo[s : s + 256]
-        e = max(int(index.edits[i]) for _, i, _ in part)
-        start = np.array([f - int(index.edits[i]) - int(offset[d]) + place[d] for d, i, f in part])
-        low = np.array([place[d] for d, _, _ in part])
-        high = np.array([place[d] + len(held[d]) for d, _, _ in part])
-        cost, end = align([index.passages[i] for _, i, _ in part], whole, start, low, high, 4 * e + 4)
-        for (d, i, _), c, z in zip(part, cost.tolist(), end.tolist(), strict=True):
-            if c <= index.edits[i] and ((d, i) not in best or c < best[d, i][2]):
-                z -= place[d]
-                best[d, i] = (max(0, z - len(index.passages[i])), z, c)
-    return [(d, i, *v) for (d, i), v in sorted(best.items())]
+    for rows in index.regions(x, offset):
+        doc, item, first = rows.T
+        edits = index.edits[item]
+        first = first - offset[doc] - edits
+        order = np.lexsort((item, first, doc, edits))
+        doc, item, first, edits = doc[order], item[order], first[order], edits[order]
+        sizes, at = lengths[item], 0
+        while at < len(doc):
+            cells = np.arange(1, len(doc) - at + 1) * np.maximum(4 * edits[at:] + 4, np.maximum.accumulate(sizes[at:]))
+            one = slice(at, at + max(1, int(np.searchsorted(cells, CELLS, side="right"))))
+            at = one.stop
+            d, i, e = doc[one], item[one], edits[one]
+            here = np.unique(d)
+            held.update({k: points(normalise(docs[k])) for k in here.tolist() if k not in held})
+            base = np.cumsum([0, *(len(held[k]) for k in here.tolist())])
+            k = np.searchsorted(here, d)
+            cost, begin, end = align([index.passages[j] for j in i.tolist()], np.concatenate([held[k] for k in here.tolist()]), first[one] + base[k], base[k], base[k + 1], 4 * int(e.max()) + 4, e)
+            for j in np.flatnonzero(cost <= e).tolist():
+                pair, got = (int(d[j]), int(i[j])), (int(cost[j]), int(end[j] - base[k[j]]), int(begin[j] - base[k[j]]))
+                if pair not in best or got < best[pair]:
+                    best[pair] = got
+    return [(d, i, begin, end, c) for (d, i), (c, end, begin) in sorted(best.items())]
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", share: float = EDITS) -> DataFrame:
     """One row per document and passage found in it: doc_id, item_id, start_char,
-    end_char (in the normalised text, about), edits, similarity (1 - edits/length).
+    end_char (in the normalised text), edits, similarity (1 - edits/length).
 
     A passage counts as found if some region of the document differs from it by at
     most ``share`` of its characters, after lower-casing and joining white space.
