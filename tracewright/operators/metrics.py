@@ -75,8 +75,13 @@ def nested_steps(steps: DataFrame, task: str = "annotation_id", columns: tuple[s
 
 
 def failures(df: DataFrame, flag: str = "overall_match", limit: int | None = None, order: tuple[str, ...] = ()) -> DataFrame:
-    """Rows whose flag is false (an unknown flag: overall); with a limit, the first in order."""
-    out = df.where(~F.coalesce(F.col(flag if flag in ACTION_FLAGS else "overall_match"), F.lit(False)))
+    """Rows whose flag is false; with a limit, the first in order.
+
+    A flag of neither evaluator, or that the table lacks, is read as the table's own
+    verdict on the whole step.
+    """
+    known = flag in (*ACTION_FLAGS, *STEP_FLAGS.values()) and flag in df.columns
+    out = df.where(~F.coalesce(F.col(flag if known else "overall_match" if "overall_match" in df.columns else "step_success"), F.lit(False)))
     return out.orderBy(*order).limit(limit) if limit else out
 
 
@@ -109,6 +114,11 @@ def robustness_drop(original: DataFrame, perturbed: DataFrame, keys: list[str],
     return joined.withColumn("drop", F.try_divide(F.col("original") - F.col("perturbed"), F.col("original")))
 
 
+def correction_rate(said: Column, corrected: Column) -> Column:
+    """Share of predictions that a person changed; one without a correction counts as kept."""
+    return ratio(F.count_if(corrected.isNotNull() & ~corrected.eqNullSafe(said)), F.count(said))
+
+
 def final_score(step_rate: Column, task_rate: Column, grounding: Column) -> Column:
     return step_rate * task_rate * grounding
 

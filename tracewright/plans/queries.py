@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import cost, geometry, images, jsonfn, text
 from ..functions.html import dom_summary, interactive_elements
 from ..models import generate_plans, score_pairs
-from ..operators import checkpoint, decode, history, match, metrics, ranking, sampling
+from ..operators import checkpoint, decode, history, match, metrics, ranking, sampling, state, uncertainty
 from ..sources.steps import candidates, union_all, with_default, with_page
 from . import derive
 from .derive import ACTION_PAIRS_SQL, PLANS_SQL, STEPS_SQL, table
@@ -703,3 +703,100 @@ def page_images(spark, sf):
 def candidate_preview(spark, sf):
     all_of_them = F.sequence(F.lit(0), (F.col("event_id") % 8).cast("int"))
     return table(spark, sf, "events").select("event_id", F.array_join(ranking.preview(all_of_them), ",").alias("shown"))
+
+
+# Uncertainty, merged states, fields that no query above shows
+
+_INTERVAL_NAMES = [*metrics.STEP_FLAGS, "offline0_rate", "offline1_rate"]
+_INTERVAL_SUMS = ", ".join(f"sum(p_{n} * w)::DOUBLE / sum(w_{n} * w) AS {n}" for n in _INTERVAL_NAMES)
+_INTERVAL_PARTS = ", ".join(f"count_if({flag}) AS p_{n}, count(*) AS w_{n}" for n, flag in metrics.STEP_FLAGS.items())
+
+
+@query(f"""WITH {STEPS_SQL}, k AS (SELECT annotation_id, {_INTERVAL_PARTS}, bool_and(step_success)::INT AS p_offline0_rate, 1 AS w_offline0_rate, (count_if(NOT step_success) <= 1)::INT AS p_offline1_rate, 1 AS w_offline1_rate FROM s GROUP BY annotation_id),
+r AS (SELECT unnest(range(0, 200)) AS replicate), d AS (SELECT k.*, replicate, ('0x' || substr(md5(coalesce(CAST(annotation_id AS VARCHAR), '') || '|42|' || (replicate // 4)), 8 * (replicate % 4) + 1, 8))::BIGINT AS u FROM k, r),
+w AS (SELECT *, {" + ".join(f"(u >= {t})::INT" for t in uncertainty.thresholds())} AS w FROM d UNION ALL SELECT *, -1, 0, 1 FROM k),
+b AS (SELECT replicate, {_INTERVAL_SUMS} FROM w WHERE w > 0 GROUP BY replicate), l AS (UNPIVOT b ON {", ".join(_INTERVAL_NAMES)} INTO NAME metric VALUE rate),
+g AS (SELECT metric, max(rate) FILTER (replicate = -1) AS estimate, list_sort(list(rate) FILTER (replicate >= 0)) AS x FROM l GROUP BY metric)
+SELECT metric, estimate, x[CAST(floor(len(x) * 0.025 + 1e-9) AS INT) + 1] AS low, x[CAST(ceil(len(x) * 0.975 - 1e-9) AS INT)] AS high FROM g""")
+def rate_intervals(spark, sf):
+    """95 % intervals of step and task rates, tasks drawn 200 times."""
+    rates = {name: (F.count_if(flag), F.count(F.lit(1))) for name, flag in metrics.STEP_FLAGS.items()}
+    rates |= {"offline0_rate": (F.bool_and("step_success").cast("int"), F.lit(1)), "offline1_rate": ((F.count_if(~F.col("step_success")) <= 1).cast("int"), F.lit(1))}
+    return uncertainty.intervals(match.step_flags(derive.recorded_steps(spark, sf)), "annotation_id", rates)
+
+
+@query(f"""WITH {ACTION_PAIRS_SQL} SELECT event_type, count(*) AS total, count_if(action_match) AS action_match_count, count_if(overall_match) AS overall_match_count, avg(action_match::INT) AS action_match_rate, avg(overall_match::INT) AS overall_match_rate, true AS near
+FROM f JOIN events USING (event_id) GROUP BY event_type""")
+def merged_states(spark, sf):
+    """Seven batches kept as states and merged; the median is held against all rows."""
+    flags = match.action_flags(derive.action_pairs(spark, sf)).select("event_id", "action_match", "overall_match")
+    rows = flags.join(table(spark, sf, "events").select("event_id", "event_type", "value"), "event_id")
+    states = state.state(rows.withColumn("batch", F.col("event_id") % 7), ["event_type", "batch"], ("action_match", "overall_match"), "value")
+    told = state.rates(state.merged(states.drop("batch"), ["event_type"]))
+    v, m, n = F.col("value"), F.col("time_50"), F.count("value")
+    held = table(spark, sf, "events").select("event_type", "value").join(F.broadcast(told.select("event_type", "time_50")), "event_type").groupBy("event_type")
+    near = held.agg(((F.count_if(v < m) <= 0.52 * n) & (F.count_if(v <= m) >= 0.48 * n)).alias("near"))
+    return told.drop("time_50", "mean_time").join(near, "event_type")
+
+
+@query(f"""WITH {STEPS_SQL}, r AS (SELECT annotation_id, step_index, instruction, p, CASE WHEN n % 19 = 0 THEN '' WHEN n % 6 = 0 THEN '99' ELSE '' || n % 10 END AS node, CASE WHEN n % 4 = 0 THEN ' v' || n || ' ' ELSE 'other' END AS value FROM q)
+SELECT annotation_id, string_agg(concat_ws('/', step_index, instruction, p, node, value, operation_match, element_match, value_match, step_success), ';' ORDER BY step_index) AS steps FROM r JOIN s USING (annotation_id, step_index, instruction) GROUP BY annotation_id""")
+def nested_records(spark, sf):
+    """Every field of a task's nested steps."""
+    columns = ("instruction", "predicted_operation", "predicted_id", "predicted_value", "operation_match", "element_match", "value_match", "step_success")
+    nested = metrics.nested_steps(match.step_flags(derive.recorded_steps(spark, sf)), columns=columns)
+    line = lambda s: F.concat_ws("/", *(s[c].cast("string") for c in ("step_index", *columns)))
+    return nested.select("annotation_id", F.array_join(F.transform("steps", line), ";").alias("steps"))
+
+
+@query(f"WITH {STEPS_SQL} SELECT annotation_id, step_index FROM s WHERE NOT element_match")
+def step_failures(spark, sf):
+    return metrics.failures(match.step_flags(derive.recorded_steps(spark, sf)), "element_match").select("annotation_id", "step_index")
+
+
+@query(f"""WITH {ACTION_PAIRS_SQL}, a AS (SELECT oracle_action_type, avg(overall_match::INT) FILTER (event_id % 2 = 0) AS original, avg(overall_match::INT) FILTER (event_id % 2 = 1) AS perturbed FROM f GROUP BY oracle_action_type)
+SELECT oracle_action_type, original, perturbed, CASE WHEN original <> 0 THEN (original - perturbed) / original END AS "drop" FROM a WHERE original IS NOT NULL AND perturbed IS NOT NULL""")
+def robustness(spark, sf):
+    flags = match.action_flags(derive.action_pairs(spark, sf))
+    run = lambda k: metrics.by_action_type(flags.where(F.col("event_id") % 2 == k))
+    return metrics.robustness_drop(run(0), run(1), ["oracle_action_type"], "overall_match_rate")
+
+
+@query(f"""WITH {STEPS_SQL}, k AS (SELECT annotation_id, avg(step_success::INT) AS steps, bool_and(step_success)::INT AS task, CAST(count_if(element_match) * 5 + count_if(operation_match) * 3 + count_if(value_match) * 2 AS DOUBLE) / (10 * count(*)) AS grounding FROM s GROUP BY annotation_id)
+SELECT annotation_id, round(grounding, 9) AS grounding, round(steps * task * grounding, 9) AS final_score FROM k""")
+def final_scores(spark, sf):
+    steps = match.step_flags(derive.recorded_steps(spark, sf))
+    score = metrics.grounding_score({"element_match": 0.5, "operation_match": 0.3, "value_match": 0.2})
+    tasks = steps.groupBy("annotation_id").agg(F.avg(F.col("step_success").cast("int")).alias("steps"), F.bool_and("step_success").cast("int").alias("task"), F.avg(score).alias("grounding"))
+    # Sums of doubles depend on their order, so both are rounded for the comparison.
+    return tasks.select("annotation_id", F.round("grounding", 9).alias("grounding"), F.round(metrics.final_score(F.col("steps"), F.col("task"), F.col("grounding")), 9).alias("final_score"))
+
+
+@query(f"WITH {STEPS_SQL} SELECT annotation_id, count_if(n % 7 = 0 AND t <> p)::DOUBLE / count(*) AS corrected FROM q GROUP BY annotation_id")
+def correction_rates(spark, sf):
+    """Every step whose text's length 7 divides was corrected to its true operation."""
+    steps = derive.recorded_steps(spark, sf)
+    right = F.when(F.col("n") % 7 == 0, F.col("true_operation"))
+    return steps.groupBy("annotation_id").agg(metrics.correction_rate(F.col("predicted_operation"), right).alias("corrected"))
+
+
+@query("""SELECT event_id, CASE event_id % 3 WHEN 0 THEN '{"action_type":"click","target":{"selector":"#p' || event_id || '"},"confidence":0.5, "value": null}' WHEN 1 THEN '{"action_type":"scroll","target":null,"confidence":' || event_id % 2 || ', "value": null}' END AS parsed,
+event_id % 3 <> 2 AS success, event_id % 3 = 2 AS failed FROM events""")
+def decoded_with_metadata(spark, sf):
+    """What was parsed, with the missing value filled in, beside the verdict."""
+    n = F.col("event_id")
+    rows = _by(table(spark, sf, "events"), "event_id", _text('{"action_type":"click","target":{"selector":"#p', n, '"},"confidence":0.5}'), _text('{"action_type":"scroll","target":null,"confidence":', n % 2, "}"), _text("nothing in ", n))
+    out = decode.decode_actions(rows.select("event_id", "raw"), "raw", strict=True)
+    return out.select("event_id", "parsed", "success", F.col("error").isNotNull().alias("failed"))
+
+
+@query("""WITH p AS (SELECT page_id, 400 + page_id % 200 AS n FROM pages)
+SELECT page_id, CAST(least(n, 500) AS BIGINT) AS n_summary, 'e' || least(n, 500) - 1 AS last_summary, 50::BIGINT AS n_lines, '50. <p> "e49" class=' AS last_line FROM p""")
+def page_limits(spark, sf):
+    """Pages of 400 to 599 elements beside their own html: 500 are summed up, 50 listed."""
+    size = (400 + F.col("page_id") % 200).cast("int")
+    items = F.array_join(F.transform(F.sequence(F.lit(0), size - 1), lambda k: F.concat(F.lit("<p>e"), k.cast("string"), F.lit("</p>"))), "")
+    rows = table(spark, sf, "pages").select("page_id", dom_summary(items).alias("e"))
+    element = lambda e: F.struct(e["tag"].alias("tag"), e["text"].alias("text"), e["attrs"].alias("attributes"))
+    lines = F.split(text.dom_lines(F.transform("e", element)), "\n")
+    return rows.select("page_id", F.size("e").cast("long").alias("n_summary"), F.element_at("e", -1)["text"].alias("last_summary"), F.size(lines).cast("long").alias("n_lines"), F.element_at(lines, -1).alias("last_line"))
