@@ -410,6 +410,54 @@ def test_every_word_counts_on_large_page_tables(spark):
     assert got["/zzz"]["words"] == ["quiet", "/zzz"] and got["/zzz"]["score"] == pytest.approx(want)
 
 
+def test_segments_are_the_most_probable_of_all():
+    import itertools
+    import math
+
+    rng = random.Random(12)
+    for _ in range(40):
+        counts = {"".join(rng.choices("ab", k=rng.randrange(1, 4))): rng.randrange(1, 50) for _ in range(6)}
+        name, split = "".join(rng.choices("abc", k=8)), urls.Segmenter(counts, 200)
+        value = lambda ws: sum(math.log(counts[w] / 200) if w in counts else -math.log(200) - len(w) * math.log(10) for w in ws)  # noqa: B023, E731
+        cuts = ([0, *c, 8] for r in range(8) for c in itertools.combinations(range(1, 8), r))
+        assert value(split(name)) == pytest.approx(max(value([name[a:z] for a, z in itertools.pairwise(c)]) for c in cuts))
+
+
+def test_verdicts_equal_a_plain_bayes(spark):
+    import collections
+    import math
+
+    rng = random.Random(13)
+    some = [*"casino river stone poker".split(), "zebra", "quiet", "loans", "map"]
+    every = [f"http://{rng.choice(['', 'www.'])}{''.join(rng.choices(some, k=rng.randrange(1, 3)))}{rng.choice(['', '-' + rng.choice(some)])}.{rng.choice(['net', 'org', 'com'])}/{rng.choice(['', 'de/', 'fr/'])}{rng.choice(some)}/{''.join(rng.choices(some, k=2))}" for _ in range(150)]
+    long = "".join(rng.choices(some, k=40_000))  # a name of some 200,000 letters
+    every += [None, "", "river", "http:///x", f"http://q.net/{long}"] + every[:5]
+    got = urls.judge(spark.createDataFrame(list(enumerate(every)), "page_id long, url string")).collect()
+    assert len(got) == len(every)
+
+    def cut(u):
+        rest = u.split("://", 1)[1] if u and "://" in u else ""
+        host = re.split(r"[/?#]", rest, maxsplit=1)[0]
+        return host.lower(), re.split(r"[?#]", rest[len(host) :], maxsplit=1)[0]
+
+    runs = lambda x: re.findall("[a-z]+", x)
+    bare = lambda h: h.rsplit(".", 1)[0] if "." in h else h
+    counts = collections.Counter({w: urls.SEED for w in urls.UNWANTED | urls.COMMON})
+    for h, p in map(cut, every):
+        counts.update(runs(" ".join([x for x in bare(h).split(".") if re.search("[^a-z]", x)] + [p.lower()])))
+    split = urls.Segmenter(dict(counts))
+    told = [[w for n in runs(bare(h) or h) for w in split(n)] + ["/" + w for n in runs(p.lower()) for w in split(n)] for h, p in map(cut, every)]
+    bad = [not urls.UNWANTED.isdisjoint(ws) for ws in told]
+    seen = [collections.Counter(w for ws, b in zip(told, bad, strict=True) if b == k for w in ws) for k in (False, True)]
+    size = len(seen[0] | seen[1]) + 1
+    base = math.log((seen[0].total() + size) / (seen[1].total() + size))
+    for r in got:
+        ws = told[r["page_id"]]
+        score = math.log((sum(bad) + 1) / (len(bad) - sum(bad) + 1)) + sum(base + math.log((seen[1][w] + 1) / (seen[0][w] + 1)) for w in ws)
+        assert (r["host"], r["path"], r["words"]) == (*cut(every[r["page_id"]]), ws) and r["score"] == pytest.approx(score)
+        assert r["rule"] or r["verdict"] == ("block" if r["score"] > 0 else "allow")
+
+
 # 10
 
 

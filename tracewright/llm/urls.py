@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bits, durable
+from .common import Bits, durable, tidy
 
 #: Verdict, rule: a host (with its subdomains) and the beginning of a path (fixed values).
 RULES = [
@@ -85,20 +86,20 @@ class Segmenter:
     def __call__(self, name: str) -> list[str]:
         all_words, letter = math.log(self.total), math.log(10)
         lengths = sorted({len(w) for w in self.counts})
-        best: list[tuple[float, int]] = [(0.0, 0)]
+        best, begin = array("d", [0.0]), array("q", [0])
         unknown = (0.0, 0)  # where an unknown word had best begin, whatever its length
         for end in range(1, len(name) + 1):
-            options = [(unknown[0] - end * letter - all_words, unknown[1])]
+            most = (unknown[0] - end * letter - all_words, unknown[1])
             for k in lengths:
                 if k <= end and (n := self.counts.get(name[end - k : end])):
-                    options.append((best[end - k][0] + math.log(n) - all_words, end - k))
-            best.append(max(options))
-            unknown = max(unknown, (best[end][0] + end * letter, end))
+                    most = max(most, (best[end - k] + math.log(n) - all_words, end - k))
+            best.append(most[0])
+            begin.append(most[1])
+            unknown = max(unknown, (most[0] + end * letter, end))
         words, end = [], len(name)
         while end:
-            start = best[end][1]
-            words.append(name[start:end])
-            end = start
+            words.append(name[begin[end] : end])
+            end = begin[end]
         return words[::-1]
 
 
@@ -106,38 +107,63 @@ def split_names(names: DataFrame, words: DataFrame) -> DataFrame:
     """(name, pieces) of distinct ``names`` under the table ``words`` (word, n).
 
     The words stay distributed: a bitmap tells which parts of a name may be words,
-    and only those are joined with their counts.
+    and only those are joined with their counts.  Parts are made and tested a chunk at
+    a time and travel with a hash of their name (128 bits), so a very long name costs
+    its own length and the words in it, not all its parts.
     """
     sc = names.sparkSession.sparkContext
     total = words.agg(F.sum("n")).first()[0] + 1
     lengths = sorted(r[0] for r in words.select(F.length("word")).distinct().collect())
     bits = sc.broadcast(Bits.of(words.select(F.crc32(F.col("word").cast("binary")))))
 
-    def listed(owners: list[str], found: list[str]) -> pa.RecordBatch:
-        has = bits.value.has(np.fromiter((zlib.crc32(w.encode()) for w in found), np.uint64, len(found)))
-        has |= np.fromiter((a == b for a, b in zip(owners, found, strict=True)), bool, len(found))  # so every name has a row
-        return pa.RecordBatch.from_arrays([pa.array(owners, pa.string()), pa.array(found, pa.string())], names=["name", "word"]).filter(pa.array(has))
+    def passing(parts: list[str]) -> Iterator[str]:
+        has = bits.value.has(np.fromiter((zlib.crc32(w.encode()) for w in parts), np.uint64, len(parts)))
+        return (parts[k] for k in np.flatnonzero(has).tolist())
 
+    @tidy
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            owners, found = [], []
-            for name in b.column(0).to_pylist():
-                some = {name} | {name[s : s + k] for k in lengths if k <= len(name) for s in range(len(name) - k + 1)}
-                owners += [name] * len(some)
-                found += some
-                if len(found) >= CHUNK:
-                    yield listed(owners, found)
-                    owners, found = [], []
-            yield listed(owners, found)
-
+            keys, found = [], []
+            asked: list[tuple[bytes, set, list]] = []  # names whose parts wait for the bitmap together
+            size = 0
+
+            def settle() -> None:
+                flat = [w for _, _, parts in asked for w in parts]
+                has = iter(bits.value.has(np.fromiter((zlib.crc32(w.encode()) for w in flat), np.uint64, len(flat))).tolist())
+                for key, known, parts in asked:
+                    known.update([w for w in parts if next(has)])
+                    keys.extend([key] * len(known))
+                    found.extend(known)
+                asked.clear()
+
+            for key, name in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if len(name) * len(lengths) > CHUNK:  # by itself, a chunk of its parts at a time
+                    known: set[str] = set()
+                    for k in lengths:
+                        for at in range(0, len(name) - k + 1, CHUNK):
+                            known.update(passing([name[s : s + k] for s in range(at, min(at + CHUNK, len(name) - k + 1))]))
+                    keys.extend([key] * len(known))
+                    found.extend(known)
+                else:
+                    asked.append((key, set(), list({name[s : s + k] for k in lengths if k <= len(name) for s in range(len(name) - k + 1)})))
+                    size += len(asked[-1][2])
+                if size >= CHUNK or len(found) >= CHUNK:
+                    settle()
+                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(found, pa.string())], names=["key", "word"])
+                    keys, found, size = [], [], 0
+            settle()
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(found, pa.string())], names=["key", "word"])
+
+    @tidy
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             names = b.column(0).to_pylist()
-            pieces = [Segmenter({r["word"]: r["n"] for r in known if r["n"]}, total)(name) for name, known in zip(names, b.column(1).to_pylist(), strict=True)]
+            pieces = [Segmenter({r["word"]: r["n"] for r in known or []}, total)(name) for name, known in zip(names, b.column(1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pieces, pa.list_(pa.string()))], names=["name", "pieces"])
 
-    known = names.mapInArrow(candidates, "name string, word string").join(words, "word", "left").groupBy("name").agg(F.collect_list(F.struct("word", "n")).alias("known"))
-    return known.mapInArrow(split, "name string, pieces array<string>")
+    keyed = names.select(F.unhex(F.md5(F.col("name").cast("binary"))).alias("key"), "name")
+    known = keyed.mapInArrow(candidates, "key binary, word string").join(words, "word").groupBy("key").agg(F.collect_list(F.struct("word", "n")).alias("known"))
+    return keyed.join(known, "key", "left").select("name", "known").mapInArrow(split, "name string, pieces array<string>")
 
 
 def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES) -> DataFrame:
