@@ -184,6 +184,7 @@ class Index:
                 d, place, c = np.repeat(doc[a:z], part), np.repeat(diagonal[a:z], part) - self.at[flat], np.repeat(count[a:z], part)
                 for half in (0, 1):  # bands of two steps, each starting one step after the last
                     sums[half].append(_summed(d, item, (place - half * step) // (2 * step), c))
+            rows = []
             for half, parts in enumerate(sums):
                 if not parts:
                     continue
@@ -191,15 +192,21 @@ class Index:
                 good = c >= self.bound[i]
                 d, i, band = d[good], i[good], band[good]
                 step = self.edits[i] + 1
-                yield np.stack([d, i, band * 2 * step + half * step], axis=1)
+                rows.append(np.stack([d, i, band * 2 * step + half * step], axis=1))
+            if rows:
+                yield np.concatenate(rows)
 
 
 def _summed(doc: np.ndarray, item: np.ndarray, band: np.ndarray, count: np.ndarray) -> np.ndarray:
     """Counts summed by (document, passage or class, band or diagonal), as four rows."""
-    order = np.lexsort((band, item, doc))
-    d, i, b = doc[order], item[order], band[order]
-    cut = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (i[1:] != i[:-1]) | (b[1:] != b[:-1])])
-    return np.stack([d[cut], i[cut], b[cut], np.add.reduceat(count[order], cut)])
+    many, low = int(item.max()) + 1, int(band.min())
+    wide = int(band.max()) - low + 1
+    key = (doc * many + item) * wide + band - low  # a batch's documents and characters keep it below 2**63
+    order = np.argsort(key)
+    key = key[order]
+    cut = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    pair, place = np.divmod(key[cut], wide)
+    return np.stack([*np.divmod(pair, many), place + low, np.add.reduceat(count[order], cut)])
 
 
 def align(passages: list[np.ndarray], x: np.ndarray, start: np.ndarray, low: np.ndarray, high: np.ndarray, width: int, budget: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
