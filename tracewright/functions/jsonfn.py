@@ -273,11 +273,22 @@ def truth_value(operation: Column) -> Column:
     return strip(F.coalesce(F.when(is_object(operation), field(operation, "value", "action_input")), F.lit("")))
 
 
+#: What is read of a candidate.
+_NODE = "struct<backend_node_id:string,attributes:struct<backend_node_id:string>>"
+
+
 def truth_ids(candidates: Column) -> Column:
-    """Node ids of ground-truth candidates: the outer one, then a nested one that is new."""
-    ids = lambda c: F.array_compact(F.array(field(c, "backend_node_id"), F.when(~F.coalesce(field(c, "attributes.backend_node_id") == field(c, "backend_node_id"), F.lit(False)), field(c, "attributes.backend_node_id"))))
-    readable = F.filter(F.coalesce(candidates, F.array().cast("array<string>")), is_object)
-    return F.flatten(F.transform(readable, ids))
+    """Node ids of ground-truth candidates: the outer one, then a nested one that is new.
+
+    Each candidate is parsed once; one that is no object has no id.
+    """
+
+    def ids(c: Column) -> Column:
+        outer, inner = or_null(c["backend_node_id"]), or_null(c["attributes"]["backend_node_id"])
+        return F.array_compact(F.array(outer, F.when(~F.coalesce(inner == outer, F.lit(False)), inner)))
+
+    read = F.transform(F.coalesce(candidates, F.array().cast("array<string>")), lambda c: F.from_json(c, _NODE))
+    return F.flatten(F.transform(F.filter(read, lambda c: c.isNotNull()), ids))
 
 
 def oracle_action(operation: Column) -> Column:
