@@ -10,9 +10,12 @@ import hashlib
 import re
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 Generator = Callable[[str, bytes | None, int], str]
 
@@ -70,6 +73,60 @@ def generate_plans(df: DataFrame, prompt: str = "prompt", image: str | None = No
     return df.mapInPandas(run, f"{kinds}, output_text string, latency double, error string")
 
 
+@dataclass
+class Answer:
+    """What a remote model says, and what it counts for it."""
+
+    text: str
+    prompt_tokens: int = 0
+    completion_tokens: int = 0
+
+
+def call_id(run_id: str, model: str, *keys: Column) -> Column:
+    """The name of a call: the same run, model and keys (nulls told from texts) give the same one anywhere."""
+    return F.sha2(F.to_json(F.array(F.lit(run_id), F.lit(model), *(k.cast("string") for k in keys))), 256)
+
+
+def billed_calls(df: DataFrame, run_id: str, model: str, keys: tuple[str, ...], factory: Callable[[], Callable[[str, bytes | None, int], Answer]], prompt: str = "prompt", image: str | None = None, known: DataFrame | None = None, threads: int = 4, max_tokens: int = 128, attempts: int = 4, pause: float = 1.0) -> DataFrame:
+    """``df`` with call_id, model, output_text, prompt_tokens, completion_tokens, latency and error.
+
+    A task has at most ``threads`` calls under way, so a cluster has that many times its
+    cores; rows keep their order.  Failed attempts that were answered are billed
+    too: tokens are those of all answers to a row.  Calls that ``known`` (a ledger)
+    holds without an error are not made again and not returned; rows of one call_id
+    are one call.  A null prompt is an empty one.
+    """
+    added = ("call_id", "model", "output_text", "prompt_tokens", "completion_tokens", "latency", "error")
+    if clash := {c for c in df.columns if c.lower() in added}:
+        raise ValueError(f"columns of calls: {sorted(clash)}")
+    todo = df.withColumn("call_id", call_id(run_id, model, *(F.col(k) for k in keys))).dropDuplicates(["call_id"])
+    if known is not None:
+        todo = todo.join(known.where("error is null").select("call_id"), "call_id", "left_anti")
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        generate = factory()
+
+        def one(row: tuple) -> tuple:
+            spent, began = [0, 0], time.perf_counter()
+
+            def metered(text: str, picture: bytes | None, tokens: int) -> str:
+                answer = generate(text, picture, tokens)
+                spent[0] += answer.prompt_tokens
+                spent[1] += answer.completion_tokens
+                return answer.text
+
+            text, error = call(metered, row[0] or "", row[1], max_tokens, attempts, lambda s: time.sleep(s * pause))
+            return model, text, *spent, time.perf_counter() - began, error
+
+        with ThreadPoolExecutor(threads) as pool:
+            for pdf in parts:
+                rows = list(pool.map(one, zip(pdf[prompt], pdf[image] if image else [None] * len(pdf), strict=True)))
+                yield pd.concat([pdf.reset_index(drop=True), pd.DataFrame(rows, columns=list(added[1:]))], axis=1)
+
+    kinds = ", ".join(f"`{c}` {t}" for c, t in todo.dtypes)
+    return todo.mapInPandas(run, f"{kinds}, model string, output_text string, prompt_tokens long, completion_tokens long, latency double, error string")
+
+
 def strict_retry(factory: Callable[[], Generator], readable: str = r"(?i)\b(NO_MATCH|\d+)\b", note: str = "\n(Reply with a single token: an integer index or NO_MATCH)", tokens: int = 4) -> Callable[[], Generator]:
     """A factory whose generator asks once more, with ``note``, where the answer isn't readable."""
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cost, geometry, images, jsonfn, text
 from ..functions.html import dom_summary, interactive_elements
-from ..models import generate_plans, score_pairs
+from ..models import Answer, billed_calls, generate_plans, score_pairs
 from ..operators import checkpoint, decode, history, match, metrics, ranking, sampling, state, uncertainty
 from ..sources.steps import candidates, union_all, with_default, with_page
 from . import derive
@@ -800,3 +800,16 @@ def page_limits(spark, sf):
     element = lambda e: F.struct(e["tag"].alias("tag"), e["text"].alias("text"), e["attrs"].alias("attributes"))
     lines = F.split(text.dom_lines(F.transform("e", element)), "\n")
     return rows.select("page_id", F.size("e").cast("long").alias("n_summary"), F.element_at("e", -1)["text"].alias("last_summary"), F.size(lines).cast("long").alias("n_lines"), F.element_at(lines, -1).alias("last_line"))
+
+
+@query("""WITH c AS (SELECT conv_id, turn, coalesce(length(text), 0) AS p, coalesce(length(text), 0) % 7 + 1 AS o FROM conversations)
+SELECT conv_id AS annotation_id, turn AS step_index, CAST(2 - GROUPING(conv_id) - GROUPING(turn) AS INT) AS level, CAST(sum(p) AS BIGINT) AS prompt_tokens, CAST(sum(o) AS BIGINT) AS completion_tokens, CAST(sum(p + o) AS BIGINT) AS total_tokens,
+sum(p * 2500000 + o * 10000000)::DOUBLE / 1e12 AS cost_usd, count(*) AS calls FROM c GROUP BY ROLLUP (conv_id, turn)""")
+def billed_rollup(spark, sf):
+    """Calls of a model that counts characters, four at a time, and what they cost."""
+
+    def counting():
+        return lambda prompt, image, tokens: Answer("ACTION_TYPE: click", len(prompt), len(prompt) % 7 + 1)
+
+    rows = table(spark, sf, "conversations").select(F.col("conv_id").alias("annotation_id"), F.col("turn").alias("step_index"), F.col("text").alias("prompt"))
+    return cost.totals(billed_calls(rows, "r1", "gpt-4o", ("annotation_id", "step_index"), counting))

@@ -55,6 +55,24 @@ def append_checkpoint(ids: DataFrame, path: str, key: str = "annotation_id") ->
     ids.select(F.col(key).cast("string").alias("annotation_id")).where(F.coalesce("annotation_id", F.lit("")) != "").write.mode("append").parquet(path)
 
 
+def write_ledger(calls: DataFrame, path: str, run_id: str, batch: str, keys: tuple[str, ...] = ("annotation_id", "step_index")) -> None:
+    """What calls cost, as Parquet; the same batch of a run again replaces itself."""
+    named = calls.select("call_id", *keys, "model", "prompt_tokens", "completion_tokens", "latency", "error").withColumns({"run_id": F.lit(run_id), "batch": F.lit(batch)})
+    named.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id", "batch").parquet(path)
+
+
+def ledger(spark: SparkSession, path: str, run_id: str) -> DataFrame:
+    """The calls of a run, each once: an answered one before a failed one, then that of the first batch.
+
+    So a batch cut differently on a rerun bills no call twice.  What a failed call cost
+    no longer counts once a later batch got its answer.
+    """
+    rows = spark.read.parquet(path).where(F.col("run_id").cast("string") == run_id).drop("run_id")
+    rest = [c for c in rows.columns if c not in ("call_id", "batch")]
+    best = F.min(F.struct(F.col("error").isNotNull().alias("failed"), F.col("batch").cast("string").alias("batch"), F.struct(*rest).alias("row"))).alias("best")
+    return rows.groupBy("call_id").agg(best).select("call_id", "best.row.*")
+
+
 def report(total: dict, by_type: list[dict], seconds: float | None = None) -> str:
     """A text report of one run's (few) aggregate rows: counts, rates and, if known, the time taken."""
     share = lambda x: f"{x:.2%}"
