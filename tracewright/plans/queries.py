@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import cost, geometry, images, jsonfn, text
 from ..functions.html import dom_summary, interactive_elements
 from ..models import Answer, billed_calls, generate_plans, score_pairs
-from ..operators import checkpoint, decode, history, match, metrics, ranking, sampling, state, uncertainty
+from ..operators import checkpoint, decode, history, match, metrics, ranking, sampling, state, uncertainty, vectors
 from ..sources.steps import candidates, union_all, with_default, with_page
 from . import derive
 from .derive import ACTION_PAIRS_SQL, PLANS_SQL, STEPS_SQL, table
@@ -303,14 +303,23 @@ def text_overlap(spark, sf):
     return table(spark, sf, "documents").select("doc_id", ranking.overlap_score(t.substr(F.lit(1), half), t.substr(half + 1, F.length(t))).cast("int").alias("score"))
 
 
-@query("""WITH q AS (SELECT vec_id AS query_id, embedding AS a FROM embeddings WHERE vec_id % 100 = 0),
+NEAREST_SQL = """WITH q AS (SELECT vec_id AS query_id, embedding AS a FROM embeddings WHERE vec_id % 100 = 0),
 s AS (SELECT query_id, vec_id, list_cosine_similarity(a::DOUBLE[], embedding::DOUBLE[]) AS c FROM q JOIN embeddings ON vec_id <> query_id)
-SELECT query_id, vec_id, rn - 1 AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, vec_id) AS rn FROM s) WHERE rn <= 5""")
+SELECT query_id, vec_id, rn - 1 AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, vec_id) AS rn FROM s) WHERE rn <= 5"""
+
+
+@query(NEAREST_SQL)
 def cosine_rank(spark, sf):
     e = table(spark, sf, "embeddings").select("vec_id", "embedding")
     return ranking.nearest_vectors(e, e.where("vec_id % 100 = 0"), 5).select("query_id", "vec_id", F.col("rank").cast("long").alias("rank"))
 
 
+@query(NEAREST_SQL)
+def cosine_clusters(spark, sf):
+    e = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    return vectors.nearest_in_clusters(e, e.where("vec_id % 100 = 0"), 5).select("query_id", "vec_id", F.col("rank").cast("long").alias("rank"))
+
+
 @query("SELECT o_orderkey, false AS skipped FROM orders WHERE o_orderkey % 4 <> 0 UNION ALL SELECT o_orderkey, true FROM orders WHERE o_orderkey % 4 = 0")
 def checkpoint_skip(spark, sf):
     tasks = table(spark, sf, "orders").select("o_orderkey")
