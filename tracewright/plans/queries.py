@@ -328,6 +328,12 @@ def checkpoint_skip(spark, sf):
     return run.unionByName(checkpoint.skipped(tasks, done, "o_orderkey").select("o_orderkey", "skipped"))
 
 
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
+def orders_pending(spark, sf):
+    done = table(spark, sf, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
+    return checkpoint.pending_by_bitmap(table(spark, sf, "orders").select("o_orderkey", "o_custkey"), done, "o_orderkey")
+
+
 @query("SELECT CAST(o_custkey AS VARCHAR) AS id FROM orders WHERE o_orderstatus = 'F' UNION SELECT CAST(o_custkey AS VARCHAR) FROM orders WHERE o_orderstatus = 'O'")
 def checkpoint_add(spark, sf):
     ids = lambda s: table(spark, sf, "orders").where(F.col("o_orderstatus") == s).select(F.col("o_custkey").alias("id"))
