@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -127,6 +128,81 @@ def billed_calls(df: DataFrame, run_id: str, model: str, keys: tuple[str, ...],
     return todo.mapInPandas(run, f"{kinds}, model string, output_text string, prompt_tokens long, completion_tokens long, latency double, error string")
 
 
+def batches_by_length(lengths: np.ndarray, batch: int, cells: int | None = None) -> Iterator[np.ndarray]:
+    """Positions in batches of similar lengths, shortest first.
+
+    A batch has ``batch`` rows at most and, padded to its longest, ``cells`` at most;
+    a row that is longer than that goes alone.
+    """
+    order = np.argsort(lengths, kind="stable")
+    begin = 0
+    for at in range(1, len(order) + 1):
+        if at == len(order) or at - begin == batch or (cells is not None and (at + 1 - begin) * lengths[order[at]] > cells):
+            yield order[begin:at]
+            begin = at
+
+
+def padding(df: DataFrame, length: Column, padded_to: str = "padded_to") -> DataFrame:
+    """One row: used and padded cells, and the share of padded ones that hold nothing."""
+    used, padded = F.coalesce(F.sum(length), F.lit(0)).cast("long"), F.coalesce(F.sum(padded_to), F.lit(0)).cast("long")
+    return df.agg(used.alias("used"), padded.alias("padded")).withColumn("padding_share", F.when(F.col("padded") > 0, 1 - F.col("used") / F.col("padded")).otherwise(0.0))
+
+
+BatchGenerator = Callable[[list[str], list[bytes | None], int], list[str]]
+
+
+def one_by_one(factory: Callable[[], Generator] = stub_generator) -> Callable[[], BatchGenerator]:
+    """A batch generator of a generator."""
+
+    def build() -> BatchGenerator:
+        generate = factory()
+        return lambda prompts, images, tokens: [generate(p, i, tokens) for p, i in zip(prompts, images, strict=True)]
+
+    return build
+
+
+def generate_batches(df: DataFrame, prompt: str = "prompt", image: str | None = None, factory: Callable[[], BatchGenerator] = one_by_one(), max_tokens: int = 128, batch: int = 16, cells: int | None = None, attempts: int = 4, pause: float = 1.0) -> DataFrame:
+    """As :func:`generate_plans`, many prompts a call; with padded_to, the longest prompt of a row's batch.
+
+    Prompts of an Arrow batch are put together by length and answers go back in the rows'
+    order.  A batch that doesn't fit is halved; one that fails, or whose
+    answers don't match its prompts one to one, is asked row by row, and so are its empty
+    answers.  Latency is a row's share of its batch.
+    """
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        generate = factory()
+
+        def single(text: str, picture: bytes | None) -> tuple[str, str | None]:
+            return call(lambda p, i, n: generate([p], [i], n)[0], text, picture, max_tokens, attempts, lambda s: time.sleep(s * pause))
+
+        for pdf in parts:
+            prompts = pdf[prompt].fillna("").tolist()
+            images = pdf[image].tolist() if image else [None] * len(pdf)
+            out: list[tuple] = [()] * len(pdf)
+            todo = list(batches_by_length(np.array([len(p) for p in prompts]), batch, cells))[::-1]
+            while todo:
+                at = todo.pop()
+                began = time.perf_counter()
+                some = [prompts[i] for i in at], [images[i] for i in at]
+                try:
+                    answers = generate(*some, max_tokens) if len(at) > 1 else []
+                except OutOfMemory:
+                    todo += [at[len(at) // 2 :], at[: len(at) // 2]]
+                    continue
+                except Exception:  # noqa: BLE001 - the model is foreign code; its rows are asked one by one
+                    answers = []
+                known = answers if len(answers) == len(at) else [""] * len(at)
+                done = [(text, None) if text else single(p, i) for text, p, i in zip(known, *some, strict=True)]
+                share, width = (time.perf_counter() - began) / len(at), max(map(len, some[0]))
+                for i, (text, error) in zip(at, done, strict=True):
+                    out[i] = (text, share, error, width)
+            yield pd.concat([pdf.reset_index(drop=True), pd.DataFrame(out, columns=["output_text", "latency", "error", "padded_to"])], axis=1)
+
+    kinds = ", ".join(f"`{c}` {t}" for c, t in df.dtypes)
+    return df.mapInPandas(run, f"{kinds}, output_text string, latency double, error string, padded_to long")
+
+
 def strict_retry(factory: Callable[[], Generator], readable: str = r"(?i)\b(NO_MATCH|\d+)\b", note: str = "\n(Reply with a single token: an integer index or NO_MATCH)", tokens: int = 4) -> Callable[[], Generator]:
     """A factory whose generator asks once more, with ``note``, where the answer isn't readable."""
 
@@ -155,14 +231,22 @@ def word_overlap_scorer() -> Callable[[list[tuple[str, str]]], list[float]]:
     return score
 
 
-def score_pairs(df: DataFrame, left: str, right: str, factory=word_overlap_scorer, batch: int = 128) -> DataFrame:
-    """``df`` with ``score`` of each (left, right) text pair, in batches."""
+def score_pairs(df: DataFrame, left: str, right: str, factory=word_overlap_scorer, batch: int = 128, cells: int | None = None, padded_to: bool = False) -> DataFrame:
+    """``df`` with ``score`` of each (left, right) text pair, in batches of similar lengths.
+
+    Rows keep their order.  ``cells`` bounds a batch's rows times its longest pair;
+    with ``padded_to`` that length is a column, for :func:`padding`.
+    """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         score = factory()
         for pdf in parts:
             pairs = list(zip(pdf[left].fillna(""), pdf[right].fillna(""), strict=True))
-            yield pdf.assign(score=[float(s) for k in range(0, len(pairs), batch) for s in score(pairs[k : k + batch])])
+            lengths = np.array([len(a) + len(b) for a, b in pairs], np.int64)
+            scores, widths = np.zeros(len(pairs)), np.zeros(len(pairs), np.int64)
+            for at in batches_by_length(lengths, batch, cells):
+                scores[at], widths[at] = score([pairs[i] for i in at]), lengths[at].max()
+            yield pdf.assign(score=scores, **({"padded_to": widths} if padded_to else {}))
 
     kinds = ", ".join(f"`{c}` {t}" for c, t in df.dtypes)
-    return df.mapInPandas(run, f"{kinds}, score double")
+    return df.mapInPandas(run, f"{kinds}, score double" + (", padded_to long" if padded_to else ""))

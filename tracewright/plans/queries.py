@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cost, geometry, images, jsonfn, text
 from ..functions.html import dom_summary, interactive_elements
-from ..models import Answer, billed_calls, generate_plans, score_pairs
+from ..models import Answer, billed_calls, generate_batches, generate_plans, score_pairs
 from ..operators import checkpoint, decode, history, match, metrics, ranking, sampling, state, uncertainty, vectors
 from ..sources.steps import candidates, union_all, with_default, with_page
 from . import derive
@@ -377,12 +377,22 @@ def page_summary(spark, sf):
     return rows.select("page_id", "e.tag", "e.text", "e.id", "e.class")
 
 
-@query(None)
+STUB_SQL = """SELECT doc_id, 'ACTION_TYPE: ' || CASE k WHEN 0 THEN 'click' WHEN 1 THEN 'type "' || substr(t, 1, 12) || '"' WHEN 2 THEN 'scroll' ELSE 'finish' END AS output_text, CAST(NULL AS VARCHAR) AS error
+FROM (SELECT doc_id, t, CAST('0x' || substr(md5(t), 1, 2) AS INT) % 4 AS k FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents))"""
+
+
+@query(STUB_SQL)
 def vlm_infer_stub(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", F.col("text").alias("prompt"))
     return generate_plans(docs).select("doc_id", "output_text", "error")
 
 
+@query(STUB_SQL)
+def batched_plans(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", F.col("text").alias("prompt"))
+    return generate_batches(docs, cells=1 << 20).select("doc_id", "output_text", "error")
+
+
 @query(r"""WITH t AS (SELECT conv_id, turn, list_distinct(regexp_extract_all(lower(coalesce(text, '')), '\S+')) AS y FROM conversations)
 SELECT conv_id, turn, len(list_intersect(y, ['the', 'and', 'of']))::DOUBLE / len(list_distinct(list_concat(y, ['the', 'and', 'of']))) AS score FROM t""")
 def pair_scores(spark, sf):
