@@ -334,6 +334,12 @@ def orders_pending(spark, sf):
     return checkpoint.pending_by_bitmap(table(spark, sf, "orders").select("o_orderkey", "o_custkey"), done, "o_orderkey")
 
 
+@query("SELECT doc_id, lang FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND quality = 1)")
+def documents_pending(spark, sf):
+    done = table(spark, sf, "labels").where("quality = 1").select("doc_id")
+    return checkpoint.pending_by_bitmap(table(spark, sf, "documents").select("doc_id", "lang"), done, "doc_id")
+
+
 @query("SELECT CAST(o_custkey AS VARCHAR) AS id FROM orders WHERE o_orderstatus = 'F' UNION SELECT CAST(o_custkey AS VARCHAR) FROM orders WHERE o_orderstatus = 'O'")
 def checkpoint_add(spark, sf):
     ids = lambda s: table(spark, sf, "orders").where(F.col("o_orderstatus") == s).select(F.col("o_custkey").alias("id"))
