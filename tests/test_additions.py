@@ -41,6 +41,14 @@ def test_actions_read_and_written(spark):
     assert json.loads(got[4]) == {"action_type": None, "target": {"coords": [1.0, 2.0]}, "value": 'a "b"', "confidence": 1.0}
 
 
+def test_round_trips_parse_once_a_pass(spark):
+    df = spark.createDataFrame([('{"value":"v","confidence":null}',), ("[1]",)], "j string")
+    twice = df.select(decode.to_text(decode.from_text(decode.to_text(decode.from_text(F.col("j"))))).alias("a"))
+    plan = twice._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("jsonObjectKeys(") == 2 and len(plan) < 20_000
+    assert [r[0] and json.loads(r[0]) for r in twice.collect()] == [{"action_type": "noop", "target": None, "value": "v", "confidence": None}, None]
+
+
 def test_long_pages_are_linear():
     began = time.perf_counter()
     found = html.interactive("<i>x</span>" * 20_000 + "<a>y</a>" * 5_000)

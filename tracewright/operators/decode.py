@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import clamp, numbers, scaled
-from ..functions.jsonfn import is_object, repair_json
+from ..functions.jsonfn import let, repair_json
 from ..schemas import ACTION, ACTION_TYPES
 
 
@@ -97,21 +97,30 @@ def to_text(action: Column) -> Column:
     """An action struct as JSON: its four fields always, of a target only what it has."""
 
     def value(x: Column) -> Column:
-        listed = F.to_json(F.array(x))
-        return listed.substr(F.lit(2), F.char_length(listed) - 2)
+        return let(F.to_json(F.array(x)), lambda listed: listed.substr(F.lit(2), F.char_length(listed) - 2))
 
-    names = ("action_type", "target", "value", "confidence")
-    fields = [F.concat(F.lit(f'"{n}":'), value(action[n])) for n in names]
-    return F.when(action.isNotNull(), F.concat(F.lit("{"), F.concat_ws(",", *fields), F.lit("}")))
+    def written(a: Column) -> Column:
+        names = ("action_type", "target", "value", "confidence")
+        fields = [F.concat(F.lit(f'"{n}":'), value(a[n])) for n in names]
+        return F.when(a.isNotNull(), F.concat(F.lit("{"), F.concat_ws(",", *fields), F.lit("}")))
+
+    return let(action, written)
 
 
 def from_text(j: Column) -> Column:
     """The action of a JSON object; without the key, the type is noop and the confidence 0.
 
     A key that is there keeps its value, null included.  What is no object gives null.
+    Text, keys and fields are each computed once for a row, however long the expression before.
     """
-    read = F.from_json(j, ACTION)
-    filled = read
-    for name, default in (("action_type", "noop"), ("confidence", 0.0)):
-        filled = filled.withField(name, F.when(has_key(j, name), read[name]).otherwise(default))
-    return F.when(is_object(j), filled)
+
+    def filled(read: Column, keys: Column) -> Column:
+        out = read
+        for name, default in (("action_type", "noop"), ("confidence", 0.0)):
+            out = out.withField(name, F.when(F.array_contains(keys, name), read[name]).otherwise(default))
+        return out
+
+    def parsed(t: Column) -> Column:
+        return let(F.json_object_keys(t), lambda keys: F.when(keys.isNotNull(), let(F.from_json(t, ACTION), lambda read: filled(read, keys))))
+
+    return let(j, parsed)
