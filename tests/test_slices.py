@@ -1,8 +1,10 @@
 """Python UDFs hold slices of their batches, not whole ones."""
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from tracewright.functions import images
 from tracewright.functions.html import dom_summary
 from tracewright.functions.udf import batch_udf
 
@@ -25,3 +27,13 @@ def test_slices_of_pages(spark):
     pages = spark.range(0, 600, 1, 1).select("id", F.repeat(F.lit("<p>a</p>"), (F.col("id") % 3).cast("int")).alias("html"))
     assert [r[0] for r in pages.select(F.size(dom_summary("html"))).collect()] == [i % 3 for i in range(600)]
     assert pages.where("id < 0").select(dom_summary("html")).collect() == []
+
+
+def test_images_leave_in_parts(monkeypatch):
+    monkeypatch.setattr(images, "HELD", 100)
+    data = pd.Series([images.write_png(np.full((6, 6, 1), k, np.uint8)) for k in range(5)] + [None, b"JFIF"])
+    parts = list(images._each(lambda x: ((i := images.decode(x)), i.ravel().astype(np.float32)), data))
+    assert [len(p) for p in parts] == [3, 4]
+    whole = pd.concat(parts)
+    assert [None if p is None else p[0] for p in whole["pixels"]] == [0, 1, 2, 3, 4, None, None] and list(whole["error"])[5:] == ["no image", "unknown image format"]
+    assert list(images._each(None, data[:0])) == []
