@@ -37,3 +37,12 @@ def test_images_leave_in_parts(monkeypatch):
     whole = pd.concat(parts)
     assert [None if p is None else p[0] for p in whole["pixels"]] == [0, 1, 2, 3, 4, None, None] and list(whole["error"])[5:] == ["no image", "unknown image format"]
     assert list(images._each(None, data[:0])) == []
+
+
+def test_rows_of_one_filter_are_read_together():
+    image = np.random.default_rng(3).integers(0, 256, (9, 5, 3), dtype=np.uint8)
+    kinds = [2, 2, 2, 0, 0, 2, 2, 1, 1]
+    lines = image.reshape(9, 15).astype(int)
+    above, left = np.vstack([np.zeros((1, 15), int), lines[:-1]]), np.hstack([np.zeros((9, 3), int), lines[:, :-3]])
+    data = np.array([[k, *((v - {0: 0 * v, 1: b, 2: a}[k]) % 256)] for k, v, a, b in zip(kinds, lines, above, left, strict=True)], np.uint8)
+    assert (images._unfiltered(data.ravel(), 9, 15, 3) == lines).all()
